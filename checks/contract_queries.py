@@ -330,7 +330,9 @@ def _scratch(spark: SparkSession) -> str:
 
 
 def _write_csv(df: DataFrame, path: str) -> str:
-    df.write.option("header", True).option("escape", '"').csv(path)
+    writer = df.write.option("header", True).option("escape", "\"")
+    writer = writer.option("ignoreLeadingWhiteSpace", False)
+    writer.option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
 
 

@@ -1,19 +1,19 @@
 """A contract: what a source table must look like and how it becomes a clean one.
 
-A rule is a condition over one raw row that should not hold; rules are counted together in
-one aggregate, so adding a rule adds no pass over the data.
+A rule is a condition over one row that should not hold. Rules are counted together in one
+aggregate, so adding a rule adds no pass over the data.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.functions.numbers import is_whole, number
-from rollbook.functions.points import in_bounds
-from rollbook.functions.text import blank, matches, present
+from rollbook.functions.points import in_bounds, latitude, longitude
+from rollbook.functions.text import matches, present
 
 ERROR = "error"
 WARNING = "warning"
@@ -24,9 +24,26 @@ def source(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def derived(name: str, what: str) -> Column:
+    """A parsed form of a raw column in a prepared table: ``number``, ``longitude``, ``latitude``."""
+    return source(f"{name} as {what}")
+
+
+def prepare(df: DataFrame, contract: Contract) -> DataFrame:
+    """Strip every column once, blank becoming null, and parse numbers and points once."""
+    numbers = {r.column for r in contract.rules if isinstance(r, WholeNumber | NumberWithin)}
+    points = {r.column for r in contract.rules if isinstance(r, PointWithin)}
+    stripped = df.select(*(present(source(name)).alias(name) for name in contract.columns))
+    return stripped.withColumns(
+        {f"{name} as number": number(source(name)) for name in sorted(numbers)}
+        | {f"{name} as longitude": longitude(source(name)) for name in sorted(points)}
+        | {f"{name} as latitude": latitude(source(name)) for name in sorted(points)}
+    )
+
+
 @dataclass(frozen=True)
 class Check:
-    """One counted condition."""
+    """One counted condition over a prepared row."""
 
     severity: str
     code: str
@@ -41,9 +58,8 @@ class Required:
 
     def checks(self) -> list[Check]:
         message = f"{self.column!r} cannot be blank."
-        return [
-            Check(ERROR, "missing_required_value", self.column, message, blank(source(self.column)))
-        ]
+        blank = source(self.column).isNull()
+        return [Check(ERROR, "missing_required_value", self.column, message, blank)]
 
 
 @dataclass(frozen=True)
@@ -52,16 +68,13 @@ class Optional:
 
     def checks(self) -> list[Check]:
         message = f"{self.column!r} contains blank values."
-        return [
-            Check(
-                WARNING, "missing_optional_value", self.column, message, blank(source(self.column))
-            )
-        ]
+        blank = source(self.column).isNull()
+        return [Check(WARNING, "missing_optional_value", self.column, message, blank)]
 
 
 @dataclass(frozen=True)
 class Matches:
-    """Stripped text must match a pattern; null passes unless ``null_fails``."""
+    """Text must match a pattern; a blank passes unless ``null_fails``."""
 
     column: str
     pattern: str
@@ -71,8 +84,10 @@ class Matches:
     null_fails: bool = False
 
     def checks(self) -> list[Check]:
-        text = present(source(self.column))
-        failing = ~F.coalesce(matches(text, self.pattern), F.lit(not self.null_fails))
+        text = source(self.column)
+        failing = ~matches(text, self.pattern)
+        if self.null_fails:
+            failing = text.isNull() | failing
         return [Check(self.severity, self.code, self.column, self.message, failing)]
 
 
@@ -84,9 +99,8 @@ class WholeNumber:
     required: bool = False
 
     def checks(self) -> list[Check]:
-        raw = source(self.column)
-        x = number(raw)
-        failing = ~blank(raw) & ~F.coalesce(is_whole(x), F.lit(False))
+        x = derived(self.column, "number")
+        failing = source(self.column).isNotNull() & (x.isNull() | ~is_whole(x))
         message = f"{self.column!r} must contain integer values."
         found = [Check(ERROR, "invalid_integer", self.column, message, failing)]
         return found + (Required(self.column).checks() if self.required else [])
@@ -109,17 +123,15 @@ class NumberWithin:
     lower_open: bool = False
 
     def checks(self) -> list[Check]:
-        raw = source(self.column)
-        x = number(raw)
-        inside = F.lit(True)
+        x = derived(self.column, "number")
+        outside = F.lit(False)
         if self.lower is not None:
-            inside = inside & ((x > self.lower) if self.lower_open else (x >= self.lower))
+            outside = outside | ((x <= self.lower) if self.lower_open else (x < self.lower))
         if self.upper is not None:
-            inside = inside & (x <= self.upper)
+            outside = outside | (x > self.upper)
+        failing = x.isNotNull() & outside
         if self.whole:
-            failing = ~blank(raw) & ~F.coalesce(is_whole(x) & inside, F.lit(False))
-        else:
-            failing = x.isNotNull() & ~inside
+            failing = source(self.column).isNotNull() & (x.isNull() | ~is_whole(x) | outside)
         return [Check(self.severity, self.code, self.column, self.message, failing)]
 
 
@@ -131,7 +143,8 @@ class OneOf:
     values: tuple[str, ...]
 
     def outside(self) -> Column:
-        return F.coalesce(~present(source(self.column)).isin(*self.values), F.lit(False))
+        text = source(self.column)
+        return text.isNotNull() & ~text.isin(*self.values)
 
     def checks(self) -> list[Check]:
         message = f"{self.column!r} contains unreviewed values"
@@ -147,8 +160,8 @@ class PointWithin:
     message: str
 
     def checks(self) -> list[Check]:
-        text = present(source(self.column))
-        failing = text.isNotNull() & ~in_bounds(text)
+        inside = in_bounds(derived(self.column, "longitude"), derived(self.column, "latitude"))
+        failing = source(self.column).isNotNull() & ~inside
         return [Check(WARNING, self.code, self.column, self.message, failing)]
 
 

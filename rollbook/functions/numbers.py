@@ -12,9 +12,8 @@ from rollbook.functions.text import matches, strip
 NUMBER = r"[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity))"
 
 
-def number(c: Column) -> Column:
-    """Parse text as a double; null where it is not a number."""
-    text = strip(c)
+def number(text: Column) -> Column:
+    """Parse stripped text as a double; null where it is not a number."""
     return F.when(matches(text, NUMBER), text).try_cast("double")
 
 

@@ -22,7 +22,7 @@ def latitude(c: Column) -> Column:
     return _part(c, 2)
 
 
-def in_bounds(c: Column) -> Column:
-    """True for a parsable point on the globe, false for anything else that is not null."""
-    inside = longitude(c).between(-180, 180) & latitude(c).between(-90, 90)
+def in_bounds(lon: Column, lat: Column) -> Column:
+    """True for a point on the globe, false where it is not or was not parsed."""
+    inside = lon.between(-180, 180) & lat.between(-90, 90)
     return F.coalesce(inside, F.lit(False))

@@ -8,32 +8,31 @@ gate runs only when there are any.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollbook.contract import ERROR, WARNING, Check, Contract, OneOf, Unique, source
+from rollbook.contract import ERROR, WARNING, Check, Contract, OneOf, Unique, prepare, source
 from rollbook.functions.numbers import number_identity
 from rollbook.functions.text import present, quoted
 
+# Messages of the two issues that end the checks, and the issue columns.
+WRONG_COLUMNS = "Columns or column order do not match the documented source schema."
+NO_ROWS = "The source file contains no data rows."
+ISSUE = {
+    "seq": "int",
+    "severity": "string",
+    "code": "string",
+    "column": "string",
+    "message": "string",
+    "n_rows": "bigint",
+}
 PREVIEW = 5
 
 
-def _entry(
-    seq: int, severity: str, code: str, column: str | None, message: str, rows: Column, hit: Column
-) -> Column:
-    return F.struct(
-        F.lit(seq).alias("seq"),
-        F.lit(severity).alias("severity"),
-        F.lit(code).alias("code"),
-        F.lit(column).cast("string").alias("column"),
-        F.lit(message).alias("message"),
-        rows.cast("bigint").alias("n_rows"),
-        hit.alias("hit"),
-    )
-
-
 def _numbered(contract: Contract) -> list[tuple[int, Check | Unique]]:
     """Rules expanded to single checks, numbered in reporting order from 1."""
     flat: list[Check | Unique] = []
@@ -42,68 +41,86 @@ def _numbered(contract: Contract) -> list[tuple[int, Check | Unique]]:
     return list(enumerate(flat, start=1))
 
 
-def _rows_of(wide: DataFrame, entries: list[Column]) -> DataFrame:
-    """Turn the one-row aggregate into one row per condition that was hit."""
-    return wide.select(F.inline(F.array(*entries))).filter("hit").drop("hit")
+def _counts(df: DataFrame, contract: Contract) -> DataFrame:
+    """One row: ``n`` rows and ``n<seq>`` bad rows per condition; one scan, no shuffle of rows."""
+    return prepare(df, contract).agg(
+        F.count(F.lit(1)).alias("n"),
+        *(
+            F.count_if(check.failing).alias(f"n{seq}")
+            for seq, check in _numbered(contract)
+            if isinstance(check, Check)
+        ),
+    )
 
 
 def duplicated_values(df: DataFrame, key: Column) -> DataFrame:
     """Number of rows that share their key with another row, all of them counted."""
     counts = df.select(key.alias("key")).dropna().groupBy("key").count()
-    return counts.agg(F.sum(F.when(F.col("count") > 1, F.col("count"))).alias("n_rows"))
-
-
-def issue_counts(df: DataFrame, contract: Contract) -> DataFrame:
-    """Issue rows ``seq, severity, code, column, message, n_rows`` without value previews."""
-    if tuple(df.columns) != contract.columns:
-        message = "Columns or column order do not match the documented source schema."
-        entry = _entry(0, ERROR, "invalid_columns", None, message, F.lit(None), F.lit(True))
-        return _rows_of(df.sparkSession.range(1), [entry])
-
-    numbered = _numbered(contract)
-    sums = [F.count(F.lit(1)).alias("n")]
-    empty = "The source file contains no data rows."
-    entries = [_entry(0, ERROR, "empty_dataset", None, empty, F.lit(None), F.col("n") == 0)]
-    for seq, check in numbered:
-        if isinstance(check, Check):
-            sums.append(F.count_if(check.failing).alias(f"n{seq}"))
-            n = F.col(f"n{seq}")
-            entries.append(
-                _entry(seq, check.severity, check.code, check.column, check.message, n, n > 0)
-            )
-    issues = _rows_of(df.agg(*sums), entries)
-
-    for seq, rule in numbered:
-        if isinstance(rule, Unique):
-            found = duplicated_values(df, number_identity(source(rule.column)))
-            n = F.coalesce(F.col("n_rows"), F.lit(0))
-            entry = _entry(seq, ERROR, rule.code, rule.column, rule.message, n, n > 0)
-            issues = issues.unionByName(_rows_of(found, [entry]))
-    return issues
+    return counts.agg(
+        F.coalesce(F.sum(F.when(F.col("count") > 1, F.col("count"))), F.lit(0)).alias("n_rows")
+    )
 
 
 def vocabulary_previews(df: DataFrame, contract: Contract, limit: int = PREVIEW) -> DataFrame:
     """First values outside each vocabulary, in order: ``column, preview``."""
     rules = [rule for rule in contract.rules if isinstance(rule, OneOf)]
+    stripped = df.select(*(present(source(rule.column)).alias(rule.column) for rule in rules))
     entries = [
         F.struct(
             F.lit(rule.column).alias("column"),
-            F.when(rule.outside(), present(source(rule.column))).alias("value"),
+            F.when(rule.outside(), source(rule.column)).alias("value"),
         )
         for rule in rules
     ]
-    values = df.select(F.inline(F.array(*entries))).filter(F.col("value").isNotNull()).distinct()
+    values = stripped.select(F.inline(F.array(*entries)))
+    values = values.filter(F.col("value").isNotNull()).distinct()
     # The rank filter keeps at most `limit` rows per column on the map side, whatever the number
     # of values, so the list below is bounded.
     order = Window.partitionBy("column").orderBy("value")
     first = values.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
     return first.groupBy("column").agg(
-        F.array_join(
-            F.sort_array(F.collect_list(quoted(F.col("value")))), ", "
-        ).alias("preview")
+        F.array_join(F.sort_array(F.collect_list(quoted(F.col("value")))), ", ").alias("preview")
     )
 
 
+def _wrong_columns(df: DataFrame, contract: Contract) -> list[tuple]:
+    if tuple(df.columns) == contract.columns:
+        return []
+    return [(0, ERROR, "invalid_columns", None, WRONG_COLUMNS, None)]
+
+
+def _literal(row: tuple) -> list[Column]:
+    return [F.lit(x).cast(t).alias(n) for x, (n, t) in zip(row, ISSUE.items(), strict=True)]
+
+
+def issue_counts(df: DataFrame, contract: Contract) -> DataFrame:
+    """Issue rows ``seq, severity, code, column, message, n_rows`` without value previews."""
+    wrong = _wrong_columns(df, contract)
+    if wrong:
+        return df.sparkSession.range(1).select(*_literal(wrong[0]))
+
+    numbered = _numbered(contract)
+    checks = [(seq, check) for seq, check in numbered if isinstance(check, Check)]
+    fixed = [(0, ERROR, "empty_dataset", None, NO_ROWS)]
+    fixed += [(seq, c.severity, c.code, c.column, c.message) for seq, c in checks]
+    # The fixed part of all rows is one literal, picked by position.
+    described = F.from_json(
+        F.lit(json.dumps([dict(zip(ISSUE, row, strict=False)) for row in fixed])),
+        "array<struct<" + ", ".join(f"`{n}`: {t}" for n, t in ISSUE.items()) + ">>",
+    )
+    rows = F.array(F.when(F.col("n") == 0, 1), *(f"n{seq}" for seq, _ in checks))
+    hit = F.transform(described, lambda d, i: d.withField("n_rows", F.get(rows, i)))
+    issues = _counts(df, contract).select(F.inline(F.filter(hit, lambda d: d["n_rows"] > 0)))
+    issues = issues.withColumn("n_rows", F.when(F.col("seq") > 0, F.col("n_rows")))
+
+    for seq, rule in numbered:
+        if isinstance(rule, Unique):
+            found = duplicated_values(df, number_identity(source(rule.column))).filter("n_rows > 0")
+            fixed = _literal((seq, ERROR, rule.code, rule.column, rule.message, None))
+            issues = issues.unionByName(found.select(*fixed[:-1], "n_rows"))
+    return issues
+
+
 def issues(df: DataFrame, contract: Contract) -> DataFrame:
     """Issue rows in reporting order, with the first unexpected values in their messages."""
     counts = issue_counts(df, contract)
@@ -119,7 +136,7 @@ def issues(df: DataFrame, contract: Contract) -> DataFrame:
         counts = (
             counts.join(previews, ["column", "code"], "left")
             .withColumn("message", message)
-            .select("seq", "severity", "code", "column", "message", "n_rows")
+            .select(*ISSUE)
         )
     return counts.orderBy("seq")
 
@@ -156,18 +173,29 @@ def verdict(issue_rows: DataFrame) -> DataFrame:
     )
 
 
+class Issue(NamedTuple):
+    """One row of an issue table."""
+
+    seq: int
+    severity: str
+    code: str
+    column: str | None
+    message: str
+    n_rows: int | None
+
+
 @dataclass(frozen=True)
 class Report:
-    """Collected issue rows, at most one per condition of the contract."""
+    """Collected issues, at most one per condition of the contract."""
 
-    issues: tuple[Row, ...]
+    issues: tuple[Issue, ...]
 
     @property
-    def errors(self) -> tuple[Row, ...]:
+    def errors(self) -> tuple[Issue, ...]:
         return tuple(row for row in self.issues if row.severity == ERROR)
 
     @property
-    def warnings(self) -> tuple[Row, ...]:
+    def warnings(self) -> tuple[Issue, ...]:
         return tuple(row for row in self.issues if row.severity == WARNING)
 
     @property
@@ -175,7 +203,7 @@ class Report:
         return not self.errors
 
 
-def line_of(row: Row) -> str:
+def line_of(row: Issue) -> str:
     """The text form of a collected issue."""
     suffix = "" if row.n_rows is None else f" ({row.n_rows:,} rows)"
     return f"[{row.code}] {row.message}{suffix}"
@@ -191,11 +219,35 @@ class ContractViolation(ValueError):
 
 
 def validate(df: DataFrame, contract: Contract) -> Report:
-    """Run the checks now; the preview pass only if a vocabulary was left."""
-    rows = issue_counts(df, contract).collect()
-    if any(row.code == "unexpected_category" for row in rows):
-        rows = issues(df, contract).collect()
-    return Report(tuple(sorted(rows, key=lambda row: row.seq)))
+    """Run the checks now: one wide count, one count of repeated keys per unique column.
+
+    The preview pass runs only if a vocabulary was left.
+    """
+    found = _wrong_columns(df, contract)
+    if found:
+        return Report(tuple(Issue(*row) for row in found))
+    counts = _counts(df, contract).first()
+    if counts["n"] == 0:
+        return Report((Issue(0, ERROR, "empty_dataset", None, NO_ROWS, None),))
+    result = []
+    for seq, check in _numbered(contract):
+        if isinstance(check, Unique):
+            n = duplicated_values(df, number_identity(source(check.column))).first()[0]
+            issue = Issue(seq, ERROR, check.code, check.column, check.message, n)
+        else:
+            n = counts[f"n{seq}"]
+            issue = Issue(seq, check.severity, check.code, check.column, check.message, n)
+        if n:
+            result.append(issue)
+    if any(issue.code == "unexpected_category" for issue in result):
+        shown = {row["column"]: row.preview for row in vocabulary_previews(df, contract).collect()}
+        result = [
+            issue._replace(message=f"{issue.message}: {shown[issue.column]}.")
+            if issue.code == "unexpected_category"
+            else issue
+            for issue in result
+        ]
+    return Report(tuple(result))
 
 
 def gate(df: DataFrame, contract: Contract) -> Report:
