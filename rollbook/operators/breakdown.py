@@ -28,19 +28,25 @@ def category_breakdown(
 ) -> DataFrame:
     """``value, count, share`` per non-null value; shares are of all rows, nulls included.
 
-    The total is a scalar subquery over the same counts, whose shuffle Spark reuses.
+    The total is a scalar subquery over the same counts, so the table is read once: the null
+    group is told by its count of values, because a filter on the value itself would be pushed
+    below one of the two aggregates, and both readers use both counts, so that their plans are
+    equal and the shuffle is reused.
     """
     need_columns(df, [column])
     need_positive(limit, "limit")
-    counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    total = counts.agg(F.sum("count")).scalar()
-    return _breakdown(counts, total, limit, sort_by_value)
+    counts = df.groupBy(F.col(column).alias("value")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(column).alias("n_values")
+    )
+    total = counts.agg(F.sum(F.greatest("n_rows", "n_values"))).scalar()
+    known = counts.filter(F.col("n_values") > 0)
+    return _breakdown(known.withColumnRenamed("n_rows", "count"), total, limit, sort_by_value)
 
 
 def _breakdown(
     counts: DataFrame, total: Column, limit: int | None, sort_by_value: bool
 ) -> DataFrame:
-    rows = counts.filter(F.col("value").isNotNull()).select(
+    rows = counts.select(
         F.col("value").cast("string").alias("value"),
         "count",
         rate(F.col("count"), total).alias("share"),
@@ -71,16 +77,17 @@ def series_breakdown(
 ) -> DataFrame:
     """One column's breakdown out of :func:`value_counts`."""
     need_positive(limit, "limit")
-    rows = counts.filter(F.col("series") == series).drop("series")
+    rows = counts.filter((F.col("series") == series) & F.col("value").isNotNull())
     return _breakdown(rows, F.lit(total), limit, sort_by_value)
 
 
 def summed_breakdown(
     counts: DataFrame, column: str, limit: int | None = None, sort_by_value: bool = False
 ) -> DataFrame:
-    """The breakdown of ``column`` out of a table of counts that covers all rows."""
+    """The breakdown of ``column`` out of a staged table of counts that covers all rows."""
     need_positive(limit, "limit")
-    sums = counts.groupBy(F.col(column).alias("value")).agg(F.sum("count").alias("count"))
+    known = counts.filter(F.col(column).isNotNull())
+    sums = known.groupBy(F.col(column).alias("value")).agg(F.sum("count").alias("count"))
     total = counts.agg(F.sum("count")).scalar()
     return _breakdown(sums, total, limit, sort_by_value)
 

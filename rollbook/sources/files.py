@@ -27,13 +27,19 @@ class SourceError(RuntimeError):
     """A source file cannot be loaded."""
 
 
-def manifest(spark: SparkSession, path: str, provenance: Provenance | None = None) -> DataFrame:
-    """``path, length, modified`` per file, stamped with where the data was published."""
+def _files(spark: SparkSession, path: str) -> DataFrame:
     try:
-        files = spark.read.format("binaryFile").load(path)
+        return spark.read.format("binaryFile").load(path)
     except AnalysisException as error:
         raise SourceError(f"Source was not found at {path}.") from error
-    files = files.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def manifest(spark: SparkSession, path: str, provenance: Provenance | None = None) -> DataFrame:
+    """``path, length, modified`` per file, stamped with where the data was published.
+
+    Spark gives no row for a file without content; :func:`header_issues` counts those.
+    """
+    files = _files(spark, path).select("path", "length", F.col("modificationTime").alias("modified"))
     if provenance is None:
         return files
     stamps = vars(provenance)
@@ -131,7 +137,7 @@ def header_issues(spark: SparkSession, path: str, contract: Contract) -> DataFra
     names = F.col("names")
     problem = (
         F.when(F.col("error").isNotNull(), F.concat(F.lit("unreadable: "), "error"))
-        .when(names.isNull(), "empty file")
+        .when(names.isNull(), "no header")
         .when(F.size(F.array_distinct(names)) < F.size(names), "duplicate column names")
         .when(F.array_size(F.array_except(expected, names)) > 0, "columns differ")
         .when(F.array_size(F.array_except(names, expected)) > 0, "columns differ")
@@ -147,4 +153,16 @@ def header_issues(spark: SparkSession, path: str, contract: Contract) -> DataFra
         F.array_except(expected, names).alias("missing"),
         F.array_except(names, expected).alias("unexpected"),
     )
-    return found.filter(F.col("problem").isNotNull())
+    found = found.filter(F.col("problem").isNotNull())
+    # A file without content has no row of its own; the listing tells how many there are.
+    listed = len(_files(spark, path).inputFiles())
+    empty = F.lit(listed) - F.count(F.lit(1))
+    none = F.array().cast("array<string>")
+    missing = manifest(spark, path).agg(empty.alias("n")).filter("n > 0").select(
+        F.lit(path).alias("path"),
+        F.concat(F.col("n").cast("string"), F.lit(" files without content")).alias("problem"),
+        none.alias("duplicates"),
+        expected.alias("missing"),
+        none.alias("unexpected"),
+    )
+    return found.unionByName(missing)
