@@ -25,7 +25,7 @@ from rollbook.plans.quality import quality  # noqa: E402
 from rollbook.registration import FILTERS  # noqa: E402
 from rollbook.sources.delimited import read_raw  # noqa: E402
 from rollbook.sources.files import fingerprints  # noqa: E402
-from rollbook.staging import shared_folder, stage  # noqa: E402
+from rollbook.staging import shared_folder, stage, together  # noqa: E402
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CORES = os.environ.get("BENCH_CPUS", "8")
@@ -35,9 +35,8 @@ REPEATS = 3
 
 
 def run(*results: DataFrame) -> None:
-    """Compute whole results; every one is a small aggregate."""
-    for df in results:
-        df.collect()
+    """Compute whole results, as a page asks for them: all at once. Each is a small aggregate."""
+    together(*(df.collect for df in results))
 
 
 def main() -> None:
@@ -58,23 +57,27 @@ def main() -> None:
             best = min(best, time.perf_counter() - start)
         times[name] = round(best, 3)
 
-    # The cold load, step by step.
-    raw = read_raw(spark, source, CONTRACT)
-    timed("load_validate", lambda: gate(raw, CONTRACT))
-    timed(
-        "load_clean_write",
-        lambda: clean(raw, CONTRACT, validate=False).write.mode("overwrite").parquet(stored),
-    )
-    full = spark.read.parquet(stored)
+    # The load, step by step: first in a new session, then again when it is warm.
     bounds = _thresholds(spark)
 
     def full_quality() -> None:
-        page = quality(full, bounds)
+        page = quality(spark.read.parquet(stored), bounds)
         run(page.metrics, page.missingness, page.checks, page.verdict)
 
-    timed("load_quality", full_quality)
-    timed("load_fingerprint", lambda: fingerprints(spark, source).collect())
-    times["load_total"] = round(sum(times.values()), 3)
+    def clean_write() -> None:
+        raw = read_raw(spark, source, CONTRACT, check=False)
+        clean(raw, CONTRACT, validate=False).write.mode("overwrite").parquet(stored)
+
+    steps = {
+        "validate": lambda: gate(read_raw(spark, source, CONTRACT), CONTRACT),
+        "clean_write": clean_write,
+        "quality": full_quality,
+        "fingerprint": lambda: fingerprints(spark, source).collect(),
+    }
+    for kind, repeats in (("cold", 1), ("load", REPEATS)):
+        for name, step in steps.items():
+            timed(f"{kind}_{name}", step, repeats)
+    full = spark.read.parquet(stored)
 
     # Page interactions on the stored clean table, each computed from it in full.
     selection = filters.default_selection(full, FILTERS)
@@ -137,17 +140,20 @@ def main() -> None:
     for name, job in pairs.items():
         timed(name, job, REPEATS)
     rows = full.count()
-    total = sum(t for name, t in times.items() if name != "load_total")
+    cold = sum(t for name, t in times.items() if name.startswith("cold_"))
+    load = sum(t for name, t in times.items() if name.startswith("load_"))
     print(
         json.dumps(
             {
                 "metric": "total_seconds",
-                "value": round(total, 3),
+                "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
                 "sf": Path(FOLDER).name.removeprefix("sf"),
                 "registration_rows": rows,
-                "load_rows_per_second": round(rows / times["load_total"]),
+                "cold_load_seconds": round(cold, 3),
+                "load_seconds": round(load, 3),
+                "load_rows_per_second": round(rows / load),
             }
         )
     )

@@ -259,7 +259,7 @@ def validation_gate_broken(spark: SparkSession, folder: str) -> DataFrame:
     (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1)""",
 )
 def validation_duplicate_keys(spark: SparkSession, folder: str) -> DataFrame:
-    return validate.duplicated_values(table(spark, folder, "lineitem"), F.col("l_orderkey"))
+    return validate.duplicated_values(table(spark, folder, "lineitem"), [F.col("l_orderkey")])
 
 
 @query(

@@ -27,13 +27,20 @@ def integer(c: Column) -> Column:
     return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
 
 
-def number_identity(c: Column) -> Column:
-    """A key that is equal exactly where the parsed numbers are equal ("01" and "1.0" are "1")."""
+def number_key(c: Column) -> list[Column]:
+    """Two columns that are equal exactly where the parsed numbers are equal.
+
+    The first holds whole numbers of up to 64 bits, so that "1", "01" and "1.0" meet in eight
+    bytes; the second spells out any other number. Both are null for text that is no number.
+    """
     text = strip(c)
     text = F.when(matches(text, NUMBER), text)
-    return F.coalesce(
-        text.try_cast("decimal(38,10)").cast("string"), text.try_cast("double").cast("string")
+    exact = text.try_cast("decimal(38,10)")
+    whole = F.coalesce(
+        text.try_cast("bigint"), F.when(exact == F.floor(exact), exact).try_cast("bigint")
     )
+    other = F.coalesce(exact.cast("string"), text.try_cast("double").cast("string"))
+    return [whole, F.when(whole.isNull(), other)]
 
 
 def is_whole(x: Column) -> Column:

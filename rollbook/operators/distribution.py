@@ -23,18 +23,29 @@ def measure_counts(df: DataFrame, groups: list[str], measure: str) -> DataFrame:
     return df.groupBy(*groups, F.col(measure).alias("value")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def distribution(
-    staged: Staged, group: str, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
+def coverage(counts: DataFrame, group: str) -> DataFrame:
+    """Size, known and unknown values and known share per non-null group."""
+    known = F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("count"))), F.lit(0))
+    sizes = counts.filter(F.col(group).isNotNull()).groupBy(group)
+    return sizes.agg(F.sum("count").alias("total_count"), known.alias("known_count")).select(
+        group,
+        "total_count",
+        "known_count",
+        (F.col("total_count") - F.col("known_count")).alias("unknown_count"),
+        rate(F.col("known_count"), F.col("total_count")).alias("known_share"),
+    )
+
+
+def distribution(staged: Staged, group: str, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """Per non-null group: size, known values, share and unrounded statistics of the known.
 
     A group without known values has share 0 and null statistics.
     """
     counts = staged.frame.filter(F.col(group).isNotNull())
-    known = F.col("value").isNotNull()
+    known = F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("count"))), F.lit(0))
     sizes = counts.groupBy(group).agg(
         F.sum("count").alias("total_count"),
-        F.coalesce(F.sum(F.when(known, F.col("count"))), F.lit(0)).alias("known_count"),
+        known.alias("known_count"),
         F.min("value").alias("minimum"),
         F.max("value").alias("maximum"),
         F.sum(F.col("value") * F.col("count")).cast("double").alias("_sum"),
@@ -68,17 +79,6 @@ def with_known_values(stats: DataFrame) -> DataFrame:
     return stats.filter(F.col("median").isNotNull())
 
 
-def coverage(stats: DataFrame, group: str) -> DataFrame:
-    """Known and unknown counts per group."""
-    return stats.select(
-        group,
-        "total_count",
-        "known_count",
-        (F.col("total_count") - F.col("known_count")).alias("unknown_count"),
-        "known_share",
-    )
-
-
 def coverage_series(covered: DataFrame, group: str) -> DataFrame:
     """Long form, two series per group."""
     named = covered.select(

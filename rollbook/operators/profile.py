@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollbook.functions.numbers import rate
 from rollbook.functions.text import fold
-from rollbook.operators.breakdown import value_counts
 from rollbook.operators.guards import need_columns
 
+# The kinds of values a profile tells apart, with the type that holds each.
+KINDS = {"text": "string", "whole": "bigint", "real": "double"}
+
 
 @dataclass(frozen=True)
 class QualityColumns:
@@ -39,12 +44,12 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     if approximate:
         profile = _sketched(df)
     else:
-        profile = value_counts(df, df.columns).groupBy(F.col("series").alias("column")).agg(
+        present = reduce(or_, (F.col(kind).isNotNull() for kind in KINDS))
+        counts = _typed_counts(df).withColumn("present", present)
+        profile = counts.groupBy("column").agg(
             F.sum("count").alias("n_rows"),
-            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("count"))), F.lit(0)).alias(
-                "missing_count"
-            ),
-            F.count("value").alias("unique_count"),
+            F.sum(F.when(F.col("present"), 0).otherwise(F.col("count"))).alias("missing_count"),
+            F.count_if("present").alias("unique_count"),
         )
     names = F.array(*(F.lit(name) for name in df.columns))
     return profile.select(
@@ -57,6 +62,36 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     )
 
 
+def _typed(c: Column, kind: T.DataType) -> dict[str, Column]:
+    """The value in the one column of its kind, so that numbers need not become text."""
+    match kind:
+        case T.DateType():
+            return {"whole": F.unix_date(c).cast("bigint")}
+        case T.TimestampType():
+            return {"whole": F.unix_micros(c)}
+        case T.BooleanType() | T.IntegralType():
+            return {"whole": c.cast("bigint")}
+        case T.FloatType() | T.DoubleType():
+            return {"real": c.cast("double")}
+        case _:
+            return {"text": c.cast("string")}
+
+
+def _typed_counts(df: DataFrame) -> DataFrame:
+    """``column, text, whole, real, count``: every value of every column with its count."""
+    entries = []
+    for field in df.schema:
+        values = _typed(F.col(f"`{field.name}`"), field.dataType)
+        entries.append(
+            F.struct(
+                F.lit(field.name).alias("column"),
+                *(values.get(k, F.lit(None)).cast(t).alias(k) for k, t in KINDS.items()),
+            )
+        )
+    long = df.select(F.inline(F.array(*entries)))
+    return long.groupBy("column", *KINDS).agg(F.count(F.lit(1)).alias("count"))
+
+
 def _sketched(df: DataFrame) -> DataFrame:
     aggregates = [F.count(F.lit(1)).alias("n")]
     entries = []

@@ -9,6 +9,7 @@ gate runs only when there are any.
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -16,8 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.contract import ERROR, WARNING, Check, Contract, OneOf, Unique, prepare, source
-from rollbook.functions.numbers import number_identity
+from rollbook.functions.numbers import number_key
 from rollbook.functions.text import present, quoted
+from rollbook.staging import together
 
 # Messages of the two issues that end the checks, and the issue columns.
 WRONG_COLUMNS = "Columns or column order do not match the documented source schema."
@@ -53,9 +55,14 @@ def _counts(df: DataFrame, contract: Contract) -> DataFrame:
     )
 
 
-def duplicated_values(df: DataFrame, key: Column) -> DataFrame:
-    """Number of rows that share their key with another row, all of them counted."""
-    counts = df.select(key.alias("key")).dropna().groupBy("key").count()
+def duplicated_values(df: DataFrame, key: Sequence[Column]) -> DataFrame:
+    """Number of rows that share their key with another row, all of them counted.
+
+    A key that is null in every part is no key. Equal keys are counted before they move.
+    """
+    parts = [f"k{i}" for i in range(len(key))]
+    keyed = df.select(*(c.alias(name) for c, name in zip(key, parts, strict=True)))
+    counts = keyed.dropna("all").groupBy(*parts).count()
     return counts.agg(
         F.coalesce(F.sum(F.when(F.col("count") > 1, F.col("count"))), F.lit(0)).alias("n_rows")
     )
@@ -115,7 +122,7 @@ def issue_counts(df: DataFrame, contract: Contract) -> DataFrame:
 
     for seq, rule in numbered:
         if isinstance(rule, Unique):
-            found = duplicated_values(df, number_identity(source(rule.column))).filter("n_rows > 0")
+            found = duplicated_values(df, number_key(source(rule.column))).filter("n_rows > 0")
             fixed = _literal((seq, ERROR, rule.code, rule.column, rule.message, None))
             issues = issues.unionByName(found.select(*fixed[:-1], "n_rows"))
     return issues
@@ -226,13 +233,17 @@ def validate(df: DataFrame, contract: Contract) -> Report:
     found = _wrong_columns(df, contract)
     if found:
         return Report(tuple(Issue(*row) for row in found))
-    counts = _counts(df, contract).first()
+    numbered = _numbered(contract)
+    unique = {seq: rule.column for seq, rule in numbered if isinstance(rule, Unique)}
+    keys = [duplicated_values(df, number_key(source(name))) for name in unique.values()]
+    counts, *repeats = together(_counts(df, contract).first, *(key.first for key in keys))
     if counts["n"] == 0:
         return Report((Issue(0, ERROR, "empty_dataset", None, NO_ROWS, None),))
+    repeated = dict(zip(unique, repeats, strict=True))
     result = []
-    for seq, check in _numbered(contract):
+    for seq, check in numbered:
         if isinstance(check, Unique):
-            n = duplicated_values(df, number_identity(source(check.column))).first()[0]
+            n = repeated[seq][0]
             issue = Issue(seq, ERROR, check.code, check.column, check.message, n)
         else:
             n = counts[f"n{seq}"]

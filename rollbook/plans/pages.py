@@ -16,7 +16,7 @@ from rollbook.functions.numbers import share
 from rollbook.operators import breakdown, distribution, grid, places, ranking
 from rollbook.operators.guards import EmptyInput, need_columns, need_positive
 from rollbook.operators.ordering import quantiles
-from rollbook.staging import ONE_TASK_ROWS, Staged, stage
+from rollbook.staging import ONE_TASK_ROWS, Staged, stage, together
 
 
 @dataclass(frozen=True)
@@ -47,16 +47,18 @@ def _count_where(series: str, value: str) -> Column:
     return F.coalesce(F.sum(F.when(hit, F.col("count"))), F.lit(0))
 
 
-def _years(counts: Staged, year: str, one_task_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Year counts as numbers, and their one-row median."""
+def _years(counts: Staged, year: str) -> DataFrame:
+    """Year counts as numbers."""
     rows = counts.frame.filter(F.col("series") == year)
-    rows = rows.select(F.col("value").cast("bigint").alias("value"), "count")
-    median = quantiles(
-        Staged(rows, counts.rows), [], "value", "count", {"median": 0.5}, one_task_rows
-    )
-    if median.isEmpty():
+    return rows.select(F.col("value").cast("bigint").alias("value"), "count")
+
+
+def _median_year(counts: Staged, year: str, one_task_rows: int) -> float:
+    years = Staged(_years(counts, year), counts.rows)
+    median = quantiles(years, [], "value", "count", {"median": 0.5}, one_task_rows).first()
+    if median is None:
         raise EmptyInput(f"No values of {year} in the input.")
-    return rows, median
+    return median[0]
 
 
 @dataclass(frozen=True)
@@ -80,10 +82,15 @@ def overview(
     need_positive(top_makes, "top_makes")
     series = {name: F.col(name) for name in (c.year, c.type, c.status, c.make)}
     known = F.when(F.col(c.measure).isNotNull(), F.lit("known"))
-    counts = stage(breakdown.value_counts(df, series | {c.measure: known}))
+    series[c.measure] = known
+    counts, vehicles = together(
+        lambda: stage(breakdown.value_counts(df, series), "count"),
+        lambda: breakdown.distinct_keys(df, c.key),
+    )
     _need_rows(counts)
-    _, median = _years(counts, c.year, one_task_rows)
-    vehicles = breakdown.distinct_keys(df, c.key)
+    median = _median_year(counts, c.year, one_task_rows)
+    # Every series counts every row, null or not.
+    rows = counts.total // len(series)
     headline = counts.frame.agg(
         F.lit(vehicles).cast("bigint").alias("vehicle_count"),
         _count_where(c.type, c.main_type).alias("bev_count"),
@@ -95,9 +102,8 @@ def overview(
             share(F.col(f"{name}_count"), F.col("vehicle_count")).alias(f"{name}_share")
             for name in ("bev", "known_range", "eligible")
         ),
-        median.scalar().alias("median_model_year"),
+        F.lit(median).alias("median_model_year"),
     )
-    rows = counts.frame.filter(F.col("series") == c.make).agg(F.sum("count")).first()[0]
 
     def of(name: str, **options) -> DataFrame:
         return breakdown.series_breakdown(counts.frame, name, rows, **options)
@@ -127,18 +133,21 @@ def exploratory(
     c = columns
     ranked = (c.make, c.model, c.county, c.city)
     need_columns(df, [c.year, *ranked, c.type, c.status, c.measure])
-    counts = stage(breakdown.value_counts(df, [c.year, c.type, c.status, *ranked]))
+    series = [c.year, c.type, c.status, *ranked]
+    counts, by_type = together(
+        lambda: stage(breakdown.value_counts(df, series), "count"),
+        lambda: stage(distribution.measure_counts(df, [c.type], c.measure)),
+    )
     _need_rows(counts)
-    years, median = _years(counts, c.year, one_task_rows)
-    # Every series counts every row, null or not.
-    rows = years.agg(F.sum("count")).first()[0]
+    median = _median_year(counts, c.year, one_task_rows)
+    rows = counts.total // len(series)
 
     def of(name: str, **options) -> DataFrame:
         return breakdown.series_breakdown(counts.frame, name, rows, **options)
 
     breakdowns = {c.year: of(c.year, sort_by_value=True), c.type: of(c.type)}
     breakdowns |= {c.status: of(c.status)} | {name: of(name, limit=top) for name in ranked}
-    span = years.agg(
+    span = _years(counts, c.year).agg(
         F.min("value").alias("model_year_min"),
         F.max("value").alias("model_year_max"),
         F.coalesce(
@@ -153,14 +162,13 @@ def exploratory(
         F.lit(rows).cast("bigint").alias("vehicle_count"),
         "*",
         share(F.col("recent_model_year_count"), F.lit(rows)).alias("recent_model_year_share"),
-        median.scalar().alias("model_year_median"),
+        F.lit(median).alias("model_year_median"),
         *(sizes.select(name).scalar().alias(name) for name in sizes.columns),
         breakdown.concentration(breakdowns[c.make], top).scalar().alias("top_10_make_share"),
         breakdown.concentration(breakdowns[c.county], top_counties)
         .scalar()
         .alias("top_5_county_share"),
     )
-    by_type = stage(distribution.measure_counts(df, [c.type], c.measure))
     stats = distribution.distribution(by_type, c.type, one_task_rows)
     return Exploratory(headline, breakdowns, stats.withColumn("mean", F.bround("mean", 2)))
 
@@ -184,16 +192,21 @@ def market(
     c = columns
     need_columns(df, [c.key, c.make, c.model, c.year])
     need_positive(grid_makes, "grid_makes")
-    cells = stage(df.groupBy(c.make, c.model, c.year).agg(F.count(F.lit(1)).alias("count")))
+    cells, vehicles = together(
+        lambda: stage(df.groupBy(c.make, c.model, c.year).agg(F.count(F.lit(1)).alias("count"))),
+        lambda: breakdown.distinct_keys(df, c.key),
+    )
     _need_rows(cells)
     by_make = ranking.regroup(cells, [c.make], [c.make, c.model])
     by_model = ranking.regroup(cells, [c.make, c.model], [c.make, c.model])
-    top = ranking.top_counts(by_make, [c.make], grid_makes).frame.collect()
+    top, years = together(
+        ranking.top_counts(by_make, [c.make], grid_makes).frame.collect,
+        cells.frame.filter(F.col(c.year).isNotNull()).limit(1).collect,
+    )
     if not top:
         raise EmptyInput("No rows with make and model in the input.")
-    if cells.frame.filter(F.col(c.year).isNotNull()).isEmpty():
+    if not years:
         raise EmptyInput(f"No values of {c.year} in the input.")
-    vehicles = breakdown.distinct_keys(df, c.key)
     makes = ranking.rank_counts(by_make, [c.make], vehicles, F.col(c.make), one_task_rows)
     label = ranking.pair_label(c.model, c.make, " — ")
     models = ranking.rank_counts(by_model, [c.make, c.model], vehicles, label, one_task_rows)
@@ -229,12 +242,13 @@ def geography(
     """County and city rankings, aggregate points and coordinate coverage, without row keys."""
     p = columns
     need_columns(df, [key, *p.all])
-    cells = stage(places.place_counts(df, p))
+    cells, vehicles = together(
+        lambda: stage(places.place_counts(df, p)), lambda: breakdown.distinct_keys(df, key)
+    )
     _need_rows(cells)
     by_county = ranking.regroup(cells, [p.state, p.county], [p.state, p.county])
     leader = ranking.top_counts(by_county, [p.county, p.state], 1).frame
     label = ranking.pair_label(p.county, p.state, ", ")
-    vehicles = breakdown.distinct_keys(df, key)
 
     def complete(names: list[str]) -> Column:
         known = F.lit(True)
@@ -290,7 +304,10 @@ def ranges(
     c = columns
     need_columns(df, [c.key, c.type, c.measure, c.status])
     need_positive(width, "width")
-    cells = stage(distribution.measure_counts(df, [c.type, c.status], c.measure))
+    cells, vehicles = together(
+        lambda: stage(distribution.measure_counts(df, [c.type, c.status], c.measure)),
+        lambda: breakdown.distinct_keys(df, c.key),
+    )
     _need_rows(cells)
     if cells.frame.filter(F.col(c.type).isNotNull()).isEmpty():
         raise EmptyInput(f"No values of {c.type} in the input.")
@@ -298,7 +315,6 @@ def ranges(
     def summed(*names: str) -> DataFrame:
         return cells.frame.groupBy(*names).agg(F.sum("count").alias("count"))
 
-    vehicles = breakdown.distinct_keys(df, c.key)
     by_type = Staged(summed(c.type, "value"), cells.rows)
     statistics = distribution.rounded(
         distribution.distribution(by_type, c.type, one_task_rows)
@@ -325,7 +341,7 @@ def ranges(
     return Ranges(
         headline,
         statistics,
-        distribution.coverage(statistics, c.type),
+        distribution.coverage(by_type.frame, c.type),
         distribution.histogram(by_type.frame, c.type, width),
         breakdown.summed_breakdown(cells.frame, c.status),
     )

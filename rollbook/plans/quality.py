@@ -12,7 +12,7 @@ from rollbook.operators.guards import EmptyInput, need_columns
 from rollbook.operators.profile import QualityColumns
 from rollbook.operators.validate import Report, line_of
 from rollbook.sources.reports import quality_report, write_report
-from rollbook.staging import stage
+from rollbook.staging import stage, together
 
 REGISTRATION_QUALITY = QualityColumns(
     key="dol_vehicle_id",
@@ -37,20 +37,21 @@ def quality(
 ) -> Quality:
     """Metrics, column profile and drift checks; failed checks never hide the metrics.
 
-    Four passes, each over the columns it needs: the profile, the wide counts, the row digests
-    and the keys. Each leaves one row or one row per column, which is staged.
+    Four passes at the same time, each over the columns it needs: the profile, the wide counts,
+    the row digests and the keys. Each leaves one row, or one row per column, which is staged.
     """
     need_columns(full, columns.names)
-    columns_found = stage(profile.column_profile(full))
+    columns_found, counted, rows, keys = together(
+        lambda: stage(profile.column_profile(full)),
+        lambda: profile.table_metrics(full, columns).first(),
+        lambda: profile.duplicate_rows(full).first()[0],
+        lambda: profile.duplicate_keys(full, [columns.key]).first()[0],
+    )
     if columns_found.rows == 0:
         raise EmptyInput("Quality reporting requires at least one data row.")
-    counted = stage(profile.table_metrics(full, columns)).frame
-    rows = stage(profile.duplicate_rows(full)).frame
-    keys = stage(profile.duplicate_keys(full, [columns.key])).frame
-    metrics = counted.select(
-        "*",
-        rows.scalar().alias("exact_duplicate_rows"),
-        keys.scalar().alias("duplicate_vehicle_ids"),
+    values = counted.asDict() | {"exact_duplicate_rows": rows, "duplicate_vehicle_ids": keys}
+    metrics = full.sparkSession.range(1).select(
+        *(F.lit(value).alias(name) for name, value in values.items())
     )
     rates = columns_found.frame.select(
         F.concat(F.lit("missing_rate."), "column").alias("metric"),

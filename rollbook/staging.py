@@ -8,9 +8,13 @@ count is the proven bound that decides whether a later step fits one task.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Rows that one task sorts or merges without trouble; beyond it the distributed way is taken.
 ONE_TASK_ROWS = 1_000_000
@@ -18,8 +22,11 @@ ONE_TASK_ROWS = 1_000_000
 
 @dataclass(frozen=True)
 class Staged:
+    """A kept table, its number of rows (or a bound of it) and the sum of its counts."""
+
     frame: DataFrame
     rows: int
+    total: int = 0
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,8 +42,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame) -> Staged:
-    """Compute ``df`` now and keep it."""
+def stage(df: DataFrame, count: str | None = None) -> Staged:
+    """Compute ``df`` now and keep it; ``count`` names a column to total along with the rows."""
     shared_folder(df.sparkSession)
     kept = df.checkpoint()
-    return Staged(kept, kept.count())
+    total = F.lit(0) if count is None else F.sum(count)
+    rows, total = kept.agg(F.count(F.lit(1)), F.coalesce(total, F.lit(0))).first()
+    return Staged(kept, rows, total)
+
+
+def together(*jobs: Callable) -> list:
+    """Run independent jobs at the same time, so that small ones do not wait for each other."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        running = [pool.submit(inheritable_thread_target(job)) for job in jobs]
+        return [job.result() for job in running]

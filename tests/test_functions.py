@@ -65,11 +65,23 @@ def test_numbers(spark, value, parsed, whole):
     assert one(spark, value, "string", numbers.number, numbers.integer) == (parsed, whole)
 
 
-def test_number_identity(spark):
-    keys = {one(spark, v, "string", numbers.number_identity)[0] for v in ("1", "01", " 1.0", "1e0")}
-    assert len(keys) == 1
-    big = [one(spark, v, "string", numbers.number_identity)[0] for v in ("9007199254740993", "9007199254740992")]
-    assert big[0] != big[1]
+@pytest.mark.parametrize(
+    "same, different",
+    [
+        (("1", "01", " 1.0", "1e0", "+1"), "2"),
+        (("1.5", "15e-1"), "1"),
+        (("9007199254740993", "9007199254740993.0"), "9007199254740992"),
+        (("99999999999999999999", "099999999999999999999.0"), "99999999999999999998"),
+        (("1e60", "10e59"), "1e61"),
+    ],
+)
+def test_number_keys(spark, same, different):
+    def key(value):
+        return one(spark, value, "string", *(lambda c, i=i: numbers.number_key(c)[i] for i in (0, 1)))
+
+    assert len({key(value) for value in same}) == 1
+    assert key(different) != key(same[0])
+    assert key("x") == key(None) == (None, None)
 
 
 @pytest.mark.parametrize(

@@ -148,4 +148,4 @@ def test_one_pass_for_all_row_rules(spark, contract, raw):
 
 def test_duplicated_values_ignore_null(spark):
     df = spark.sql("SELECT * FROM VALUES (1), (1), (2), (NULL), (NULL) AS t(k)")
-    assert rows(validate.duplicated_values(df, F.col("k"))) == [(2,)]
+    assert rows(validate.duplicated_values(df, [F.col("k")])) == [(2,)]
