@@ -12,13 +12,24 @@ WHITE_SPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Matches only text that collapsing would change, so clean values are returned as they are.
+# White space that collapsing changes: two or more in a row, or any that is not a blank.
 _UNTIDY = r"(?U)[\s\x1c-\x1f]{2,}|[\s\x1c-\x1f&&[^ ]]"
 
+# Printable words with single blanks between them, as nearly all values are; telling them
+# apart first is twice as fast as searching every value for something to replace.
+_TIDY = r"\A[!-~]*+(?: [!-~]++)*+ ?\z"
+
 
 def strip(c: Column) -> Column:
-    """Remove surrounding white space of any kind (Spark's own trim only removes blanks)."""
-    return F.trim(c, F.lit(WHITE_SPACE))
+    """Remove surrounding white space of any kind (Spark's own trim only removes blanks).
+
+    Plain text that begins and ends in a printable character needs no more than that trim, and
+    the trim with a set of characters is several times slower.
+    """
+    text = F.trim(c)
+    plain = F.length(text) == F.octet_length(text)
+    printable = plain & (text >= "!") & (F.substring(text, -1, 1) >= "!")
+    return F.when(printable, text).otherwise(F.trim(c, F.lit(WHITE_SPACE)))
 
 
 def blank(c: Column) -> Column:
@@ -33,7 +44,8 @@ def present(c: Column) -> Column:
 
 def tidy(c: Column) -> Column:
     """Strip, collapse inner white space to one blank, and make empty text null."""
-    return F.nullif(F.trim(F.regexp_replace(c, _UNTIDY, " ")), F.lit(""))
+    collapsed = F.when(c.rlike(_TIDY), c).otherwise(F.regexp_replace(c, _UNTIDY, " "))
+    return F.nullif(F.trim(collapsed), F.lit(""))
 
 
 def fold(c: Column) -> Column:

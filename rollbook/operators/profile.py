@@ -79,16 +79,18 @@ def _typed(c: Column, kind: T.DataType) -> dict[str, Column]:
 
 def _typed_counts(df: DataFrame) -> DataFrame:
     """``column, text, whole, real, count``: every value of every column with its count."""
-    entries = []
-    for field in df.schema:
+    wide, sets = [], []
+    for i, field in enumerate(df.schema):
         values = _typed(F.col(f"`{field.name}`"), field.dataType)
-        entries.append(
-            F.struct(
-                F.lit(field.name).alias("column"),
-                *(values.get(k, F.lit(None)).cast(t).alias(k) for k, t in KINDS.items()),
-            )
-        )
-    long = df.select(F.inline(F.array(*entries)))
+        wide += [
+            values.get(kind, F.lit(None)).cast(t).alias(f"{kind}{i}") for kind, t in KINDS.items()
+        ]
+        sets.append(f"({', '.join(f'{kind}{i}' for kind in KINDS)}) AS `{field.name}`")
+    long = df.sparkSession.sql(
+        f"SELECT * FROM {{wide}} UNPIVOT INCLUDE NULLS "
+        f"(({', '.join(KINDS)}) FOR column IN ({', '.join(sets)}))",
+        wide=df.select(*wide),
+    )
     return long.groupBy("column", *KINDS).agg(F.count(F.lit(1)).alias("count"))
 
 

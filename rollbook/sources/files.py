@@ -12,7 +12,7 @@ import hashlib
 import io
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -86,20 +86,24 @@ def _header(path: str) -> tuple[list[str] | None, str | None]:
         return None, str(error)
 
 
-def _per_file(columns: Callable[[str], dict]) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _per_file(look: Callable[[str], dict], schema: pa.Schema) -> Callable:
+    """Open each file of a batch of paths; the batch comes back with what was found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [columns(path) for path in batch["path"]]
-            yield batch.join(pd.DataFrame(rows, index=batch.index))
+            rows = [row | look(row["path"]) for row in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return run
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """``path, length, sha256`` per file. For one huge file see :func:`table_fingerprint`."""
+    schema = pa.schema({"path": pa.string(), "length": pa.int64(), "sha256": pa.string()})
     files = manifest(spark, path).select("path", "length")
-    return files.mapInPandas(
-        _per_file(lambda name: {"sha256": _digest(name)}), "path string, length long, sha256 string"
+    return files.mapInArrow(
+        _per_file(lambda name: {"sha256": _digest(name)}, schema),
+        "path string, length long, sha256 string",
     )
 
 
@@ -120,12 +124,14 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
 def headers(spark: SparkSession, path: str) -> DataFrame:
     """``path, names, error``: the first record of every file, which alone is read."""
 
-    def columns(name: str) -> dict:
-        names, error = _header(name)
-        return {"names": names, "error": error}
-
+    schema = pa.schema(
+        {"path": pa.string(), "names": pa.list_(pa.string()), "error": pa.string()}
+    )
     files = manifest(spark, path).select("path")
-    return files.mapInPandas(_per_file(columns), "path string, names array<string>, error string")
+    return files.mapInArrow(
+        _per_file(lambda name: dict(zip(("names", "error"), _header(name), strict=True)), schema),
+        "path string, names array<string>, error string",
+    )
 
 
 def header_issues(spark: SparkSession, path: str, contract: Contract) -> DataFrame:

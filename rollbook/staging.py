@@ -53,6 +53,7 @@ def stage(df: DataFrame, count: str | None = None) -> Staged:
 
 def together(*jobs: Callable) -> list:
     """Run independent jobs at the same time, so that small ones do not wait for each other."""
+    inheriting = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(len(jobs)) as pool:
-        running = [pool.submit(inheritable_thread_target(job)) for job in jobs]
+        running = [pool.submit(inheriting(job)) for job in jobs]
         return [job.result() for job in running]

@@ -45,7 +45,7 @@ def test_profile(spark, contract, raw, approximate):
 
 def test_profile_shuffles_by_column_and_value(spark, contract, raw):
     plan = profile.column_profile(raw.clean(spark, contract))._jdf.queryExecution().executedPlan()
-    assert "hashpartitioning(series" in plan.toString()
+    assert "hashpartitioning(column" in plan.toString()
     assert "SinglePartition" not in plan.toString()
 
 
