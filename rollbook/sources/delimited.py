@@ -17,7 +17,7 @@ def raw_schema(contract: Contract) -> T.StructType:
 
 def check_headers(spark: SparkSession, path: str, contract: Contract) -> None:
     """Refuse the source if any file's header differs; some files are named."""
-    bad = header_issues(spark, path, contract).limit(SHOWN).collect()
+    bad = header_issues(spark, path, contract).orderBy("path").limit(SHOWN).collect()
     if bad:
         lines = [
             f"- {row.path}: {row.problem}; duplicates: {row.duplicates or 'none'}; "

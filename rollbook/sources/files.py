@@ -7,21 +7,13 @@ brings a file into memory whole.
 
 from __future__ import annotations
 
-import csv
-import hashlib
-import io
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
-from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.contract import Contract, Provenance
-
-_BLOCK = 1 << 20
-
+from rollbook.operators.profile import row_digest
+from rollbook.sources import streams
 
 class SourceError(RuntimeError):
     """A source file cannot be loaded."""
@@ -59,52 +51,10 @@ def changes(current: DataFrame, saved: DataFrame) -> DataFrame:
     return joined.filter(F.col("change").isNotNull())
 
 
-def _open(path: str, compression: str | None):
-    """Open a path as Spark reports it; ``file:/x`` is a plain local path."""
-    if path.startswith("file:"):
-        return fs.LocalFileSystem().open_input_stream(
-            "/" + path[len("file:") :].lstrip("/"), compression=compression
-        )
-    system, inner = fs.FileSystem.from_uri(path)
-    return system.open_input_stream(inner, compression=compression)
-
-
-def _digest(path: str) -> str:
-    digest = hashlib.sha256()
-    with _open(path, None) as stream:
-        while block := stream.read(_BLOCK):
-            digest.update(block)
-    return digest.hexdigest()
-
-
-def _header(path: str) -> tuple[list[str] | None, str | None]:
-    try:
-        with _open(path, "detect") as stream:
-            text = io.TextIOWrapper(io.BufferedReader(stream), encoding="utf-8-sig", newline="")
-            return next(csv.reader(text), None), None
-    except (OSError, UnicodeError, csv.Error) as error:
-        return None, str(error)
-
-
-def _per_file(look: Callable[[str], dict], schema: pa.Schema) -> Callable:
-    """Open each file of a batch of paths; the batch comes back with what was found."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [row | look(row["path"]) for row in batch.to_pylist()]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    return run
-
-
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """``path, length, sha256`` per file. For one huge file see :func:`table_fingerprint`."""
-    schema = pa.schema({"path": pa.string(), "length": pa.int64(), "sha256": pa.string()})
     files = manifest(spark, path).select("path", "length")
-    return files.mapInArrow(
-        _per_file(lambda name: {"sha256": _digest(name)}, schema),
-        "path string, length long, sha256 string",
-    )
+    return files.mapInArrow(streams.digests, "path string, length long, sha256 string")
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
@@ -112,8 +62,6 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
 
     A sum, unlike exclusive or, also sees a row that was doubled.
     """
-    from rollbook.operators.profile import row_digest
-
     digest = F.conv(F.substring(F.lower(F.hex(row_digest(df.columns))), 1, 15), 16, 10)
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -124,14 +72,8 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
 def headers(spark: SparkSession, path: str) -> DataFrame:
     """``path, names, error``: the first record of every file, which alone is read."""
 
-    schema = pa.schema(
-        {"path": pa.string(), "names": pa.list_(pa.string()), "error": pa.string()}
-    )
     files = manifest(spark, path).select("path")
-    return files.mapInArrow(
-        _per_file(lambda name: dict(zip(("names", "error"), _header(name), strict=True)), schema),
-        "path string, names array<string>, error string",
-    )
+    return files.mapInArrow(streams.headers, "path string, names array<string>, error string")
 
 
 def header_issues(spark: SparkSession, path: str, contract: Contract) -> DataFrame:

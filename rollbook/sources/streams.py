@@ -1,0 +1,63 @@
+"""What tasks run to look into single files, as streams.
+
+Imports stay few, because every Python worker pays for them.
+"""
+
+from __future__ import annotations
+
+import csv
+import hashlib
+import io
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+
+_BLOCK = 1 << 20
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def _open(path: str, compression: str | None) -> pa.NativeFile:
+    """Open a path as Spark reports it; ``file:/x`` is a plain local path."""
+    if path.startswith("file:"):
+        local = "/" + path.removeprefix("file:").lstrip("/")
+        return fs.LocalFileSystem().open_input_stream(local, compression=compression)
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_stream(inner, compression=compression)
+
+
+def _digest(path: str) -> dict:
+    digest = hashlib.sha256()
+    with _open(path, None) as stream:
+        while block := stream.read(_BLOCK):
+            digest.update(block)
+    return {"sha256": digest.hexdigest()}
+
+
+def _header(path: str) -> dict:
+    try:
+        with _open(path, "detect") as stream:
+            text = io.TextIOWrapper(io.BufferedReader(stream), encoding="utf-8-sig", newline="")
+            return {"names": next(csv.reader(text), None), "error": None}
+    except (OSError, UnicodeError, csv.Error) as error:
+        return {"names": None, "error": str(error)}
+
+
+def _each(batches: Batches, look: Callable[[str], dict], schema: pa.Schema) -> Batches:
+    """Open the file of each row; the batch comes back with what was found."""
+    for batch in batches:
+        rows = [row | look(row["path"]) for row in batch.to_pylist()]
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+def digests(batches: Batches) -> Batches:
+    schema = pa.schema({"path": pa.string(), "length": pa.int64(), "sha256": pa.string()})
+    return _each(batches, _digest, schema)
+
+
+def headers(batches: Batches) -> Batches:
+    """First record per file; a file is read no further than that."""
+    names = pa.list_(pa.string())
+    schema = pa.schema({"path": pa.string(), "names": names, "error": pa.string()})
+    return _each(batches, _header, schema)
