@@ -18,6 +18,10 @@ from rollbook.operators.guards import need_columns
 # The kinds of values a profile tells apart, with the type that holds each.
 KINDS = {"text": "string", "whole": "bigint", "real": "double"}
 
+# Text of this many bytes is profiled by its digest, which is exactly as long in hexadecimal:
+# shorter text can never look like one, and no value moves with more bytes than this.
+LONG_TEXT = 64
+
 
 @dataclass(frozen=True)
 class QualityColumns:
@@ -74,7 +78,9 @@ def _typed(c: Column, kind: T.DataType) -> dict[str, Column]:
         case T.FloatType() | T.DoubleType():
             return {"real": c.cast("double")}
         case _:
-            return {"text": c.cast("string")}
+            text = c.cast("string")
+            long = F.octet_length(text) >= LONG_TEXT
+            return {"text": F.when(long, F.sha2(text, 256)).otherwise(text)}
 
 
 def _typed_counts(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from rollbook.operators.clean import clean
 from rollbook.operators.filters import FilterColumns, Selection, apply_filters
 from rollbook.operators.validate import Report, gate
 from rollbook.sources.delimited import read_raw
-from rollbook.sources.files import manifest
+from rollbook.sources.files import fingerprints, manifest
 
 
 def load_validated(
@@ -49,7 +49,7 @@ def load_clean(
 
 @dataclass(frozen=True)
 class Snapshot:
-    """The full table with its report and the files it came from."""
+    """The full table, its report, and the files it came from with digests and provenance."""
 
     full: DataFrame
     report: Report
@@ -63,7 +63,8 @@ def load_snapshot(
     cleaned, report = load_clean(spark, path, contract, multi_line)
     cleaned.write.mode("overwrite").parquet(clean_path)
     stored = spark.read.schema(cleaned.schema).parquet(clean_path)
-    return Snapshot(stored, report, manifest(spark, path, contract.provenance))
+    files = manifest(spark, path, contract.provenance)
+    return Snapshot(stored, report, files.join(fingerprints(spark, path), ["path", "length"]))
 
 
 @dataclass(frozen=True)

@@ -7,11 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from rollbook.contract import Contract
 from rollbook.operators import drift, profile
 from rollbook.operators.guards import EmptyInput, need_columns
 from rollbook.operators.profile import QualityColumns
 from rollbook.operators.validate import Report, line_of
-from rollbook.sources.reports import quality_report, write_report
+from rollbook.plans.load import Snapshot
+from rollbook.plans.pages import Exploratory, exploratory
+from rollbook.sources.reports import exploratory_report, quality_report, write_report
 from rollbook.staging import stage, together
 
 REGISTRATION_QUALITY = QualityColumns(
@@ -76,6 +79,48 @@ def warning_lines(full: DataFrame, report: Report) -> DataFrame:
     return full.sparkSession.range(1).select(F.inline(entries))
 
 
+@dataclass(frozen=True)
+class QualityPage:
+    headline: DataFrame
+    files: DataFrame
+    warnings: DataFrame
+    quality: Quality
+    dictionary: DataFrame
+
+
+def quality_page(
+    snapshot: Snapshot,
+    contract: Contract,
+    thresholds: DataFrame,
+    columns: QualityColumns = REGISTRATION_QUALITY,
+) -> QualityPage:
+    """Source files, quality, warnings and dictionary of a loaded snapshot.
+
+    It takes the snapshot and not a page context, so that no filter can reach it.
+    """
+    found = quality(snapshot.full, thresholds, columns)
+    warnings = warning_lines(snapshot.full, snapshot.report)
+    headline = found.verdict.select(
+        found.metrics.select("row_count").scalar().alias("row_count"),
+        found.metrics.select("column_count").scalar().alias("column_count"),
+        F.lit(len(snapshot.report.warnings)).alias("warning_count"),
+        F.col("n_passed").alias("baseline_passed_count"),
+        F.col("n_checks").alias("baseline_check_count"),
+        F.col("is_within_baseline").alias("baseline_passed"),
+    )
+    dictionary = profile.dictionary_conformance(snapshot.full, contract, found.profile)
+    return QualityPage(headline, snapshot.files, warnings, found, dictionary)
+
+
+def write_exploratory(full: DataFrame, path: str) -> Exploratory:
+    """Write the exploratory report and return its tables."""
+    found = exploratory(full)
+    write_report(
+        exploratory_report(found.headline, found.breakdowns, found.range_by_type), path
+    )
+    return found
+
+
 def write_quality(full: DataFrame, report: Report, thresholds: DataFrame, path: str) -> Row:
     """Write the report, then return the verdict row; its status 2 means drift."""
     found = quality(full, thresholds)

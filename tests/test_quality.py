@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from rollbook.operators import drift, profile
 from rollbook.operators.guards import EmptyInput, MissingColumns
 from rollbook.operators.validate import validate
-from rollbook.plans.quality import quality, write_quality
+from rollbook.plans.load import load_snapshot
+from rollbook.plans.quality import quality, quality_page, write_quality
 from rollbook.registration import DICTIONARY
 from rollbook.sources.baseline import BaselineError, load_baseline, parse_baseline
 
@@ -212,6 +213,32 @@ def test_written_report(spark, contract, raw, tmp_path):
     ]
 
 
+def test_long_text_is_profiled_by_digest(spark):
+    df = spark.sql("SELECT * FROM VALUES ('a'), (repeat('a', 64)), (repeat('a', 64)), "
+                   "(repeat('b', 99)), (sha2(repeat('b', 99), 256)) AS t(x)")
+    assert profiles(df)["x"].unique_count == 4
+
+
+def test_quality_page(spark, contract, raw, tmp_path):
+    source = str(tmp_path / "csv")
+    raw.with_(0, county=None).frame(spark).coalesce(1).write.option("header", True).csv(source)
+    snapshot = load_snapshot(spark, source, contract, str(tmp_path / "clean"))
+    page = quality_page(snapshot, contract, thresholds(spark))
+    assert only(page.headline) == {
+        "row_count": 2,
+        "column_count": 22,
+        "warning_count": 1,
+        "baseline_passed_count": 6,
+        "baseline_check_count": 7,
+        "baseline_passed": False,
+    }
+    assert [r.line for r in page.warnings.collect()] == [
+        "[missing_optional_value] 'County' contains blank values. (1 rows)"
+    ]
+    assert len(only(page.files)["sha256"]) == 64
+    assert page.dictionary.filter("status <> 'ok'").isEmpty()
+
+
 def test_observations_reject_nothing(spark):
     metrics = spark.sql("SELECT 1 AS a, 0.5D AS b")
     more = ("c", spark.sql("SELECT 7L AS x"))

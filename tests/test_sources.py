@@ -9,9 +9,9 @@ from conftest import ROWS, rows
 from rollbook.operators import filters
 from rollbook.operators.validate import ContractViolation
 from rollbook.plans.load import load_clean, load_snapshot, load_validated, page_context
-from rollbook.plans.pages import exploratory
+from rollbook.plans.quality import write_exploratory
 from rollbook.registration import FILTERS, RENAMES
-from rollbook.sources import delimited, files, reports
+from rollbook.sources import delimited, files
 from rollbook.sources.files import SourceError
 
 HEADER = list(RENAMES)
@@ -120,7 +120,9 @@ def test_snapshot_and_page_context(spark, contract, tmp_path):
     context = page_context(snapshot.full, FILTERS, selection)
     assert (context.full.count(), context.filtered.count()) == (2, 1)
     (file,) = snapshot.files.collect()
-    assert file.identifier == "f6w7-q2d2" and file.length > 0
+    content = (tmp_path / "a.csv").read_bytes()
+    assert file.identifier == "f6w7-q2d2" and file.length == len(content)
+    assert file.sha256 == hashlib.sha256(content).hexdigest()
 
 
 def test_fingerprints(spark, tmp_path):
@@ -158,9 +160,7 @@ def test_changes(spark, tmp_path):
 
 
 def test_exploratory_report(spark, contract, raw, tmp_path):
-    page = exploratory(raw.clean(spark, contract))
-    document = reports.exploratory_report(page.headline, page.breakdowns, page.range_by_type)
-    reports.write_report(document, str(tmp_path / "eda"))
+    write_exploratory(raw.clean(spark, contract), str(tmp_path / "eda"))
     found = json.loads(spark.read.text(str(tmp_path / "eda")).first().value)
     assert found["vehicle_count"] == 2 and found["model_year_median"] == 2021.5
     assert [v["value"] for v in found["model_year"]] == ["2020", "2023"]

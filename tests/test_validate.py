@@ -146,6 +146,12 @@ def test_one_pass_for_all_row_rules(spark, contract, raw):
     assert "hashpartitioning" not in plan.toString()
 
 
+def test_previews_are_limited_before_the_shuffle(spark, contract, raw):
+    found = validate.vocabulary_previews(raw.frame(spark), contract)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+
+
 def test_duplicated_values_ignore_null(spark):
     df = spark.sql("SELECT * FROM VALUES (1), (1), (2), (NULL), (NULL) AS t(k)")
     assert rows(validate.duplicated_values(df, [F.col("k")])) == [(2,)]
