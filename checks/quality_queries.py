@@ -187,7 +187,7 @@ def drift_verdict(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _DICTIONARY = ", ".join(
-    f"('{f.name}', '{f.source}', '{f.type}', {str(f.nullable).lower()})"
+    f"('{f.name}', '{f.source}', '{f.type}', {str(f.nullable).lower()}, '{f.description}')"
     for f in CONTRACT.dictionary
 )
 _NULLS = "\nUNION ALL\n".join(
@@ -199,10 +199,11 @@ _NULLS = "\nUNION ALL\n".join(
 @query(
     "dictionary_conformance",
     on_clean(
-        f"""SELECT d."column", d.source, d.expected_type, d.nullable,
+        f"""SELECT d."column", d.source, d.expected_type, d.nullable, d.description,
     d.expected_type AS actual_type, n.missing_count,
     CASE WHEN NOT d.nullable AND n.missing_count > 0 THEN 'unexpected nulls' ELSE 'ok' END AS status
-    FROM (VALUES {_DICTIONARY}) AS d("column", source, expected_type, nullable)
+    FROM (VALUES {_DICTIONARY}) AS d("column", source, expected_type, nullable,
+        description)
     JOIN ({_NULLS}) AS n USING ("column")"""
     ),
 )

@@ -68,19 +68,6 @@ def value_counts(df: DataFrame, columns: Sequence[str] | Mapping[str, Column]) -
     return long.groupBy("series", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
-def series_breakdown(
-    counts: DataFrame,
-    series: str,
-    total: int,
-    limit: int | None = None,
-    sort_by_value: bool = False,
-) -> DataFrame:
-    """One column's breakdown out of :func:`value_counts`."""
-    need_positive(limit, "limit")
-    rows = counts.filter((F.col("series") == series) & F.col("value").isNotNull())
-    return _breakdown(rows, F.lit(total), limit, sort_by_value)
-
-
 def summed_breakdown(
     counts: DataFrame, column: str, limit: int | None = None, sort_by_value: bool = False
 ) -> DataFrame:

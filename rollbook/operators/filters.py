@@ -47,11 +47,7 @@ def predicate(columns: FilterColumns, selection: Selection, depth: int | None =
     keep = F.col(columns.year).between(selection.first_year, selection.last_year)
     if selection.home_only:
         keep = keep & (F.col(columns.state) == columns.home)
-    for column, _ in columns.levels[:depth]:
-        values = selection.chosen.get(column, ())
-        if values:
-            keep = keep & F.col(column).isin(*values)
-    return keep
+    return keep & _levels(columns, selection.chosen, len(columns.levels) if depth is None else depth)
 
 
 def apply_filters(df: DataFrame, columns: FilterColumns, selection: Selection) -> DataFrame:
@@ -70,19 +66,10 @@ def available_values(df: DataFrame, column: str) -> DataFrame:
 def facets(df: DataFrame, columns: FilterColumns, selection: Selection) -> DataFrame:
     """Options of every level, ``level, value``, each given scope, years and the outer levels.
 
-    One scan: a row offers its value to each level whose outer conditions it meets.
+    One scan: the distinct combinations of the levels, which are few, are found per task first,
+    and each then offers its value to the levels whose outer conditions it meets.
     """
-    need_columns(df, columns.names)
-    offers = [
-        F.struct(
-            F.lit(column).alias("level"),
-            F.when(predicate(columns, selection, depth), F.col(column)).alias("value"),
-        )
-        for depth, (column, _) in enumerate(columns.levels)
-    ]
-    scope = predicate(columns, selection, 0)
-    options = df.filter(scope).select(F.inline(F.array(*offers)))
-    return options.filter(F.col("value").isNotNull()).distinct()
+    return _offers(_combinations(df, columns, selection), columns, selection.chosen)
 
 
 def cascade(
@@ -94,31 +81,43 @@ def cascade(
     value combinations within scope and years; the levels are then settled on that table, each
     bringing at most the chosen values to the driver.
     """
-    need_columns(df, columns.names)
-    names = [column for column, _ in columns.levels]
-    combos = stage(df.filter(predicate(columns, selection, 0)).select(*names).distinct()).frame
+    combinations = stage(_combinations(df, columns, selection)).frame
     settled: dict[str, tuple[str, ...]] = {}
-    for depth, name in enumerate(names):
+    for depth, (name, _) in enumerate(columns.levels):
         wanted = selection.chosen.get(name, ())
         if not wanted:
             continue
-        offered = combos.filter(_levels(columns, settled, depth))
+        offered = combinations.filter(_levels(columns, settled, depth))
         found = offered.filter(F.col(name).isin(*wanted)).select(name).distinct().collect()
         alive = {row[0] for row in found}
         settled[name] = tuple(value for value in wanted if value in alive)
-    result = replace(selection, chosen={name: v for name, v in settled.items() if v})
+    chosen = {name: values for name, values in settled.items() if values}
+    return replace(selection, chosen=chosen), _offers(combinations, columns, chosen)
+
+
+def _combinations(df: DataFrame, columns: FilterColumns, selection: Selection) -> DataFrame:
+    """Distinct values of all levels together, within scope and years."""
+    need_columns(df, columns.names)
+    within = df.filter(predicate(columns, selection, 0))
+    return within.select(*(name for name, _ in columns.levels)).distinct()
+
+
+def _offers(
+    combinations: DataFrame, columns: FilterColumns, chosen: Mapping[str, tuple[str, ...]]
+) -> DataFrame:
     offers = [
         F.struct(
             F.lit(name).alias("level"),
-            F.when(_levels(columns, settled, depth), F.col(name)).alias("value"),
+            F.when(_levels(columns, chosen, depth), F.col(name)).alias("value"),
         )
-        for depth, name in enumerate(names)
+        for depth, (name, _) in enumerate(columns.levels)
     ]
-    options = combos.select(F.inline(F.array(*offers))).filter(F.col("value").isNotNull())
-    return result, options.distinct()
+    options = combinations.select(F.inline(F.array(*offers)))
+    return options.filter(F.col("value").isNotNull()).distinct()
 
 
 def _levels(columns: FilterColumns, chosen: Mapping[str, tuple[str, ...]], depth: int) -> Column:
+    """The conditions of the first ``depth`` levels."""
     keep = F.lit(True)
     for column, _ in columns.levels[:depth]:
         if chosen.get(column):

@@ -194,8 +194,8 @@ def table_metrics(
 def dictionary_conformance(df: DataFrame, contract, profile: DataFrame | None = None) -> DataFrame:
     """Compare the data dictionary with the schema and the nulls found.
 
-    One row per column known to either side: ``column, source, expected_type, actual_type,
-    nullable, missing_count, status``.
+    One row per column known to either side: ``column, source, expected_type, nullable,
+    description, actual_type, missing_count, status``.
     """
     spark = df.sparkSession
     nulls = profile if profile is not None else _null_counts(df)
@@ -206,6 +206,7 @@ def dictionary_conformance(df: DataFrame, contract, profile: DataFrame | None =
                 F.lit(f.source).alias("source"),
                 F.lit(f.type).alias("expected_type"),
                 F.lit(f.nullable).alias("nullable"),
+                F.lit(f.description).alias("description"),
             )
             for f in contract.dictionary
         )

@@ -42,23 +42,21 @@ def _need_rows(staged: Staged) -> None:
         raise EmptyInput("The input has no rows.")
 
 
-def _count_where(series: str, value: str) -> Column:
-    hit = (F.col("series") == series) & (F.col("value") == value)
-    return F.coalesce(F.sum(F.when(hit, F.col("count"))), F.lit(0))
+def _count_if(condition: Column) -> Column:
+    return F.coalesce(F.sum(F.when(condition, F.col("count"))), F.lit(0))
 
 
-def _years(counts: Staged, year: str) -> DataFrame:
-    """Year counts as numbers."""
-    rows = counts.frame.filter(F.col("series") == year)
-    return rows.select(F.col("value").cast("bigint").alias("value"), "count")
+def _summed(cells: Staged, *names: str) -> Staged:
+    """Counts over fewer columns; the bound of the staged table holds for them too."""
+    sums = cells.frame.groupBy(*names).agg(F.sum("count").alias("count"))
+    return Staged(sums, cells.rows)
 
 
-def _median_year(counts: Staged, year: str, one_task_rows: int) -> float:
-    years = Staged(_years(counts, year), counts.rows)
-    median = quantiles(years, [], "value", "count", {"median": 0.5}, one_task_rows).first()
-    if median is None:
-        raise EmptyInput(f"No values of {year} in the input.")
-    return median[0]
+def _median(values: Staged, value: str, one_task_rows: int) -> float:
+    found = quantiles(values, [], value, "count", {"median": 0.5}, one_task_rows).first()
+    if found is None:
+        raise EmptyInput(f"No values of {value} in the input.")
+    return found[0]
 
 
 @dataclass(frozen=True)
@@ -80,22 +78,22 @@ def overview(
     c = columns
     need_columns(df, [c.key, c.type, c.year, c.measure, c.status, c.make])
     need_positive(top_makes, "top_makes")
-    series = {name: F.col(name) for name in (c.year, c.type, c.status, c.make)}
-    known = F.when(F.col(c.measure).isNotNull(), F.lit("known"))
-    series[c.measure] = known
-    counts, vehicles = together(
-        lambda: stage(breakdown.value_counts(df, series), "count"),
+    known = F.col(c.measure).isNotNull().alias("known")
+    cells, vehicles = together(
+        lambda: stage(
+            df.groupBy(c.year, c.type, c.status, c.make, known).agg(
+                F.count(F.lit(1)).alias("count")
+            )
+        ),
         lambda: breakdown.distinct_keys(df, c.key),
     )
-    _need_rows(counts)
-    median = _median_year(counts, c.year, one_task_rows)
-    # Every series counts every row, null or not.
-    rows = counts.total // len(series)
-    headline = counts.frame.agg(
+    _need_rows(cells)
+    median = _median(_summed(cells, c.year), c.year, one_task_rows)
+    headline = cells.frame.agg(
         F.lit(vehicles).cast("bigint").alias("vehicle_count"),
-        _count_where(c.type, c.main_type).alias("bev_count"),
-        _count_where(c.measure, "known").alias("known_range_count"),
-        _count_where(c.status, c.eligible).alias("eligible_count"),
+        _count_if(F.col(c.type) == c.main_type).alias("bev_count"),
+        _count_if(F.col("known")).alias("known_range_count"),
+        _count_if(F.col(c.status) == c.eligible).alias("eligible_count"),
     ).select(
         "*",
         *(
@@ -104,13 +102,13 @@ def overview(
         ),
         F.lit(median).alias("median_model_year"),
     )
-
-    def of(name: str, **options) -> DataFrame:
-        return breakdown.series_breakdown(counts.frame, name, rows, **options)
-
-    years = of(c.year, sort_by_value=True)
+    years = breakdown.summed_breakdown(cells.frame, c.year, sort_by_value=True)
     return Overview(
-        headline, years, of(c.type), of(c.make, limit=top_makes), breakdown.leading(years)
+        headline,
+        years,
+        breakdown.summed_breakdown(cells.frame, c.type),
+        breakdown.summed_breakdown(cells.frame, c.make, limit=top_makes),
+        breakdown.leading(years),
     )
 
 
@@ -132,43 +130,54 @@ def exploratory(
     """Composition, concentration and known range of a whole table; shares are of rows."""
     c = columns
     ranked = (c.make, c.model, c.county, c.city)
-    need_columns(df, [c.year, *ranked, c.type, c.status, c.measure])
-    series = [c.year, c.type, c.status, *ranked]
-    counts, by_type = together(
-        lambda: stage(breakdown.value_counts(df, series), "count"),
-        lambda: stage(distribution.measure_counts(df, [c.type], c.measure)),
+    sets = ((c.year, c.type, c.status, c.make, c.model), (c.county, c.city), (c.type, c.measure))
+    names = list(dict.fromkeys(name for group in sets for name in group))
+    need_columns(df, names)
+    # All three groupings in one scan and one shuffle, told apart by the set they belong to.
+    grouped = df.groupingSets(sets, *names).agg(
+        F.grouping_id().alias("set"), F.count(F.lit(1)).alias("count")
     )
-    _need_rows(counts)
-    median = _median_year(counts, c.year, one_task_rows)
-    rows = counts.total // len(series)
+    cells = stage(grouped, "count")
+    _need_rows(cells)
+    rows = cells.total // len(sets)
+
+    def of_set(group: tuple[str, ...]) -> DataFrame:
+        left_out = sum(1 << i for i, name in enumerate(reversed(names)) if name not in group)
+        return cells.frame.filter(F.col("set") == left_out).select(*group, "count")
+
+    types, places_, measures = (of_set(group) for group in sets)
+    years = Staged(types, cells.rows)
+    median = _median(_summed(years, c.year), c.year, one_task_rows)
 
     def of(name: str, **options) -> DataFrame:
-        return breakdown.series_breakdown(counts.frame, name, rows, **options)
+        source = places_ if name in sets[1] else types
+        return breakdown.summed_breakdown(source, name, **options)
 
     breakdowns = {c.year: of(c.year, sort_by_value=True), c.type: of(c.type)}
     breakdowns |= {c.status: of(c.status)} | {name: of(name, limit=top) for name in ranked}
-    span = _years(counts, c.year).agg(
-        F.min("value").alias("model_year_min"),
-        F.max("value").alias("model_year_max"),
-        F.coalesce(
-            F.sum(F.when(F.col("value") >= recent_from, F.col("count"))), F.lit(0)
-        ).alias("recent_model_year_count"),
+    composition = types.agg(
+        F.min(c.year).alias("model_year_min"),
+        F.max(c.year).alias("model_year_max"),
+        _count_if(F.col(c.year) >= recent_from).alias("recent_model_year_count"),
+        F.count_distinct(c.make).alias("make_count"),
+        F.count_distinct(c.model).alias("model_count"),
     )
-    labels = counts.frame.filter(F.col("value").isNotNull())
-    sizes = labels.agg(
-        *(F.count_if(F.col("series") == name).alias(f"{name}_count") for name in ranked)
+    located = places_.agg(
+        F.count_distinct(c.county).alias("county_count"),
+        F.count_distinct(c.city).alias("city_count"),
     )
-    headline = span.select(
+    headline = composition.select(
         F.lit(rows).cast("bigint").alias("vehicle_count"),
         "*",
+        *(located.select(name).scalar().alias(name) for name in located.columns),
         share(F.col("recent_model_year_count"), F.lit(rows)).alias("recent_model_year_share"),
         F.lit(median).alias("model_year_median"),
-        *(sizes.select(name).scalar().alias(name) for name in sizes.columns),
         breakdown.concentration(breakdowns[c.make], top).scalar().alias("top_10_make_share"),
         breakdown.concentration(breakdowns[c.county], top_counties)
         .scalar()
         .alias("top_5_county_share"),
     )
+    by_type = Staged(measures.withColumnRenamed(c.measure, "value"), cells.rows)
     stats = distribution.distribution(by_type, c.type, one_task_rows)
     return Exploratory(headline, breakdowns, stats.withColumn("mean", F.bround("mean", 2)))
 
@@ -312,24 +321,17 @@ def ranges(
     if cells.frame.filter(F.col(c.type).isNotNull()).isEmpty():
         raise EmptyInput(f"No values of {c.type} in the input.")
 
-    def summed(*names: str) -> DataFrame:
-        return cells.frame.groupBy(*names).agg(F.sum("count").alias("count"))
-
-    by_type = Staged(summed(c.type, "value"), cells.rows)
+    by_type = _summed(cells, c.type, "value")
     statistics = distribution.rounded(
         distribution.distribution(by_type, c.type, one_task_rows)
     )
-    overall = Staged(summed("value"), cells.rows)
-    median = quantiles(overall, [], "value", "count", {"median": 0.5}, one_task_rows)
-
-    def count_if(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("count"))), F.lit(0))
+    median = quantiles(_summed(cells, "value"), [], "value", "count", {"median": 0.5}, one_task_rows)
 
     headline = cells.frame.agg(
         F.lit(vehicles).cast("bigint").alias("vehicle_count"),
-        count_if(F.col("value").isNotNull()).alias("known_range_count"),
-        count_if(F.col(c.status) == c.eligible).alias("eligible_count"),
-        count_if(F.col(c.status) == c.unknown).alias("unknown_cafv_count"),
+        _count_if(F.col("value").isNotNull()).alias("known_range_count"),
+        _count_if(F.col(c.status) == c.eligible).alias("eligible_count"),
+        _count_if(F.col(c.status) == c.unknown).alias("unknown_cafv_count"),
     ).select(
         "*",
         *(

@@ -7,6 +7,7 @@ brings a file into memory whole.
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 from rollbook.contract import Contract, Provenance
 from rollbook.operators.profile import row_digest
 from rollbook.sources import streams
+# What tasks run travels with them, so that workers need not have the package installed.
+cloudpickle.register_pickle_by_value(streams)
+
 
 class SourceError(RuntimeError):
     """A source file cannot be loaded."""
