@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import order_minhash, packing, token_codes
+from rollbook.llm import jaccard_join, order_minhash, packing, token_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,11 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word n-grams are alike by 90 percent."""
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), 3, 90)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -47,6 +52,6 @@ def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    run.__name__: run for run in (op1_order_minhash, op9_packing, op10_token_codes)
+    run.__name__: run for run in (op1_order_minhash, op6_jaccard_join, op9_packing, op10_token_codes)
 }
 ORACLE: dict[str, str] = {}
