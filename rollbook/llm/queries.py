@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import jaccard_join, order_minhash, packing, token_codes
+from rollbook.llm import jaccard_join, mixing, order_minhash, packing, token_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,11 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), 3, 90)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document in a mix of all sources weighed 1, 2 and 3 in turn."""
+    return mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,6 +57,6 @@ def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    run.__name__: run for run in (op1_order_minhash, op6_jaccard_join, op9_packing, op10_token_codes)
+    run.__name__: run for run in (op1_order_minhash, op6_jaccard_join, op8_mixing, op9_packing, op10_token_codes)
 }
 ORACLE: dict[str, str] = {}
