@@ -8,7 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import jaccard_join, mixing, order_minhash, packing, token_codes
+from rollbook.llm import (
+    jaccard_join,
+    mixing,
+    order_minhash,
+    packing,
+    quality_rules,
+    token_codes,
+    url_reputation,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,11 +30,22 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and learned verdict of every text."""
+    labels = table(spark, sf_dir, "labels")
+    return quality_rules.judge(table(spark, sf_dir, "documents"), labels)
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of three-word n-grams are alike by 90 percent."""
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), 3, 90)
 
 
+def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    return url_reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document in a mix of all sources weighed 1, 2 and 3 in turn."""
     return mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
@@ -57,6 +76,15 @@ def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    run.__name__: run for run in (op1_order_minhash, op6_jaccard_join, op8_mixing, op9_packing, op10_token_codes)
+    run.__name__: run
+    for run in (
+        op1_order_minhash,
+        op5_quality_rules,
+        op6_jaccard_join,
+        op7_url_reputation,
+        op8_mixing,
+        op9_packing,
+        op10_token_codes,
+    )
 }
 ORACLE: dict[str, str] = {}
