@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from rollbook.llm import (
     jaccard_join,
+    language,
     mixing,
     order_minhash,
     packing,
     quality_rules,
     token_codes,
+    toxicity,
     url_reputation,
 )
+from rollbook.llm.samples import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +33,25 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learned from four fifths of the labels."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
+    scored = toxicity.score_texts(docs, toxicity.learn(docs, labels))
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from three quarters of the documents."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs, fold("doc_id", 4) != 2)
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    return language.identify(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous"
+    )
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and learned verdict of every text."""
     labels = table(spark, sf_dir, "labels")
@@ -79,6 +101,8 @@ QUERIES: dict[str, Query] = {
     run.__name__: run
     for run in (
         op1_order_minhash,
+        op2_toxicity,
+        op4_language,
         op5_quality_rules,
         op6_jaccard_join,
         op7_url_reputation,
