@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from rollbook.llm import (
     mixing,
     order_minhash,
     packing,
+    page_text,
     quality_rules,
     token_codes,
     toxicity,
@@ -42,6 +44,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return page_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text, learned from three quarters of the documents."""
     docs = table(spark, sf_dir, "documents")
@@ -102,6 +109,7 @@ QUERIES: dict[str, Query] = {
     for run in (
         op1_order_minhash,
         op2_toxicity,
+        op3_page_text,
         op4_language,
         op5_quality_rules,
         op6_jaccard_join,
@@ -111,4 +119,7 @@ QUERIES: dict[str, Query] = {
         op10_token_codes,
     )
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
