@@ -9,9 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces a task remembers in each of its two generations.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: UTF-8 bytes that are encoded together.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 _OPEN: dict[tuple, Encoder] = {}
 
 
@@ -32,10 +32,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keeps_space = keeps_space
-        self.young: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _ids(self, pieces: list[str]) -> list[np.ndarray]:
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece, 32 bits each."""
         young, old = self.young, self.old
         found = [young.get(x) for x in pieces]
         missing = [i for i, x in enumerate(found) if x is None]
@@ -49,7 +50,7 @@ class Encoder:
             [pieces[i] for i in unknown], add_special_tokens=False
         )
         for i, x in zip(unknown, encoded, strict=True):
-            found[i] = young[pieces[i]] = np.array(x.ids, np.uint32)
+            found[i] = young[pieces[i]] = np.array(x.ids, np.uint32).tobytes()
         if len(young) > REMEMBERED:
             self.old, self.young = young, {}
         return found
@@ -98,10 +99,10 @@ class Encoder:
         for e in self.tokenizer.encode_batch_fast(
             texts.take(pa.array(rest)).to_pylist(), add_special_tokens=False
         ):
-            known.append(np.array(e.ids, np.uint32))
+            known.append(np.array(e.ids, np.uint32).tobytes())
         keys[first[:-1][rest]] = len(words) + np.arange(len(rest))
-        lengths = np.array([len(x) for x in known], np.int64)
-        flat = np.concatenate(known) if known else np.zeros(0, np.uint32)
+        lengths = np.array([len(x) // 4 for x in known], np.int64)
+        flat = np.frombuffer(b"".join(known), np.uint32)
         begin = np.cumsum(lengths) - lengths
         per = lengths[keys]
         out = np.repeat(begin[keys] - (np.cumsum(per) - per), per) + np.arange(per.sum())
