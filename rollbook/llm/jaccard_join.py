@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from rollbook.llm.components import components
 from rollbook.llm.tables import written
-from rollbook.llm.words import text_bytes, windows, word_hashes, word_spans
+from rollbook.llm.words import slices, text_bytes, windows, word_hashes, word_spans
 
 #: Cells of the table of n-gram counts that gives the order; each task gets all of them.
 COUNT_CELLS = 1 << 16
@@ -36,9 +36,7 @@ BROADCAST_IDS = 2_000_000
 SUFFIX_CELLS = 32
 _CUTS = np.arange(1, SUFFIX_CELLS, dtype=np.uint64) * np.uint64(2**64 // SUFFIX_CELLS)
 
-SETS = (
-    "doc_id long, n_shingles long, digest binary, cells array<int>, counts array<long>"
-)
+SETS = "doc_id long, n_shingles long, digest binary, cells array<int>, counts array<long>"
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -46,12 +44,13 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
 
     A text with fewer words has its whole sequence as its only one; one without words has none.
     """
-    data, offsets = text_bytes(texts)
-    starts, ends, first = word_spans(data, offsets)
-    hashes, _, runs = windows(word_hashes(data, starts, ends), first, size)
-    edges = np.concatenate(([0], np.cumsum(runs)))
-    for begin, end in zip(edges[:-1], edges[1:], strict=True):
-        yield np.unique(hashes[begin:end])
+    for part in slices(texts):
+        data, offsets = text_bytes(part)
+        starts, ends, first = word_spans(data, offsets)
+        hashes, _, runs = windows(word_hashes(data, starts, ends), first, size)
+        edges = np.concatenate(([0], np.cumsum(runs)))
+        for begin, end in zip(edges[:-1], edges[1:], strict=True):
+            yield np.unique(hashes[begin:end])
 
 
 def cell(hashes: np.ndarray) -> np.ndarray:
