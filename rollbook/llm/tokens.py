@@ -12,6 +12,11 @@ import pyarrow.compute as pc
 REMEMBERED = 200_000
 #: UTF-8 bytes that are encoded together.
 SLICE_BYTES = 4 << 20
+#: The sign that stands for each byte in a byte-level vocabulary: itself if it is printable, else
+#: one of those from U+0100 on, in order.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SIGNS = {b: chr(b) for b in _PRINTED}
+_SIGNS |= {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in _SIGNS)}
 _OPEN: dict[tuple, Encoder] = {}
 
 
@@ -31,10 +36,23 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.keeps_space = keeps_space
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _plain(self, piece: str) -> list[int] | None:
+        """Ids of a blank, if kept, and a Latin-1 word, straight from the vocabulary's merges."""
+        space = self.keeps_space and piece[:1] == " "
+        word = piece[1:] if space else piece
+        if not word.isalpha() or max(word) > "\xff":
+            return None
+        if not self.keeps_space:
+            word = word.lower()
+        if not word.isascii():
+            word = "".join(map(_SIGNS.__getitem__, word.encode()))
+        return [t.id for t in self.model.tokenize("\u0120" + word if space else word)]
+
     def _ids(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece, 32 bits each."""
         young, old = self.young, self.old
@@ -43,9 +61,11 @@ class Encoder:
         unknown = []
         for i in missing:
             if (x := old.get(pieces[i])) is None:
-                unknown.append(i)
-            else:
-                found[i] = young[pieces[i]] = x
+                if (plain := self._plain(pieces[i])) is None:
+                    unknown.append(i)
+                    continue
+                x = np.array(plain, np.uint32).tobytes()
+            found[i] = young[pieces[i]] = x
         encoded = self.tokenizer.encode_batch_fast(
             [pieces[i] for i in unknown], add_special_tokens=False
         )
