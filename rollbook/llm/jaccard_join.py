@@ -32,8 +32,10 @@ from rollbook.llm.words import slices, text_bytes, windows, word_hashes, word_sp
 COUNT_CELLS = 1 << 16
 #: Ids up to which the documents to verify are found by a broadcast (16 MB), else by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: n-grams up to which those that documents share are sent to every task (32 MB), else shuffled.
+BROADCAST_GRAMS = 2_000_000
 #: Ranges of hashes whose counts the suffix filter compares.
-SUFFIX_CELLS = 32
+SUFFIX_CELLS = 64
 _CUTS = np.arange(1, SUFFIX_CELLS, dtype=np.uint64) * np.uint64(2**64 // SUFFIX_CELLS)
 
 SETS = "doc_id long, n_shingles long, digest binary, cells array<int>, counts array<long>"
@@ -64,17 +66,15 @@ def prefix_size(sizes: np.ndarray, percent: int) -> np.ndarray:
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether 100 * intersection >= percent * union, for sorted sets."""
-    both = len(a) + len(b)
-    needed = -(-percent * both // (100 + percent))
-    # Suffix filter: sets whose counts in ranges of hashes differ too much share too little.
-    apart = np.diff(np.searchsorted(a, _CUTS), prepend=0, append=len(a)) - np.diff(
-        np.searchsorted(b, _CUTS), prepend=0, append=len(b)
-    )
-    if both - np.abs(apart).sum() < 2 * needed:
-        return False
+    needed = -(-percent * (len(a) + len(b)) // (100 + percent))
     return len(np.intersect1d(a, b, assume_unique=True)) >= needed
 
 
+def range_counts(grams: np.ndarray) -> np.ndarray:
+    """How many of a sorted set's hashes are in each of ``SUFFIX_CELLS`` ranges."""
+    return np.diff(np.searchsorted(grams, _CUTS), prepend=0, append=len(grams))
+
+
 def _needed(percent: int, a: str, b: str) -> Column:
     return F.ceil(F.lit(percent) * (F.col(a) + F.col(b)) / F.lit(100 + percent))
 
@@ -86,9 +86,25 @@ def _may_link(percent: int, n: str, at: str, other_n: str, other_at: str) -> Col
     return size & (behind >= _needed(percent, n, other_n))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def _suffixes_allow(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Suffix filter: sets whose counts in ranges of hashes differ too much share too little."""
+    for side in ("b", "a"):
+        known = prefixes.select(
+            F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("cells").alias(f"c_{side}")
+        )
+        pairs = pairs.join(known, side)
+    apart = F.aggregate(
+        F.zip_with("c_a", "c_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x
+    )
+    shared = (F.col("n_a") + F.col("n_b") - apart) / 2
+    return pairs.where(shared >= _needed(percent, "n_a", "n_b")).select("a", "b").distinct()
+
+
+def _verified(
+    docs: DataFrame, pairs: DataFrame, prefixes: DataFrame, size: int, percent: int
+) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) whose whole sets are alike; each read once."""
-    pairs = written(pairs.distinct(), "pairs")
+    pairs = written(_suffixes_allow(pairs.distinct(), prefixes, percent), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     if pairs.count() <= BROADCAST_IDS // 2:
         ids = F.broadcast(ids)
@@ -168,10 +184,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
         "classes",
     )
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, out = [], []
+            sizes, out, cells = [], [], [np.zeros(0, np.int32)]
             for grams in shingle_sets(batch.column("text"), size):
+                cells.append(range_counts(grams))
                 order = np.lexsort((grams, frequency[cell(grams)]))
                 count = int(prefix_size(np.int64(len(grams)), percent)) if len(grams) else 0
                 sizes.append(len(grams))
@@ -183,33 +200,31 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
                     batch.column("doc_id"),
                     pa.array(sizes, pa.int32()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())),
+                    pa.ListArray.from_arrays(
+                        pa.array(np.arange(len(sizes) + 1) * SUFFIX_CELLS, pa.int32()),
+                        pa.array(np.concatenate(cells), pa.int32()),
+                    ),
                 ],
-                ["id", "n", "grams"],
+                ["id", "n", "grams", "cells"],
             )
 
     first = classes.select(F.col("class_id").alias("id")).distinct()
-    members = (
-        docs.mapInArrow(prefixes, "id long, n int, grams array<long>")
-        .join(first, "id", "left_semi")
-        .select("id", "n", F.posexplode("grams").alias("at", "gram"))
-    )
-    members = written(members, "prefixes")
-    pivots = members.groupBy("gram").agg(
-        F.min(F.struct("id", "n", "at")).alias("pivot"), F.min("id") != F.max("id")
-    )
-    pivots = pivots.toDF("gram", "pivot", "shared").where("shared").drop("shared")
+    prefixes = docs.mapInArrow(cut, "id long, n int, grams array<long>, cells array<int>")
+    prefixes = written(prefixes.join(first, "id", "left_semi"), "prefixes")
+    members = prefixes.select("id", "n", F.posexplode("grams").alias("at", "gram"))
+    pivots = members.groupBy("gram").agg(F.min("id").alias("pivot"), F.max("id").alias("last"))
+    pivots = written(pivots.where("pivot != last").drop("last"), "pivots")
+    if pivots.count() <= BROADCAST_GRAMS:
+        pivots = F.broadcast(pivots)
     shared = written(members.join(pivots, "gram"), "shared")
+    firsts = shared.where("id = pivot").select(
+        "gram", F.col("n").alias("an"), F.col("at").alias("aat")
+    )
 
-    matches = shared.select(
-        F.col("pivot.id").alias("a"),
-        F.col("id").alias("b"),
-        F.col("n").alias("bn"),
-        F.col("at").alias("bat"),
-        F.col("pivot.n").alias("an"),
-        F.col("pivot.at").alias("aat"),
-    ).where(F.col("a") != F.col("b"))
-    pairs = matches.where(_may_link(percent, "an", "aat", "bn", "bat")).select("a", "b")
-    links = _verified(docs, pairs, size, percent)
+    matches = shared.where("id != pivot").join(firsts, "gram")
+    matches = matches.where(_may_link(percent, "an", "aat", "n", "at"))
+    pairs = matches.select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    links = _verified(docs, pairs, prefixes, size, percent)
 
     found = components(links)
     placed = shared.join(found, "id", "left").select(
@@ -217,7 +232,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
         "id",
         "n",
         "at",
-        F.col("pivot.id").alias("pivot"),
+        "pivot",
         F.coalesce("component", "id").alias("component"),
     )
     split = placed.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("rows"))
@@ -236,7 +251,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
         & _may_link(percent, "a_n", "a_at", "n", "at")
     )
     rest = rest.select(F.least("a_id", "id").alias("a"), F.greatest("a_id", "id").alias("b"))
-    links = links.union(_verified(docs, rest, size, percent))
+    links = links.union(_verified(docs, rest, prefixes, size, percent))
 
     # Two sets of one doc_id are one document.
     same = rows.where("digest is not null").join(classes, "digest")
