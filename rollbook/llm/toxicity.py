@@ -26,6 +26,8 @@ from rollbook.llm.samples import labelled_texts
 #: Labelled texts of each kind that are learned from at most.
 PER_LABEL = 3000
 MOST_FEATURES = 600
+#: Toxic texts of the sample that a chosen word or beginning stands in.
+LEAST_TEXTS = 3
 #: Lengths of the word beginnings that are counted beside whole words.
 BEGINNINGS = (4, 5, 6)
 #: Characters whose trigrams make the character model, at most.
@@ -137,7 +139,7 @@ def decode(stretch: str, model: CharacterModel) -> str:
                 if last not in after or total < after[last][0]:
                     after[last] = (total, path + reading)
         best = after
-    return min(best.values())[1]
+    return min(best.values())[1][:-1]
 
 
 @dataclass
@@ -203,15 +205,24 @@ def fit(sample: list[tuple[int, str]], shares: dict[int, float]) -> Model:
     labels = np.array([label for label, _ in sample])
     if len(set(labels.tolist())) < 2:
         return empty
-    texts = [_WORDS.findall(empty.restore(text)) for _, text in sample]
-    rows = [values(words, len(words)) for words in texts]
-    sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0, 0])
-    for label, row in zip(labels.tolist(), rows, strict=True):
-        for feature, value in row.items():
-            entry = sums[feature]
-            entry[label] += value
-            entry[2 + label] += value * value
-            entry[4] += 1
+    texts = [empty.restore(text) for _, text in sample]
+
+    def row(text: str) -> dict[str, float]:
+        words = _WORDS.findall(text)
+        return values(words, len(words))
+
+    often: Counter[str] = Counter()
+    for label, text in zip(labels.tolist(), texts, strict=True):
+        if label:
+            often.update(row(text).keys())
+    # For each feature the sum and the sum of squares of its values among the two kinds.
+    sums = {feature: [0.0] * 4 for feature, count in often.items() if count >= LEAST_TEXTS}
+    del often
+    for label, text in zip(labels.tolist(), texts, strict=True):
+        for feature, value in row(text).items():
+            if (entry := sums.get(feature)) is not None:
+                entry[label] += value
+                entry[2 + label] += value * value
     n = np.bincount(labels, minlength=2)
 
     def strength(entry: list[float]) -> float:
@@ -220,13 +231,13 @@ def fit(sample: list[tuple[int, str]], shares: dict[int, float]) -> Model:
         return (means[1] - means[0]) / math.sqrt(spread)
 
     ranked = sorted(
-        ((-strength(e), f) for f, e in sums.items() if e[4] >= 3 and e[1] * n[0] > e[0] * n[1])
+        ((-strength(e), f) for f, e in sums.items() if e[1] * n[0] > e[0] * n[1])
     )
     chosen = [f for _, f in ranked[:MOST_FEATURES]]
     place = {f: k for k, f in enumerate(chosen)}
-    x = np.zeros((len(rows), len(chosen)))
-    for i, row in enumerate(rows):
-        for feature, value in row.items():
+    x = np.zeros((len(texts), len(chosen)))
+    for i, text in enumerate(texts):
+        for feature, value in row(text).items():
             if feature in place:
                 x[i, place[feature]] = value
     each = np.array([shares[int(k)] / n[k] for k in labels])
