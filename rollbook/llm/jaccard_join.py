@@ -29,7 +29,7 @@ from rollbook.llm.tables import written
 from rollbook.llm.words import slices, text_bytes, windows, word_hashes, word_spans
 
 #: Cells of the table of n-gram counts that gives the order; each task gets all of them.
-COUNT_CELLS = 1 << 16
+COUNT_CELLS = 1 << 18
 #: Ids up to which the documents to verify are found by a broadcast (16 MB), else by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: n-grams up to which those that documents share are sent to every task (32 MB), else shuffled.
@@ -56,7 +56,7 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 
 def cell(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(48)).astype(np.int64)
+    return (hashes >> np.uint64(46)).astype(np.int64)
 
 
 def prefix_size(sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -155,7 +155,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
         for batch in batches:
             sizes, digests = [], []
             for grams in shingle_sets(batch.column("text"), size):
-                counts += np.bincount(cell(grams), minlength=COUNT_CELLS)
+                np.add.at(counts, cell(grams), 1)
                 sizes.append(len(grams))
                 digest = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
                 digests.append(digest if len(grams) else None)
@@ -171,10 +171,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     counted = summary.where("cells is not null").select(
         F.explode(F.arrays_zip("cells", "counts")).alias("c")
     )
-    counted = counted.groupBy("c.cells").agg(F.sum("c.counts").alias("n")).collect()
+    counted = counted.groupBy("c.cells").agg(F.sum("c.counts").alias("n")).toArrow()
     frequency = np.zeros(COUNT_CELLS, np.int64)
-    for number, count in counted:
-        frequency[number] = count
+    frequency[counted["cells"].to_numpy()] = counted["n"].to_numpy()
 
     rows = summary.where("cells is null").select("doc_id", "n_shingles", "digest")
     classes = written(
