@@ -123,8 +123,11 @@ def check(bounds: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def verdict(checks: DataFrame) -> DataFrame:
-    """One row: checks, passes, whether all passed, and the exit status 0 or 2 of the gate."""
-    within = F.coalesce(F.bool_and("passed"), F.lit(True))
+    """One row: checks, passes, whether all passed, and the exit status 0 or 2 of the gate.
+
+    No check at all is not a pass.
+    """
+    within = F.coalesce(F.bool_and("passed"), F.lit(False))
     return checks.agg(
         F.count(F.lit(1)).alias("n_checks"),
         F.count_if("passed").alias("n_passed"),

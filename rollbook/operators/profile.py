@@ -130,11 +130,18 @@ def missingness(profile: DataFrame) -> DataFrame:
     ).orderBy(F.desc("missing_rate"), fold(F.col("column")), "column")
 
 
-def row_digest(columns: Sequence[str]) -> Column:
-    """SHA-256 of a row; lengths are part of the text, so different rows give different text."""
+def row_digest(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
+    """SHA-256 of a row of ``df``, by default of all its columns.
+
+    Lengths are part of the text, so different rows give different text. Zero has no sign.
+    """
+    types = dict(df.dtypes)
     parts = []
-    for name in columns:
-        text = F.col(f"`{name}`").cast("string")
+    for name in columns or df.columns:
+        value = F.col(f"`{name}`")
+        if types[name] in ("float", "double"):
+            value = F.when(value == 0, F.lit(0).cast(types[name])).otherwise(value)
+        text = value.cast("string")
         sized = F.concat(F.length(text).cast("string"), F.lit(":"), text)
         parts.append(F.coalesce(sized, F.lit("-")))
     return F.unhex(F.sha2(F.concat(*parts), 256))
@@ -148,7 +155,7 @@ def _extras(keyed: DataFrame, name: str) -> DataFrame:
 
 def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows that repeat an earlier row. Only 32 bytes per distinct row are shuffled."""
-    digests = df.select(row_digest(columns or df.columns).alias("digest"))
+    digests = df.select(row_digest(df, columns).alias("digest"))
     return _extras(digests, "exact_duplicate_rows")
 
 

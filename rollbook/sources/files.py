@@ -66,7 +66,7 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
 
     A sum, unlike exclusive or, also sees a row that was doubled.
     """
-    digest = F.conv(F.substring(F.lower(F.hex(row_digest(df.columns))), 1, 15), 16, 10)
+    digest = F.conv(F.substring(F.lower(F.hex(row_digest(df))), 1, 15), 16, 10)
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum(digest.cast("decimal(20,0)")).cast("string").alias("digest_sum"),

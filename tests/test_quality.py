@@ -159,7 +159,7 @@ def test_baseline_sections(spark, gone):
 
 
 def test_baseline_version(spark):
-    with pytest.raises(BaselineError, match="version 1"):
+    with pytest.raises(BaselineError, match="version 1|has version"):
         thresholds(spark, version=2)
 
 
@@ -243,3 +243,30 @@ def test_observations_reject_nothing(spark):
     metrics = spark.sql("SELECT 1 AS a, 0.5D AS b")
     more = ("c", spark.sql("SELECT 7L AS x"))
     assert sorted(rows(drift.observations(metrics, more))) == [("a", 1.0), ("b", 0.5), ("c", 7.0)]
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        {"maximum_missing_rates": None},
+        {"row_count": {}},
+        {"maximum_exact_duplicate_rows": None},
+        {"maximum_exact_duplicate_rows": "zero"},
+        {"maximum_missing_rates": {"county": None}},
+        {"washington_share": {"expected": 1.0}},
+    ],
+)
+def test_open_bounds_are_refused(spark, change):
+    with pytest.raises(BaselineError):
+        thresholds(spark, **change)
+
+
+def test_no_checks_are_no_pass(spark):
+    none = spark.createDataFrame([], "passed boolean")
+    (row,) = drift.verdict(none).collect()
+    assert (row.n_checks, row.is_within_baseline, row.status) == (0, False, 2)
+
+
+def test_signed_zeros_are_duplicates(spark):
+    df = spark.createDataFrame([(0.0, "a"), (-0.0, "a"), (float("nan"), "a")], "x double, y string")
+    assert profile.duplicate_rows(df).first()[0] == 3 - df.distinct().count() == 1
