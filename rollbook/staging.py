@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
         folder = tempfile.mkdtemp(prefix="rollbook-")
     if context.getCheckpointDir() is None:
