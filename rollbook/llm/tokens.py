@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces a task remembers in each of its two generations.
-REMEMBERED = 200_000
+#: Pieces a task remembers before it keeps only those of the slice at hand.
+REMEMBERED = 400_000
 #: UTF-8 bytes that are encoded together.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 #: The sign that stands for each byte in a byte-level vocabulary: itself if it is printable, else
 #: one of those from U+0100 on, in order.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _SIGNS = {b: chr(b) for b in _PRINTED}
 _SIGNS |= {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in _SIGNS)}
+#: Marks that both vocabularies' patterns cut off a word before them.
+_MARKS = ".,;:!?"
 _OPEN: dict[tuple, Encoder] = {}
 
 
@@ -38,10 +41,15 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.keeps_space = keeps_space
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.marks = {x: self._tokenized(x) for x in _MARKS}
+        self.words = pa.array([], pa.large_string())
+        self.ids = pa.array([], pa.large_binary())
 
-    def _plain(self, piece: str) -> list[int] | None:
+    def _tokenized(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
+
+    def _plain(self, piece: str) -> bytes | None:
         """Ids of a blank, if kept, and a Latin-1 word, straight from the vocabulary's merges."""
         space = self.keeps_space and piece[:1] == " "
         word = piece[1:] if space else piece
@@ -51,28 +59,42 @@ class Encoder:
             word = word.lower()
         if not word.isascii():
             word = "".join(map(_SIGNS.__getitem__, word.encode()))
-        return [t.id for t in self.model.tokenize("\u0120" + word if space else word)]
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece, 32 bits each."""
-        young, old = self.young, self.old
-        found = [young.get(x) for x in pieces]
-        missing = [i for i, x in enumerate(found) if x is None]
-        unknown = []
-        for i in missing:
-            if (x := old.get(pieces[i])) is None:
-                if (plain := self._plain(pieces[i])) is None:
-                    unknown.append(i)
-                    continue
-                x = np.array(plain, np.uint32).tobytes()
-            found[i] = young[pieces[i]] = x
+        found = self.model.tokenize("\u0120" + word if space else word)
+        return array("I", [t.id for t in found]).tobytes()
+
+    def _new(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that are not remembered, 32 bits each.
+
+        A word and the mark behind it are two words to the tokenizer; the word is encoded once
+        for all its marks.
+        """
+        bare, found, unknown = {}, [], []
+        for piece in pieces:
+            mark = self.marks.get(piece[-1:], b"")
+            word = piece[:-1] if mark else piece
+            if word not in bare:
+                bare[word] = self._plain(word)
+            if (ids := bare[word]) is None:
+                unknown.append(len(found))
+            found.append(None if ids is None else ids + mark)
         encoded = self.tokenizer.encode_batch_fast(
             [pieces[i] for i in unknown], add_special_tokens=False
         )
         for i, x in zip(unknown, encoded, strict=True):
-            found[i] = young[pieces[i]] = np.array(x.ids, np.uint32).tobytes()
-        if len(young) > REMEMBERED:
-            self.old, self.young = young, {}
+            found[i] = array("I", x.ids).tobytes()
+        return found
+
+    def _look_up(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words as bytes, 32 bits each."""
+        at = pc.index_in(words, self.words)
+        missing = words.filter(at.is_null())
+        ids = pa.concat_arrays([self.ids, pa.array(self._new(missing.to_pylist()), pa.large_binary())])
+        at = at.to_numpy(zero_copy_only=False)
+        absent = np.isnan(at) if at.dtype.kind == "f" else np.zeros(len(at), dtype=bool)
+        places = np.where(absent, len(self.words) + np.cumsum(absent) - 1, np.nan_to_num(at))
+        found = ids.take(pa.array(places.astype(np.int64)))
+        known = pa.concat_arrays([self.words, missing])
+        self.words, self.ids = (words, found) if len(known) > REMEMBERED else (known, ids)
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,33 +123,37 @@ class Encoder:
         lines = pc.if_else(pa.array(whole), "", lines)
         lists = pc.split_pattern(lines, " ")
         pieces = lists.flatten().dictionary_encode()
-        keys = pieces.indices.to_numpy().astype(np.int64)
-        words = pieces.dictionary.to_pylist()
+        keys = pieces.indices.to_numpy()
+        words = pieces.dictionary
         first = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
         if self.keeps_space:
-            feed = words.index("\n") if "\n" in words else -1
+            feed = pc.index(words, "\n").as_py()
             bare = np.zeros(len(keys), dtype=bool)
             bare[first[:-1][np.diff(first) > 0]] = True
             bare[1:] |= keys[:-1] == feed
             bare |= keys == feed
             keys = 2 * keys + bare
-            used, keys = np.unique(keys, return_inverse=True)
-            words = [words[k >> 1] if k & 1 else " " + words[k >> 1] for k in used.tolist()]
+            used = np.flatnonzero(np.bincount(keys, minlength=2 * len(words)))
+            place = np.zeros(2 * len(words), np.int32)
+            place[used] = np.arange(len(used))
+            keys = place[keys]
+            words = words.take(pa.array(used >> 1))
+            blank = pa.scalar(" ", words.type)
+            spaced = pc.binary_join_element_wise(blank, words, pa.scalar("", words.type))
+            words = pc.if_else(pa.array((used & 1).astype(bool)), words, spaced)
         # A text that is encoded whole has one empty piece, whose place its ids take.
-        known = self._ids(words)
         rest = np.flatnonzero(whole)
-        for e in self.tokenizer.encode_batch_fast(
+        alone = self.tokenizer.encode_batch_fast(
             texts.take(pa.array(rest)).to_pylist(), add_special_tokens=False
-        ):
-            known.append(np.array(e.ids, np.uint32).tobytes())
+        )
+        alone = pa.array([array("I", e.ids).tobytes() for e in alone], pa.large_binary())
+        known = pa.concat_arrays([self._look_up(words), alone])
+        keys = np.array(keys)
         keys[first[:-1][rest]] = len(words) + np.arange(len(rest))
-        lengths = np.array([len(x) // 4 for x in known], np.int64)
-        flat = np.frombuffer(b"".join(known), np.uint32)
-        begin = np.cumsum(lengths) - lengths
-        per = lengths[keys]
-        out = np.repeat(begin[keys] - (np.cumsum(per) - per), per) + np.arange(per.sum())
-        total = np.concatenate(([0], np.cumsum(per)))
-        return flat[out], np.diff(total[first])
+        taken = known.take(pa.array(keys))
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] // 4
+        flat = np.frombuffer(taken.buffers()[2] or b"", np.uint32)[: ends[-1]]
+        return flat, np.diff(ends[first])
 
 
 #: White space beside white space, or at either end of a text, in RE2's words.
