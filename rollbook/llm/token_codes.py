@@ -243,14 +243,18 @@ def read_documents(segments: DataFrame) -> DataFrame:
             for bucket, first, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 segment = Segment(payload)
                 begins = np.concatenate(([0], segment.ends))[:-1]
-                ids = [segment.document(k).astype("<u4").tobytes() for k in range(len(begins))]
+                read = segment.slice(0, segment.size).astype("<u4")
+                edges = np.append(begins, segment.size).astype(np.int32) * np.int32(4)
+                ids = pa.BinaryArray.from_buffers(
+                    pa.binary(), len(begins), [None, pa.py_buffer(edges), pa.py_buffer(read)]
+                )
                 keys = pa.array(segment.doc_ids, mask=segment.doc_ids == _NO_ID)
                 yield pa.RecordBatch.from_arrays(
                     [
                         keys,
                         pa.array(begins + starts[bucket] + first, pa.int64()),
                         pa.array(segment.ends - begins, pa.int64()),
-                        pa.array(ids, pa.binary()),
+                        ids,
                     ],
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
