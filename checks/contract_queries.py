@@ -435,9 +435,14 @@ _SIZED = (
 @query(
     "table_fingerprint",
     on_clean(
-        "SELECT count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(sha256("
+        "SELECT count(*) AS n_rows, concat_ws(' ', "
+        + ", ".join(
+            f"CAST(sum(CAST(('0x' || substr(digest, {at}, 16)) AS HUGEINT)) AS VARCHAR)"
+            for at in (1, 17, 33, 49)
+        )
+        + ") AS digest_sum FROM (SELECT sha256("
         + " || ".join(_SIZED.format(name) for name in CONTRACT.columns)
-        + "), 1, 15)) AS HUGEINT)) AS VARCHAR) AS digest_sum FROM registration"
+        + ") AS digest FROM registration)"
     ),
 )
 def table_fingerprint(spark: SparkSession, folder: str) -> DataFrame:

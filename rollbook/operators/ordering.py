@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from rollbook.staging import ONE_TASK_ROWS, Staged, stage
 
+#: Groups whose totals are sent to every task (a few MB); beyond it they are shuffled.
+MOST_GROUPS = 100_000
 _AT = "_at"
 _SLICE = "_slice"
 _POSITION_BITS = 33  # monotonically_increasing_id: partition above, row within it below
@@ -82,33 +84,29 @@ def quantiles(
     """Exact quantiles with linear interpolation, one row per group.
 
     ``staged`` holds one row per group and value with its number of occurrences; null values
-    are ignored, and groups without values are absent. A table of proven size is merged by the
-    built-in percentile; a larger one is ranked by range and each quantile picked by position.
+    and values that do not occur are ignored, and groups without values are absent. All values
+    are numbered in one global order, the totals of the groups give where each group starts, and
+    each quantile is picked by position. The steps and the formula are the same at every size;
+    ``number_rows`` alone decides how the order is computed.
     """
-    known = staged.frame.filter(F.col(value).isNotNull())
-    if staged.rows <= one_task_rows:
-        found = known.groupBy(*by).agg(
-            F.percentile(value, list(probabilities.values()), F.col(count)).alias("_q"),
-            F.count(F.lit(1)).alias("_n"),
-        )
-        return found.filter(F.col("_n") > 0).select(
-            *by, *(F.col("_q")[i].alias(name) for i, name in enumerate(probabilities))
-        )
-
+    known = staged.frame.filter(F.col(value).isNotNull() & (F.col(count) > 0))
     keyed = known.groupBy(*by, value).agg(F.sum(count).alias(count))
     if not by:
         keyed = keyed.withColumn("_all", F.lit(0))
     groups = list(by) or ["_all"]
+    order = [F.col(name) for name in groups]
     ordered = number_rows(
-        Staged(keyed, staged.rows),
-        [*(F.col(name) for name in groups), F.col(value)],
-        running={"_upto": count},
-        one_task_rows=one_task_rows,
+        Staged(keyed, staged.rows), [*order, F.col(value)], {"_upto": count}, one_task_rows
     )
-    bounds = ordered.groupBy(*groups).agg(
-        F.min(F.col("_upto") - F.col(count)).alias("_start"),
-        F.sum(count).alias("_total"),
+    totals = Staged(keyed.groupBy(*groups).agg(F.sum(count).alias("_total")), staged.rows)
+    if totals.rows > MOST_GROUPS:
+        totals = stage(totals.frame)
+    bounds = number_rows(totals, order, {"_end": "_total"}, one_task_rows).select(
+        *groups, "_total", (F.col("_end") - F.col("_total")).alias("_start")
     )
+    # The ranked rows are never the side that is sent or held; a hot group is split when it is read.
+    few = totals.rows <= MOST_GROUPS
+    bounds = F.broadcast(bounds) if few else bounds.hint("shuffle_hash")
     # Null-safe, as a group key may be null.
     placed = ordered.alias("o").join(
         bounds.alias("b"),

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollbook.contract import Contract
 from rollbook.sources.files import SourceError, header_issues
-
-SHOWN = 20
+from rollbook.staging import stage
 
 
 def raw_schema(contract: Contract) -> T.StructType:
@@ -16,15 +16,21 @@ def raw_schema(contract: Contract) -> T.StructType:
 
 
 def check_headers(spark: SparkSession, path: str, contract: Contract) -> None:
-    """Refuse the source if any file's header differs; some files are named."""
-    bad = header_issues(spark, path, contract).orderBy("path").limit(SHOWN).collect()
-    if bad:
-        lines = [
-            f"- {row.path}: {row.problem}; duplicates: {row.duplicates or 'none'}; "
-            f"missing: {row.missing or 'none'}; unexpected: {row.unexpected or 'none'}"
-            for row in bad
-        ]
-        raise SourceError("Source columns do not match the contract.\n" + "\n".join(lines))
+    """Refuse the source if any file's header differs.
+
+    The message counts the files and tells the first one; the error's ``issues`` has all rows
+    of :func:`header_issues`, computed once, as a table.
+    """
+    issues = stage(header_issues(spark, path, contract)).frame
+    bad = issues.agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("*"), "path").alias("row"))
+    n, row = bad.first()
+    if n:
+        raise SourceError(
+            f"Source columns do not match the contract in {n:,} cases, first {row.path}: "
+            f"{row.problem}; duplicates: {row.duplicates or 'none'}; "
+            f"missing: {row.missing or 'none'}; unexpected: {row.unexpected or 'none'}",
+            issues,
+        )
 
 
 def read_raw(

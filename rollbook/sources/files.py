@@ -20,7 +20,11 @@ cloudpickle.register_pickle_by_value(streams)
 
 
 class SourceError(RuntimeError):
-    """A source file cannot be loaded."""
+    """A source file cannot be loaded; ``issues`` has the files concerned, if they are known."""
+
+    def __init__(self, message: str, issues: DataFrame | None = None) -> None:
+        super().__init__(message)
+        self.issues = issues
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -64,12 +68,14 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
 def table_fingerprint(df: DataFrame) -> DataFrame:
     """Row count and the sum of row digests: independent of order, files and partitions.
 
-    A sum, unlike exclusive or, also sees a row that was doubled.
+    A sum, unlike exclusive or, also sees a row that was doubled. The four 64-bit words of the
+    digests are summed apart, so that no part of them is left out.
     """
-    digest = F.conv(F.substring(F.lower(F.hex(row_digest(df))), 1, 15), 16, 10)
+    hexadecimal = F.hex(row_digest(df))
+    words = [F.conv(F.substring(hexadecimal, at, 16), 16, 10) for at in (1, 17, 33, 49)]
+    sums = [F.sum(word.cast("decimal(20,0)")).cast("string") for word in words]
     return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum(digest.cast("decimal(20,0)")).cast("string").alias("digest_sum"),
+        F.count(F.lit(1)).alias("n_rows"), F.concat_ws(" ", *sums).alias("digest_sum")
     )
 
 
