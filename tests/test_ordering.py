@@ -65,6 +65,19 @@ def test_quantiles_match_pandas(spark, one_task_rows):
         assert np.allclose([row[name] for name in asked], expected.loc[row.g])
 
 
+def test_both_ways_give_the_same_digits(spark):
+    df = spark.range(997).select(
+        F.when(F.col("id") % 5 > 0, "a").otherwise("b").alias("g"),
+        (F.pmod(F.xxhash64("id"), 100_000) / 1000).alias("value"),
+        F.lit(1).alias("count"),
+    )
+    asked = {"p25": 0.25, "p50": 0.5, "p99": 0.99}
+    small, large = (
+        rows(quantiles(Staged(df, 997), ["g"], "value", "count", asked, n)) for n in (1000, 0)
+    )
+    assert sorted(small) == sorted(large)
+
+
 @WAYS
 def test_overall_quantile(spark, one_task_rows):
     df = spark.sql("SELECT * FROM VALUES (1, 1), (2, 1), (4, 2), (NULL, 9) AS t(value, count)")
