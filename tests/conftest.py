@@ -11,11 +11,11 @@ from rollbook.registration import RENAMES, registration_contract  # noqa: E402
 
 ROWS = (
     (
-        "5YJ3E1EA5L",
+        "7TSTA0EV1A",
         "Yakima",
         "Yakima",
         "WA",
-        "98908",
+        "99004",
         "2020",
         "TESLA",
         "MODEL 3",
@@ -23,17 +23,17 @@ ROWS = (
         "Clean Alternative Fuel Vehicle Eligible",
         "266",
         "14",
-        "102765120",
-        "POINT (-120.60272 46.59656)",
+        "104020301",
+        "POINT (-118.25 46.125)",
         "PACIFICORP",
-        "53077001000",
+        "53063014002",
     ),
     (
-        "1C4JJXP60P",
+        "2XKBR8Z31L",
         "King",
         "Seattle",
         "WA",
-        "98101",
+        "98052",
         "2023",
         "JEEP",
         "WRANGLER",
@@ -41,10 +41,10 @@ ROWS = (
         "Eligibility unknown as battery range has not been researched",
         "0",
         "43",
-        "200000001",
-        "POINT (-122.3321 47.6062)",
+        "206050403",
+        "POINT (-121.5 47.75)",
         "CITY OF SEATTLE - (WA)|CITY OF TACOMA - (WA)",
-        "53033008101",
+        "53033022803",
     ),
 )
 

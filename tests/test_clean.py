@@ -44,8 +44,8 @@ def test_schema(spark, contract, raw):
 def test_values(spark, contract, raw):
     row = first(raw, spark, contract)
     assert (row["ev_type_code"], row["cafv_status"], row["is_washington"]) == ("BEV", "Eligible", True)
-    assert (row["longitude"], row["latitude"]) == (-120.60272, 46.59656)
-    assert row["dol_vehicle_id"] == "102765120" and row["model_year"] == 2020
+    assert (row["longitude"], row["latitude"]) == (-118.25, 46.125)
+    assert row["dol_vehicle_id"] == "104020301" and row["model_year"] == 2020
 
 
 def test_zero_range_is_missing_only_in_the_derived_column(spark, contract, raw):
@@ -56,10 +56,10 @@ def test_zero_range_is_missing_only_in_the_derived_column(spark, contract, raw):
 def test_text(spark, contract, raw):
     row = first(
         raw, spark, contract, make="  tesla  ", county="King   County", city=" ", state=" wa",
-        vin_prefix="5yj3e1ea5l",
+        vin_prefix="7tsta0ev1a",
     )
     assert (row["make"], row["county"], row["city"]) == ("TESLA", "King County", None)
-    assert (row["state"], row["is_washington"], row["vin_prefix"]) == ("WA", True, "5YJ3E1EA5L")
+    assert (row["state"], row["is_washington"], row["vin_prefix"]) == ("WA", True, "7TSTA0EV1A")
 
 
 def test_postal_codes(spark, contract, raw):

@@ -100,7 +100,7 @@ def test_gate(spark, contract, tmp_path, kept):
     assert raw.columns == HEADER and raw.count() == 2 and report.is_valid
     cleaned, _ = load_clean(spark, path, contract, keep_raw=keep_raw)
     assert cleaned.count() == 2
-    path = write(tmp_path / "b.csv", data=[ROWS[0], changed(ROWS[1], dol_vehicle_id="102765120")])
+    path = write(tmp_path / "b.csv", data=[ROWS[0], changed(ROWS[1], dol_vehicle_id="104020301")])
     with pytest.raises(ContractViolation, match="duplicate_vehicle_id") as caught:
         load_validated(spark, path, contract, keep_raw=keep_raw)
     assert not caught.value.report.is_valid

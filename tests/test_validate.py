@@ -39,7 +39,7 @@ def test_four_warnings_do_not_block(spark, contract, raw):
         ({"electric_range_raw": "-1"}, ["negative_electric_range"]),
         ({"dol_vehicle_id": "-5"}, ["non_positive_vehicle_id"]),
         ({"dol_vehicle_id": "0"}, ["non_positive_vehicle_id"]),
-        ({"dol_vehicle_id": "0200000001.0"}, ["duplicate_vehicle_id"]),
+        ({"dol_vehicle_id": "0206050403.0"}, ["duplicate_vehicle_id"]),
         ({"ev_type": "Hydrogen"}, ["unexpected_category"]),
         ({"model_year": "20x0"}, ["invalid_integer"]),
         ({"model_year": "2020.5"}, ["invalid_integer"]),
@@ -50,7 +50,7 @@ def test_four_warnings_do_not_block(spark, contract, raw):
         ({"dol_vehicle_id": None}, ["missing_required_value", "missing_required_value"]),
         ({"vin_prefix": None}, ["missing_required_value", "invalid_vin_prefix"]),
         ({"vin_prefix": "5YJ3E1EA5O"}, ["invalid_vin_prefix"]),
-        ({"vin_prefix": " 5YJ3E1EA5L "}, []),
+        ({"vin_prefix": " 7TSTA0EV1A "}, []),
         ({"make": ""}, ["missing_required_value"]),
     ],
 )
