@@ -36,6 +36,8 @@ BROADCAST_IDS = 2_000_000
 BROADCAST_GRAMS = 2_000_000
 #: Ranges of hashes whose counts the suffix filter compares.
 SUFFIX_CELLS = 64
+#: Larger counts are taken as this one, so that a range is one byte; that only weakens the filter.
+MOST_IN_CELL = 127
 _CUTS = np.arange(1, SUFFIX_CELLS, dtype=np.uint64) * np.uint64(2**64 // SUFFIX_CELLS)
 
 SETS = "doc_id long, n_shingles long, digest binary, cells array<int>, counts array<long>"
@@ -71,8 +73,12 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def range_counts(grams: np.ndarray) -> np.ndarray:
-    """How many of a sorted set's hashes are in each of ``SUFFIX_CELLS`` ranges."""
-    return np.diff(np.searchsorted(grams, _CUTS), prepend=0, append=len(grams))
+    """How many of a sorted set's hashes are in each of ``SUFFIX_CELLS`` ranges, up to a limit.
+
+    Limited counts differ by no more than the whole ones, so no pair that is alike is lost.
+    """
+    counts = np.diff(np.searchsorted(grams, _CUTS), prepend=0, append=len(grams))
+    return np.minimum(counts, MOST_IN_CELL)
 
 
 def _needed(percent: int, a: str, b: str) -> Column:
@@ -94,7 +100,9 @@ def _suffixes_allow(pairs: DataFrame, prefixes: DataFrame, percent: int) -> Data
         )
         pairs = pairs.join(known, side)
     apart = F.aggregate(
-        F.zip_with("c_a", "c_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x
+        F.zip_with("c_a", "c_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))),
+        F.lit(0),
+        lambda s, x: s + x,
     )
     shared = (F.col("n_a") + F.col("n_b") - apart) / 2
     return pairs.where(shared >= _needed(percent, "n_a", "n_b")).select("a", "b").distinct()
@@ -185,7 +193,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, out, cells = [], [], [np.zeros(0, np.int32)]
+            sizes, out, cells = [], [], [np.zeros(0, np.int8)]
             for grams in shingle_sets(batch.column("text"), size):
                 cells.append(range_counts(grams))
                 order = np.lexsort((grams, frequency[cell(grams)]))
@@ -201,14 +209,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())),
                     pa.ListArray.from_arrays(
                         pa.array(np.arange(len(sizes) + 1) * SUFFIX_CELLS, pa.int32()),
-                        pa.array(np.concatenate(cells), pa.int32()),
+                        pa.array(np.concatenate(cells).astype(np.int8)),
                     ),
                 ],
                 ["id", "n", "grams", "cells"],
             )
 
     first = classes.select(F.col("class_id").alias("id")).distinct()
-    prefixes = docs.mapInArrow(cut, "id long, n int, grams array<long>, cells array<int>")
+    prefixes = docs.mapInArrow(cut, "id long, n int, grams array<long>, cells array<tinyint>")
     prefixes = written(prefixes.join(first, "id", "left_semi"), "prefixes")
     members = prefixes.select("id", "n", F.posexplode("grams").alias("at", "gram"))
     pivots = members.groupBy("gram").agg(F.min("id").alias("pivot"), F.max("id").alias("last"))
