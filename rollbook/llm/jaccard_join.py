@@ -30,7 +30,7 @@ from rollbook.llm.words import slices, text_bytes, windows, word_hashes, word_sp
 
 #: Cells of the table of n-gram counts that gives the order; each task gets all of them.
 COUNT_CELLS = 1 << 18
-#: Ids up to which the documents to verify are found by a broadcast (16 MB), else by a shuffle.
+#: Ids up to which the documents to keep are found by a broadcast (16 MB), else by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: n-grams up to which those that documents share are sent to every task (32 MB), else shuffled.
 BROADCAST_GRAMS = 2_000_000
@@ -92,6 +92,11 @@ def _may_link(percent: int, n: str, at: str, other_n: str, other_at: str) -> Col
     return size & (behind >= _needed(percent, n, other_n))
 
 
+def _sent(table: DataFrame, most: int) -> DataFrame:
+    """A written table, sent to every task if it is counted to have at most ``most`` rows."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def _suffixes_allow(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """Suffix filter: sets whose counts in ranges of hashes differ too much share too little."""
     for side in ("b", "a"):
@@ -215,21 +220,31 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
                 ["id", "n", "grams", "cells"],
             )
 
-    first = classes.select(F.col("class_id").alias("id")).distinct()
+    first = written(classes.select(F.col("class_id").alias("id")).distinct(), "first")
     prefixes = docs.mapInArrow(cut, "id long, n int, grams array<long>, cells array<tinyint>")
-    prefixes = written(prefixes.join(first, "id", "left_semi"), "prefixes")
-    members = prefixes.select("id", "n", F.posexplode("grams").alias("at", "gram"))
-    pivots = members.groupBy("gram").agg(F.min("id").alias("pivot"), F.max("id").alias("last"))
+    prefixes = written(prefixes.join(_sent(first, BROADCAST_IDS), "id", "left_semi"), "prefixes")
+    # Where an id has several sets, the one of the pivot is not told: those matches skip the filter.
+    several = prefixes.groupBy("id").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    several = _sent(written(several, "several"), BROADCAST_IDS)
+    place = F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")
+    members = prefixes.join(several, "id", "left").select(
+        "id", "n", "sets", F.posexplode("grams").alias("at", "gram")
+    )
+    members = members.withColumn("place", F.when(F.col("sets").isNull(), place).otherwise(-1))
+    pivots = members.groupBy("gram").agg(
+        F.min("id").alias("pivot"), F.max("id").alias("last"), F.min_by("place", "id").alias("of")
+    )
     pivots = written(pivots.where("pivot != last").drop("last"), "pivots")
-    if pivots.count() <= BROADCAST_GRAMS:
-        pivots = F.broadcast(pivots)
-    shared = written(members.join(pivots, "gram"), "shared")
-    firsts = shared.where("id = pivot").select(
-        "gram", F.col("n").alias("an"), F.col("at").alias("aat")
+    shared = members.drop("sets", "place").join(_sent(pivots, BROADCAST_GRAMS), "gram")
+    shared = written(shared, "shared")
+
+    matches = shared.where("id != pivot").withColumns(
+        {
+            "an": F.shiftright("of", 32).cast("int"),
+            "aat": F.col("of").bitwiseAND(F.lit((1 << 32) - 1)).cast("int"),
+        }
     )
-
-    matches = shared.where("id != pivot").join(firsts, "gram")
-    matches = matches.where(_may_link(percent, "an", "aat", "n", "at"))
+    matches = matches.where((F.col("of") < 0) | _may_link(percent, "an", "aat", "n", "at"))
     pairs = matches.select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     links = _verified(docs, pairs, prefixes, size, percent)
 
@@ -248,13 +263,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
         F.count(F.lit(1)).alias("parts"),
     )
     open_ = placed.where("id != pivot").join(split.where("parts > 1"), "gram")
-    open_ = written(open_.drop("pivot", "parts"), "open")
-    minor = open_.where("component != main").select(
+    open_ = open_.withColumn("in_main", F.col("component") == F.col("main"))
+    open_ = written(open_.drop("pivot", "parts", "main"), "open")
+    minor = open_.where("not in_main").select(
         "gram", *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "at", "component"))
     )
     rest = minor.join(open_, "gram").where(
         (F.col("a_component") != F.col("component"))
-        & ((F.col("component") == F.col("main")) | (F.col("a_id") < F.col("id")))
+        & (F.col("in_main") | (F.col("a_id") < F.col("id")))
         & _may_link(percent, "a_n", "a_at", "n", "at")
     )
     rest = rest.select(F.least("a_id", "id").alias("a"), F.greatest("a_id", "id").alias("b"))
