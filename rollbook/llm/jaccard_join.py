@@ -34,12 +34,11 @@ COUNT_CELLS = 1 << 18
 BROADCAST_IDS = 2_000_000
 #: n-grams up to which those that documents share are sent to every task (32 MB), else shuffled.
 BROADCAST_GRAMS = 2_000_000
-#: Ranges of hashes whose counts the suffix filter compares.
-SUFFIX_CELLS = 64
+#: The suffix filter cuts the hashes into 64 ranges, and into four times as many while a range
+#: would hold this many n-grams of a set, so that it tells long sets apart as well as short ones.
+FULL_RANGE = 16
 #: Larger counts are taken as this one, so that a range is one byte; that only weakens the filter.
 MOST_IN_CELL = 127
-_CUTS = np.arange(1, SUFFIX_CELLS, dtype=np.uint64) * np.uint64(2**64 // SUFFIX_CELLS)
-
 SETS = "doc_id long, n_shingles long, digest binary, cells array<int>, counts array<long>"
 
 
@@ -73,12 +72,21 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def range_counts(grams: np.ndarray) -> np.ndarray:
-    """How many of a sorted set's hashes are in each of ``SUFFIX_CELLS`` ranges, up to a limit.
+    """How many of a set's hashes are in each of its ranges, up to a limit.
 
     Limited counts differ by no more than the whole ones, so no pair that is alike is lost.
     """
-    counts = np.diff(np.searchsorted(grams, _CUTS), prepend=0, append=len(grams))
-    return np.minimum(counts, MOST_IN_CELL)
+    bits = 6
+    while len(grams) >= FULL_RANGE << bits:
+        bits += 2
+    places = (grams >> np.uint64(64 - bits)).astype(np.int64)
+    return np.minimum(np.bincount(places, minlength=1 << bits), MOST_IN_CELL).astype(np.int8)
+
+
+def lists(values: list[np.ndarray], kind: type) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, values)])
+    flat = np.concatenate([np.zeros(0, kind), *values])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
 def _needed(percent: int, a: str, b: str) -> Column:
@@ -98,7 +106,10 @@ def _sent(table: DataFrame, most: int) -> DataFrame:
 
 
 def _suffixes_allow(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """Suffix filter: sets whose counts in ranges of hashes differ too much share too little."""
+    """Suffix filter: sets whose counts in ranges of hashes differ too much share too little.
+
+    Sets of so different size that their ranges differ are left to be verified.
+    """
     for side in ("b", "a"):
         known = prefixes.select(
             F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("cells").alias(f"c_{side}")
@@ -110,7 +121,8 @@ def _suffixes_allow(pairs: DataFrame, prefixes: DataFrame, percent: int) -> Data
         lambda s, x: s + x,
     )
     shared = (F.col("n_a") + F.col("n_b") - apart) / 2
-    return pairs.where(shared >= _needed(percent, "n_a", "n_b")).select("a", "b").distinct()
+    other = F.size("c_a") != F.size("c_b")
+    return pairs.where(other | (shared >= _needed(percent, "n_a", "n_b"))).select("a", "b").distinct()
 
 
 def _verified(
@@ -164,7 +176,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNT_CELLS, np.int64)
         names = [c.split()[0] for c in SETS.split(", ")]
-        lists = [pa.list_(pa.int32()), pa.list_(pa.int64())]
+        kinds = [pa.list_(pa.int32()), pa.list_(pa.int64())]
         for batch in batches:
             sizes, digests = [], []
             for grams in shingle_sets(batch.column("text"), size):
@@ -173,11 +185,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
                 digest = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
                 digests.append(digest if len(grams) else None)
             columns = [batch.column("doc_id"), pa.array(sizes, pa.int64())]
-            columns += [pa.array(digests, pa.binary()), *(pa.nulls(len(sizes), t) for t in lists)]
+            columns += [pa.array(digests, pa.binary()), *(pa.nulls(len(sizes), t) for t in kinds)]
             yield pa.RecordBatch.from_arrays(columns, names)
         used = np.flatnonzero(counts)
         row = [pa.array([None], t) for t in (pa.int64(), pa.int64(), pa.binary())]
-        row += [pa.array([x.tolist()], t) for x, t in zip((used, counts[used]), lists, strict=True)]
+        row += [pa.array([x.tolist()], t) for x, t in zip((used, counts[used]), kinds, strict=True)]
         yield pa.RecordBatch.from_arrays(row, names)
 
     summary = written(docs.mapInArrow(summarize, SETS), "summary")
@@ -198,24 +210,19 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, out, cells = [], [], [np.zeros(0, np.int8)]
+            sizes, out, cells = [], [], []
             for grams in shingle_sets(batch.column("text"), size):
                 cells.append(range_counts(grams))
                 order = np.lexsort((grams, frequency[cell(grams)]))
                 count = int(prefix_size(np.int64(len(grams)), percent)) if len(grams) else 0
                 sizes.append(len(grams))
                 out.append(grams[order[:count]].astype(np.int64))
-            ends = np.cumsum([0, *map(len, out)])
-            flat = np.concatenate(out) if out else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array(sizes, pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())),
-                    pa.ListArray.from_arrays(
-                        pa.array(np.arange(len(sizes) + 1) * SUFFIX_CELLS, pa.int32()),
-                        pa.array(np.concatenate(cells).astype(np.int8)),
-                    ),
+                    lists(out, np.int64),
+                    lists(cells, np.int8),
                 ],
                 ["id", "n", "grams", "cells"],
             )
