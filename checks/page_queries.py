@@ -408,7 +408,7 @@ def rank_order_customers(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
     counts = stage(orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("count")))
     order = [F.desc("count"), F.asc("o_custkey")]
-    return number_rows(counts, order, {"running": "count"}, one_task_rows=0)
+    return number_rows(counts, order, {"running": "count"})
 
 
 @query(
@@ -694,7 +694,7 @@ def price_quantiles(spark: SparkSession, folder: str) -> DataFrame:
     lineitem = table(spark, folder, "lineitem")
     counts = stage(distribution.measure_counts(lineitem, ["l_returnflag"], "l_extendedprice"))
     asked = {"p10": 0.1, "p50": 0.5, "p99": 0.99}
-    found = quantiles(counts, ["l_returnflag"], "value", "count", asked, one_task_rows=0)
+    found = quantiles(counts, ["l_returnflag"], "value", "count", asked)
     return found.select("l_returnflag", *(F.round(name, 6).alias(name) for name in asked))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rollbook.functions.numbers import bin_lower, rate
 from rollbook.operators.guards import need_columns, need_positive
 from rollbook.operators.ordering import quantiles
-from rollbook.staging import ONE_TASK_ROWS, Staged
+from rollbook.staging import Staged
 
 QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
 
@@ -36,7 +36,7 @@ def coverage(counts: DataFrame, group: str) -> DataFrame:
     )
 
 
-def distribution(staged: Staged, group: str, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def distribution(staged: Staged, group: str) -> DataFrame:
     """Per non-null group: size, known values, share and unrounded statistics of the known.
 
     A group without known values has share 0 and null statistics.
@@ -50,9 +50,7 @@ def distribution(staged: Staged, group: str, one_task_rows: int = ONE_TASK_ROWS)
         F.max("value").alias("maximum"),
         F.sum(F.col("value") * F.col("count")).cast("double").alias("_sum"),
     )
-    middle = quantiles(
-        Staged(counts, staged.rows), [group], "value", "count", QUARTILES, one_task_rows
-    )
+    middle = quantiles(Staged(counts, staged.rows), [group], "value", "count", QUARTILES)
     return sizes.join(middle, group, "left").select(
         group,
         "total_count",

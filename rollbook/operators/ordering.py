@@ -1,10 +1,9 @@
 """Ranks, running totals and exact quantiles over a global order.
 
-A window without partitions moves all its rows to one task. That is right for a staged table
-of proven size and wrong for any other, so both operators measure first. The large way sorts
-by range, which is even because the order keys are unique, numbers the rows of each slice in
-place and adds the totals of the slices before it; only those totals, one row per slice, meet
-in one task.
+A window without partitions would move all rows to one task. Instead the rows are sorted by
+range, which is even because the order keys are unique, numbered within their slice, and shifted
+by the totals of the slices before it; only those totals, one row per slice, meet in one task.
+The steps are the same at every size.
 """
 
 from __future__ import annotations
@@ -14,39 +13,30 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollbook.staging import ONE_TASK_ROWS, Staged, stage
+from rollbook.staging import Staged, shared_folder
 
-#: Groups whose totals are sent to every task (a few MB); beyond it they are shuffled.
-MOST_GROUPS = 100_000
 _AT = "_at"
 _SLICE = "_slice"
 _POSITION_BITS = 33  # monotonically_increasing_id: partition above, row within it below
 
 
+def _sliced(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """The rows sorted by range and kept, with their place and the number of their slice."""
+    shared_folder(df.sparkSession)
+    placed = df.orderBy(*order).withColumn(_AT, F.monotonically_increasing_id()).checkpoint()
+    return placed.withColumn(_SLICE, F.shiftright(_AT, _POSITION_BITS))
+
+
 def number_rows(
-    staged: Staged,
-    order: Sequence[Column],
-    running: Mapping[str, str] | None = None,
-    one_task_rows: int = ONE_TASK_ROWS,
+    staged: Staged, order: Sequence[Column], running: Mapping[str, str] | None = None
 ) -> DataFrame:
     """Add ``rank`` from 1 and running totals (new name to column) in a total order.
 
-    ``staged.rows`` may be an upper bound. ``order`` must be unique per row.
+    ``order`` must be unique per row.
     """
     running = dict(running or {})
-    if staged.rows <= one_task_rows:
-        window = Window.orderBy(*order)
-        so_far = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return staged.frame.withColumns(
-            {"rank": F.row_number().over(window).cast("bigint")}
-            | {name: F.sum(column).over(so_far) for name, column in running.items()}
-        )
-
     columns = staged.frame.columns
-    ordered = stage(
-        staged.frame.orderBy(*order).withColumn(_AT, F.monotonically_increasing_id())
-    ).frame
-    ordered = ordered.withColumn(_SLICE, F.shiftright(_AT, _POSITION_BITS))
+    ordered = _sliced(staged.frame, order)
     totals = ordered.groupBy(_SLICE).agg(
         F.count(F.lit(1)).alias("_rows"),
         *(F.sum(column).alias(f"_sum_{name}") for name, column in running.items()),
@@ -79,40 +69,40 @@ def quantiles(
     value: str,
     count: str,
     probabilities: Mapping[str, float],
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
     ``staged`` holds one row per group and value with its number of occurrences; null values
-    and values that do not occur are ignored, and groups without values are absent. All values
-    are numbered in one global order, the totals of the groups give where each group starts, and
-    each quantile is picked by position. The steps and the formula are the same at every size;
-    ``number_rows`` alone decides how the order is computed.
+    and values that do not occur are ignored, and groups without values are absent. The values
+    are sorted once, by group and value. A running count within each slice and group, shifted by
+    what the group has in earlier slices, gives every value's place; each quantile is picked by
+    position. The shifts are one row per slice and group met there, and are joined by both, so
+    that a group with most of the values is spread over its slices.
     """
     known = staged.frame.filter(F.col(value).isNotNull() & (F.col(count) > 0))
     keyed = known.groupBy(*by, value).agg(F.sum(count).alias(count))
     if not by:
         keyed = keyed.withColumn("_all", F.lit(0))
     groups = list(by) or ["_all"]
-    order = [F.col(name) for name in groups]
-    ordered = number_rows(
-        Staged(keyed, staged.rows), [*order, F.col(value)], {"_upto": count}, one_task_rows
-    )
-    totals = Staged(keyed.groupBy(*groups).agg(F.sum(count).alias("_total")), staged.rows)
-    if totals.rows > MOST_GROUPS:
-        totals = stage(totals.frame)
-    bounds = number_rows(totals, order, {"_end": "_total"}, one_task_rows).select(
-        *groups, "_total", (F.col("_end") - F.col("_total")).alias("_start")
+    keys = [_SLICE, *groups]
+    ordered = _sliced(keyed, [*(F.col(name) for name in groups), F.col(value)])
+    here = ordered.groupBy(*keys).agg(F.sum(count).alias("_here"))
+    whole = Window.partitionBy(*groups)
+    earlier = whole.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = here.select(
+        *keys,
+        F.coalesce(F.sum("_here").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_here").over(whole).alias("_total"),
     )
-    # The ranked rows are never the side that is sent or held; a hot group is split when it is read.
-    few = totals.rows <= MOST_GROUPS
-    bounds = F.broadcast(bounds) if few else bounds.hint("shuffle_hash")
+    so_far = Window.partitionBy(*keys).orderBy(_AT)
+    so_far = so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = ordered.withColumn("_upto", F.sum(count).over(so_far))
     # Null-safe, as a group key may be null.
     placed = ordered.alias("o").join(
-        bounds.alias("b"),
-        on=[F.col(f"o.{name}").eqNullSafe(F.col(f"b.{name}")) for name in groups],
+        shifts.alias("s"),
+        on=[F.col(f"o.{name}").eqNullSafe(F.col(f"s.{name}")) for name in keys],
     )
-    upto = F.col("_upto") - F.col("_start")
+    upto = F.col("_upto") + F.col("_before")
     picks = []
     for i, p in enumerate(probabilities.values()):
         at = F.lit(p) * (F.col("_total") - 1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rollbook.functions.numbers import marker_size
 from rollbook.operators.guards import need_columns
 from rollbook.operators.ranking import pair_label, rank_counts, regroup
-from rollbook.staging import ONE_TASK_ROWS, Staged
+from rollbook.staging import Staged
 
 
 @dataclass(frozen=True)
@@ -38,25 +38,21 @@ def place_counts(df: DataFrame, columns: PlaceColumns) -> DataFrame:
     return df.groupBy(*columns.all).agg(F.count(F.lit(1)).alias("count"))
 
 
-def rank_counties(
-    cells: Staged, columns: PlaceColumns, total: int, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
+def rank_counties(cells: Staged, columns: PlaceColumns, total: int) -> DataFrame:
     """Counties within their state; the same name in two states stays two."""
     groups = [columns.state, columns.county]
     counts = regroup(cells, groups, groups)
     label = pair_label(columns.county, columns.state, ", ")
-    ranked = rank_counts(counts, [columns.county, columns.state], total, label, one_task_rows)
+    ranked = rank_counts(counts, [columns.county, columns.state], total, label)
     return ranked.drop("cumulative_share")
 
 
-def rank_cities(
-    cells: Staged, columns: PlaceColumns, total: int, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
+def rank_cities(cells: Staged, columns: PlaceColumns, total: int) -> DataFrame:
     """Cities within county and state."""
     counts = regroup(cells, columns.names, columns.names)
     label = pair_label(columns.city, columns.state, ", ")
     order = [columns.city, columns.state, columns.county]
-    return rank_counts(counts, order, total, label, one_task_rows).drop("cumulative_share")
+    return rank_counts(counts, order, total, label).drop("cumulative_share")
 
 
 def point_order(columns: PlaceColumns) -> list[Column]:

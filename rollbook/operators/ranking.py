@@ -11,7 +11,7 @@ from rollbook.functions.text import fold
 from rollbook.functions.numbers import share
 from rollbook.operators.guards import need_positive
 from rollbook.operators.ordering import number_rows
-from rollbook.staging import ONE_TASK_ROWS, Staged
+from rollbook.staging import Staged
 
 THRESHOLDS = (0.5, 0.75, 0.9)
 
@@ -35,11 +35,7 @@ def ranking_order(names: Sequence[str]) -> list[Column]:
 
 
 def rank_counts(
-    counts: Staged,
-    order_names: Sequence[str],
-    total: int,
-    label: Column,
-    one_task_rows: int = ONE_TASK_ROWS,
+    counts: Staged, order_names: Sequence[str], total: int, label: Column
 ) -> DataFrame:
     """``rank, label, <groups>, count, share, cumulative_share``, complete.
 
@@ -47,9 +43,7 @@ def rank_counts(
     rounded shares.
     """
     groups = [name for name in counts.frame.columns if name != "count"]
-    numbered = number_rows(
-        counts, ranking_order(order_names), {"running": "count"}, one_task_rows
-    )
+    numbered = number_rows(counts, ranking_order(order_names), {"running": "count"})
     return numbered.select(
         "rank",
         label.alias("label"),

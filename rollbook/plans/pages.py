@@ -16,7 +16,7 @@ from rollbook.functions.numbers import share
 from rollbook.operators import breakdown, distribution, grid, places, ranking
 from rollbook.operators.guards import EmptyInput, need_columns, need_positive
 from rollbook.operators.ordering import quantiles
-from rollbook.staging import ONE_TASK_ROWS, Staged, stage, together
+from rollbook.staging import Staged, stage, together
 
 
 @dataclass(frozen=True)
@@ -52,8 +52,8 @@ def _summed(cells: Staged, *names: str) -> Staged:
     return Staged(sums, cells.rows)
 
 
-def _median(values: Staged, value: str, one_task_rows: int) -> float:
-    found = quantiles(values, [], value, "count", {"median": 0.5}, one_task_rows).first()
+def _median(values: Staged, value: str) -> float:
+    found = quantiles(values, [], value, "count", {"median": 0.5}).first()
     if found is None:
         raise EmptyInput(f"No values of {value} in the input.")
     return found[0]
@@ -72,7 +72,6 @@ def overview(
     df: DataFrame,
     columns: Columns = Columns(),
     top_makes: int = 5,
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> Overview:
     """Distinct vehicles, type and status shares, known coverage, median year, and series."""
     c = columns
@@ -88,7 +87,7 @@ def overview(
         lambda: breakdown.distinct_keys(df, c.key),
     )
     _need_rows(cells)
-    median = _median(_summed(cells, c.year), c.year, one_task_rows)
+    median = _median(_summed(cells, c.year), c.year)
     headline = cells.frame.agg(
         F.lit(vehicles).cast("bigint").alias("vehicle_count"),
         _count_if(F.col(c.type) == c.main_type).alias("bev_count"),
@@ -125,7 +124,6 @@ def exploratory(
     recent_from: int = 2021,
     top: int = 10,
     top_counties: int = 5,
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> Exploratory:
     """Composition, concentration and known range of a whole table; shares are of rows."""
     c = columns
@@ -147,7 +145,7 @@ def exploratory(
 
     types, places_, measures = (of_set(group) for group in sets)
     years = Staged(types, cells.rows)
-    median = _median(_summed(years, c.year), c.year, one_task_rows)
+    median = _median(_summed(years, c.year), c.year)
 
     def of(name: str, **options) -> DataFrame:
         source = places_ if name in sets[1] else types
@@ -178,7 +176,7 @@ def exploratory(
         .alias("top_5_county_share"),
     )
     by_type = Staged(measures.withColumnRenamed(c.measure, "value"), cells.rows)
-    stats = distribution.distribution(by_type, c.type, one_task_rows)
+    stats = distribution.distribution(by_type, c.type)
     return Exploratory(headline, breakdowns, stats.withColumn("mean", F.bround("mean", 2)))
 
 
@@ -195,7 +193,6 @@ def market(
     df: DataFrame,
     columns: Columns = Columns(),
     grid_makes: int = 10,
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> Market:
     """Complete make and make/model rankings, concentration, and the make by year grid."""
     c = columns
@@ -216,9 +213,11 @@ def market(
         raise EmptyInput("No rows with make and model in the input.")
     if not years:
         raise EmptyInput(f"No values of {c.year} in the input.")
-    makes = ranking.rank_counts(by_make, [c.make], vehicles, F.col(c.make), one_task_rows)
     label = ranking.pair_label(c.model, c.make, " — ")
-    models = ranking.rank_counts(by_model, [c.make, c.model], vehicles, label, one_task_rows)
+    makes, models = together(
+        lambda: ranking.rank_counts(by_make, [c.make], vehicles, F.col(c.make)),
+        lambda: ranking.rank_counts(by_model, [c.make, c.model], vehicles, label),
+    )
     headline = ranking.headline(makes).select(
         F.lit(vehicles).cast("bigint").alias("vehicle_count"),
         F.col("n_groups").alias("make_count"),
@@ -246,7 +245,6 @@ def geography(
     df: DataFrame,
     columns: places.PlaceColumns = places.PlaceColumns(),
     key: str = "dol_vehicle_id",
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> Geography:
     """County and city rankings, aggregate points and coordinate coverage, without row keys."""
     p = columns
@@ -286,12 +284,11 @@ def geography(
     )
     if cells.frame.filter(complete(p.names)).isEmpty():
         raise EmptyInput("No rows with county and city in the input.")
-    return Geography(
-        headline,
-        places.rank_counties(cells, p, vehicles, one_task_rows),
-        places.rank_cities(cells, p, vehicles, one_task_rows),
-        places.map_points(cells.frame, p),
+    counties, cities = together(
+        lambda: places.rank_counties(cells, p, vehicles),
+        lambda: places.rank_cities(cells, p, vehicles),
     )
+    return Geography(headline, counties, cities, places.map_points(cells.frame, p))
 
 
 @dataclass(frozen=True)
@@ -307,7 +304,6 @@ def ranges(
     df: DataFrame,
     columns: Columns = Columns(),
     width: int = 10,
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> Ranges:
     """Known-range coverage, statistics and bins per type, and eligibility statuses."""
     c = columns
@@ -322,10 +318,10 @@ def ranges(
         raise EmptyInput(f"No values of {c.type} in the input.")
 
     by_type = _summed(cells, c.type, "value")
-    statistics = distribution.rounded(
-        distribution.distribution(by_type, c.type, one_task_rows)
+    statistics, median = together(
+        lambda: distribution.rounded(distribution.distribution(by_type, c.type)),
+        lambda: quantiles(_summed(cells, "value"), [], "value", "count", {"median": 0.5}),
     )
-    median = quantiles(_summed(cells, "value"), [], "value", "count", {"median": 0.5}, one_task_rows)
 
     headline = cells.frame.agg(
         F.lit(vehicles).cast("bigint").alias("vehicle_count"),

@@ -1,8 +1,7 @@
 """Keep an aggregated table once, so that several results read it instead of the source.
 
 A staged table is checkpointed in the shared folder that ``spark.checkpoint.dir`` names; it
-survives lost executors and gives every reader the same rows in the same partitions. Its row
-count is the proven bound that decides whether a later step fits one task.
+survives lost executors and gives every reader the same rows in the same partitions.
 """
 
 from __future__ import annotations
@@ -16,10 +15,6 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows that one task sorts or merges without trouble; beyond it the distributed way is taken.
-ONE_TASK_ROWS = 1_000_000
-
-
 @dataclass(frozen=True)
 class Staged:
     """A kept table, its number of rows (or a bound of it) and the sum of its counts."""

@@ -10,8 +10,6 @@ from rollbook.operators.places import PlaceColumns
 from rollbook.plans import pages
 from rollbook.staging import stage
 
-WAYS = pytest.mark.parametrize("one_task_rows", [0, 1_000_000])
-
 
 @pytest.fixture
 def clean(spark, contract, raw):
@@ -64,9 +62,8 @@ def test_leading_category_is_the_first_among_equals(spark):
     assert rows(found) == [("2020", 2, 0.4)]
 
 
-@WAYS
-def test_overview(spark, clean, one_task_rows):
-    page = pages.overview(clean, one_task_rows=one_task_rows)
+def test_overview(spark, clean):
+    page = pages.overview(clean)
     assert only(page.headline) == {
         "vehicle_count": 2,
         "bev_count": 1,
@@ -88,10 +85,9 @@ def test_overview_counts_distinct_keys(spark, contract, raw):
     assert (headline["vehicle_count"], headline["bev_count"], headline["bev_share"]) == (2, 2, 1.0)
 
 
-@WAYS
-def test_exploratory(spark, contract, raw, one_task_rows):
+def test_exploratory(spark, contract, raw):
     df = raw.more(0, dol_vehicle_id="3", county=None, electric_range_raw="100").clean(spark, contract)
-    page = pages.exploratory(df, one_task_rows=one_task_rows)
+    page = pages.exploratory(df)
     headline = only(page.headline)
     assert headline["vehicle_count"] == 3
     assert (headline["model_year_min"], headline["model_year_max"]) == (2020, 2023)
@@ -106,11 +102,10 @@ def test_exploratory(spark, contract, raw, one_task_rows):
     assert (found["PHEV"].known_share, found["PHEV"].median, found["PHEV"].maximum) == (0.0, None, None)
 
 
-@WAYS
-def test_market(spark, contract, raw, one_task_rows):
+def test_market(spark, contract, raw):
     """The same model label under two makes stays two models."""
     raw.more(0, dol_vehicle_id="3", make="OTHER").more(0, dol_vehicle_id="4")
-    page = pages.market(raw.clean(spark, contract), one_task_rows=one_task_rows)
+    page = pages.market(raw.clean(spark, contract))
     found = tuples(page.models.orderBy("rank"), "rank", "label", "count", "share", "cumulative_share")
     assert found == [
         (1, "MODEL 3 — TESLA", 2, 0.5, 0.5),
@@ -155,12 +150,11 @@ def test_grid_counts_rows_without_model(spark, contract, raw):
     assert ("TESLA", 2020, 2) in tuples(page.grid, "make", "model_year", "count")
 
 
-@WAYS
-def test_geography(spark, contract, raw, one_task_rows):
+def test_geography(spark, contract, raw):
     """The same county name in two states stays two; a repeated coordinate is one point."""
     raw.more(0, dol_vehicle_id="3", state="OR").more(0, dol_vehicle_id="4")
     raw.more(1, dol_vehicle_id="5", vehicle_location=None)
-    page = pages.geography(raw.clean(spark, contract), one_task_rows=one_task_rows)
+    page = pages.geography(raw.clean(spark, contract))
     assert tuples(page.counties.orderBy("rank"), "rank", "label", "count") == [
         (1, "King, WA", 2),
         (2, "Yakima, WA", 2),
@@ -195,10 +189,9 @@ def test_geography(spark, contract, raw, one_task_rows):
     assert table.columns == ["state", "county", "city", "count"]
 
 
-@WAYS
-def test_ranges(spark, contract, raw, one_task_rows):
+def test_ranges(spark, contract, raw):
     df = raw.more(0, dol_vehicle_id="3").clean(spark, contract)
-    page = pages.ranges(df, one_task_rows=one_task_rows)
+    page = pages.ranges(df)
     headline = only(page.headline)
     assert (headline["known_range_count"], headline["known_range_share"]) == (2, 0.666667)
     assert (headline["median_known_range"], headline["unknown_cafv_count"]) == (266.0, 1)
