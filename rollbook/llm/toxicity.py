@@ -9,10 +9,11 @@ scored by logistic regression on how often chosen words and word beginnings stan
 
 from __future__ import annotations
 
+import logging
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.samples import labelled_texts
+from rollbook.llm.tables import written
 
 #: Labelled texts of each kind that are learned from at most.
 PER_LABEL = 3000
@@ -30,8 +32,9 @@ MOST_FEATURES = 600
 LEAST_TEXTS = 3
 #: Lengths of the word beginnings that are counted beside whole words.
 BEGINNINGS = (4, 5, 6)
-#: Characters whose trigrams make the character model, at most.
-MODEL_CHARACTERS = 2_000_000
+#: Characters that are counted together, and n-grams that a task holds before it gives them on.
+CHARACTERS_AT_ONCE = 1 << 20
+GRAMS_AT_ONCE = 1 << 21
 
 #: What signs and digits look like; fixed values.
 LOOKS = {
@@ -67,33 +70,126 @@ _ANY_RUN = re.compile(rf"({_LETTER})\1\1")
 _ANY_APART = re.compile(r"[ .\-_*][\w@$!|][ .\-_*]{1,2}[\w@$!|](?!\w)")
 _WORDS = re.compile(rf"{_LETTER}+")
 
+_NONE = np.zeros(0, np.int64), np.zeros(0, np.int64)
+_LOG = logging.getLogger(__name__)
+
 SCORED = "doc_id long, score double, predicted int"
 
 
+def _added(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each n-gram once, ascending, with the sum of its counts."""
+    order = np.argsort(grams, kind="stable")
+    grams, counts = grams[order], counts[order]
+    first = np.flatnonzero(np.diff(grams, prepend=-1))
+    return grams[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _counted(points: np.ndarray, fresh: int) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams of size 1 to 3 that end behind the first ``fresh`` code points; none holds a 0."""
+    letters, places = np.unique(points, return_inverse=True)
+    size = len(letters)
+    keys, n = [], []
+    codes = at = np.zeros(len(points), np.int64)
+    for length in (1, 2, 3):
+        codes = places if length == 1 else at[:-1] * size + places[length - 1 :]
+        at = codes
+        new = codes[max(0, fresh - length + 1) :]
+        if size**length <= 1 << 22:
+            many = np.bincount(new, minlength=1)
+            some = np.flatnonzero(many)
+            many = many[some]
+        else:
+            some, many = np.unique(new, return_counts=True)
+        gram, whole, rest = np.zeros(len(some), np.int64), np.ones(len(some), bool), some
+        for shift in range(length):
+            rest, last = np.divmod(rest, size)
+            gram |= letters[last].astype(np.int64) << 21 * shift
+            whole &= letters[last] > 0
+        keys.append(gram[whole])
+        n.append(many[whole])
+    return np.concatenate(keys), np.concatenate(n)
+
+
+def count_grams(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Character n-grams of size 1 to 3 of the texts' words, as numbers, and how often they occur.
+
+    A number has 21 bits for each character, the last one lowest. An n-gram may come again after
+    ``GRAMS_AT_ONCE`` others, so that the memory is bounded.
+    """
+    held = _NONE
+    plain, size = [], 0
+
+    def take() -> None:
+        nonlocal held, size
+        data = "\0".join(plain).encode("utf-32-le", "surrogatepass")
+        points = np.frombuffer(data, np.uint32)
+        for begin in range(0, len(points), CHARACTERS_AT_ONCE):
+            before = min(2, begin)
+            part = points[begin - before : begin + CHARACTERS_AT_ONCE]
+            both = zip(held, _counted(part, before), strict=True)
+            held = _added(*map(np.concatenate, both))
+        plain.clear()
+        size = 0
+
+    for text in texts:
+        plain.append(" " + " ".join(_WORDS.findall(text.lower())) + " ")
+        size += len(plain[-1]) + 1
+        if size >= CHARACTERS_AT_ONCE:
+            take()
+            if len(held[0]) >= GRAMS_AT_ONCE:
+                yield held
+                held = _NONE
+    if plain:
+        take()
+    if len(held[0]):
+        yield held
+
+
 class CharacterModel:
     """Trigram model of letters and blanks, smoothed by bigrams and single characters."""
 
-    def __init__(self, texts: list[str]) -> None:
-        counts = [Counter() for _ in range(3)]
-        left = MODEL_CHARACTERS
-        for text in texts:
-            if left <= 0:
-                break
-            plain = " " + " ".join(_WORDS.findall(text.lower())) + " "
-            left -= len(plain)
-            for size in (1, 2, 3):
-                counts[size - 1].update(plain[i : i + size] for i in range(len(plain) - size + 1))
-        self.one, self.two, self.three = counts
-        self.total = sum(self.one.values())
+    def __init__(self, texts: Iterable[str] = ()) -> None:
+        parts = list(count_grams(texts))
+        self._set(*(map(np.concatenate, zip(*parts, strict=True)) if parts else _NONE))
+
+    def _set(self, grams: np.ndarray, counts: np.ndarray) -> None:
+        self.grams, self.counts = _added(grams, counts)
+        self.total = int(self.counts[: np.searchsorted(self.grams, 1 << 21)].sum())
         self.known: dict[str, float] = {}
 
+    @classmethod
+    def of(cls, docs: DataFrame) -> CharacterModel:
+        """A model of all texts of ``docs``, counted in the tasks."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            texts = (text for batch in batches for text in batch.column("text").to_pylist())
+            for part in count_grams(texts):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in part], ["gram", "n"])
+
+        texts = docs.select("text").where("text is not null")
+        grams = texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        grams = written(grams, "character_grams")
+        size = grams.count()
+        _LOG.info("character model: %d n-grams, %d bytes to each task", size, 16 * size)
+        rows = grams.toArrow()
+        out = cls()
+        out._set(rows["gram"].to_numpy(), rows["n"].to_numpy())
+        return out
+
+    def count(self, gram: str) -> int:
+        key = 0
+        for c in gram:
+            key = key << 21 | ord(c)
+        place = int(self.grams.searchsorted(key))
+        return int(self.counts[place]) if place < len(self.grams) and self.grams[place] == key else 0
+
     def cost(self, before: str, next_: str) -> float:
         """Negative logarithm of the chance of a character behind two others."""
         key = before + next_
         if (out := self.known.get(key)) is None:
-            low = (self.one[next_] + 0.1) / (self.total + 30)
-            middle = (self.two[key[1:]] + 2 * low) / (self.one[before[1:]] + 2)
-            high = (self.three[key] + 2 * middle) / (self.two[before] + 2)
+            low = (self.count(next_) + 0.1) / (self.total + 30)
+            middle = (self.count(key[1:]) + 2 * low) / (self.count(before[1:]) + 2)
+            high = (self.count(key) + 2 * middle) / (self.count(before) + 2)
             out = self.known[key] = -math.log(high)
         return out
 
@@ -194,12 +290,17 @@ def values(words: list[str], size: int) -> dict[str, float]:
     return {feature: min(1.0, 100 * n / size) for feature, n in out.items()}
 
 
-def fit(sample: list[tuple[int, str]], shares: dict[int, float]) -> Model:
+def fit(
+    sample: list[tuple[int, str]],
+    shares: dict[int, float],
+    characters: CharacterModel | None = None,
+) -> Model:
     """Learn from (toxic 0 or 1, text); ``shares`` are the two kinds' shares of all labelled rows.
 
-    Without texts of both kinds every score is the share of toxic ones, or one half.
+    Words are restored by ``characters``, or by a character model of the sample. Without texts of both kinds every score is the share of toxic ones, or one half.
     """
-    characters = CharacterModel([text for _, text in sample])
+    if characters is None:
+        characters = CharacterModel(text for _, text in sample)
     base = min(max(shares.get(1, 0.0) if shares else 0.5, 1e-3), 1 - 1e-3)
     empty = Model(characters, {}, math.log(base / (1 - base)))
     labels = np.array([label for label, _ in sample])
@@ -255,12 +356,15 @@ def fit(sample: list[tuple[int, str]], shares: dict[int, float]) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from the texts of ``docs`` that ``labels`` (doc_id, toxic) marks 0 or 1."""
+    """A model from the texts of ``docs`` that ``labels`` (doc_id, toxic) marks 0 or 1.
+
+    Its character model is of all texts of ``docs``, with or without a label.
+    """
     marks = labels.where("doc_id is not null and toxic in (0, 1)")
     marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     counts = {row["label"]: row["count"] for row in marks.groupBy("label").count().collect()}
     shares = {label: n / sum(counts.values()) for label, n in counts.items()}
-    return fit(labelled_texts(docs, marks, PER_LABEL, 2), shares)
+    return fit(labelled_texts(docs, marks, PER_LABEL, 2), shares, CharacterModel.of(docs))
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:

@@ -162,6 +162,33 @@ def test_viterbi_is_the_best_path():
         assert any(abs(cost(p) - best) < 1e-9 and "".join(r for r, _ in p) == found for p in paths)
 
 
+def test_character_model_counts_all_texts():
+    texts = ["Äb  c1c", "", "1 2", "x", "字 qq", "ab" * 40]
+    want = Counter()
+    for text in texts:
+        plain = " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "
+        want.update(plain[i : i + k] for k in (1, 2, 3) for i in range(len(plain) - k + 1))
+    for at_once in (1, 5, 1 << 20):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(toxicity, "CHARACTERS_AT_ONCE", at_once)
+            patch.setattr(toxicity, "GRAMS_AT_ONCE", at_once)
+            model = toxicity.CharacterModel(texts)
+        assert len(model.grams) == len(want)
+        assert all(model.count(gram) == n for gram, n in want.items()) and model.count("zz") == 0
+        assert model.total == sum(n for gram, n in want.items() if len(gram) == 1)
+
+
+def test_toxicity_reads_all_texts_for_characters(spark):
+    # The clean texts have more than two million characters and no word of the toxic ones.
+    clean = [(k, "the old mule fell on the wall and all of the rye was sold " * 4000) for k in range(12)]
+    bad = [(100 + k, f"the gripnif fell on the gripnif {w}") for k, w in enumerate(["sold", "wall", "rye"] * 4)]
+    table = spark.createDataFrame([*clean, *bad], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in clean + bad], "doc_id long, toxic int")
+    model = toxicity.learn(table, labels)
+    assert "gripnif" in model.restore("the gr1pn1f fell")
+    assert model.score("the gr1pn1f fell on the wall") > 0.5 > model.score("the mule fell on the wall")
+
+
 # 3 pages
 
 
