@@ -21,6 +21,7 @@ from rollbook.llm import (
     packing,
     page_text,
     quality_rules,
+    samples,
     token_codes,
     toxicity,
     url_reputation,
@@ -189,6 +190,19 @@ def test_toxicity_reads_all_texts_for_characters(spark):
     assert model.score("the gr1pn1f fell on the wall") > 0.5 > model.score("the mule fell on the wall")
 
 
+def test_sample_ranks_few_ids(spark):
+    ids = spark.range(40000).withColumnRenamed("id", "doc_id")
+    marks = ids.withColumn("label", (ids["doc_id"] % 1000 == 0).cast("int"))
+    docs = ids.withColumn("text", ids["doc_id"].cast("string"))
+    hashes = marks.selectExpr("label", "xxhash64(doc_id) h", "doc_id").collect()
+    want = {k: sorted((r.h, str(r.doc_id)) for r in hashes if r.label == k)[:1500] for k in (0, 1)}
+    want = sorted((k, text) for k, rows in want.items() for _, text in rows)
+    assert sorted(samples.labelled_texts(docs, marks, 1500, 2)) == want
+    counts = marks.groupBy("label").count().collect()
+    ranks = samples._least_hashes(marks, counts, 40000, 3000).groupBy("label").count().collect()
+    assert all(r["count"] <= 4000 for r in ranks)
+
+
 # 3 pages
 
 
