@@ -102,11 +102,17 @@ class Direction:
             bias,
         )
 
-    def run(self, x: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple:
-        """States for steps x pages x inputs; ``mask`` holds the state where a page has no block."""
+    def run(
+        self, x: np.ndarray, mask: np.ndarray, keep: bool = False, start: tuple | None = None
+    ) -> tuple:
+        """States for steps x pages x inputs; ``mask`` holds the state where a page has no block.
+
+        What the gates saw is returned beside them if it is to be kept, and the last state, from
+        which another run may start.
+        """
         steps, pages, _ = x.shape
         z = (x.reshape(-1, INPUTS) @ self.inputs + self.bias).reshape(steps, pages, -1)
-        h = c = np.zeros((pages, HIDDEN), np.float32)
+        h, c = start or (np.zeros((pages, HIDDEN), np.float32),) * 2
         out, kept = np.empty((steps, pages, HIDDEN), np.float32), []
         for t in range(steps):
             gates = z[t] + h @ self.recurrent
@@ -120,7 +126,7 @@ class Direction:
             c = np.where(on, new_c, c)
             h = np.where(on, o * tanh, h)
             out[t] = h
-        return out, kept
+        return out, kept, (h, c)
 
     def slopes(self, x: np.ndarray, kept: list, slope: np.ndarray) -> list[np.ndarray]:
         """Gradients of the three parameters, given that of each state."""
@@ -164,8 +170,8 @@ class Labeller:
     def states(self, x: np.ndarray, sizes: np.ndarray, keep: bool = False) -> tuple:
         mask = np.arange(len(x))[:, None] < sizes
         turned = _turned(x, sizes)
-        ahead, kept = self.forward.run(x, mask, keep)
-        back, kept_back = self.backward.run(turned, mask, keep)
+        ahead, kept, _ = self.forward.run(x, mask, keep)
+        back, kept_back, _ = self.backward.run(turned, mask, keep)
         return np.dstack([ahead, _turned(back, sizes)]), (turned, kept, kept_back, mask)
 
     def chances(self, pages: list[np.ndarray]) -> list[np.ndarray]:
@@ -176,6 +182,26 @@ class Labeller:
         out = _sigmoid(states @ self.weights + self.bias)
         return [out[:size, page] for page, size in enumerate(sizes)]
 
+    def long_chances(self, sequence: list[Block]) -> np.ndarray:
+        """``chances`` of one page, made in steps of ``BATCH_BLOCKS`` blocks."""
+        begins = range(0, len(sequence), BATCH_BLOCKS)
+        back = np.empty((len(sequence), HIDDEN), np.float32)
+        out = np.empty(len(sequence), np.float32)
+        state = None
+        for begin in reversed(begins):
+            part = slice(begin, begin + BATCH_BLOCKS)
+            x = vectors(sequence[part])[::-1, None]
+            states, _, state = self.backward.run(x, np.ones((len(x), 1), bool), start=state)
+            back[part] = states[::-1, 0]
+        state = None
+        for begin in begins:
+            part = slice(begin, begin + BATCH_BLOCKS)
+            x = vectors(sequence[part])[:, None]
+            states, _, state = self.forward.run(x, np.ones((len(x), 1), bool), start=state)
+            both = np.hstack([states[:, 0], back[part]])
+            out[part] = _sigmoid(both @ self.weights + self.bias)
+        return out
+
     def slopes(self, pages: list[np.ndarray], labels: list[np.ndarray]) -> list[np.ndarray]:
         sizes = np.array([len(p) for p in pages])
         x = _padded(pages)
@@ -360,17 +386,26 @@ def trained(pages: int = TRAINING_PAGES, epochs: int = EPOCHS, seed: int = 3) ->
 
 def extract(pages: list[str | None], model: Labeller) -> list[str]:
     """Main text of each page, its blocks joined by two line feeds; empty if there is none."""
-    parsed = [blocks(page or "") for page in pages]
+    parsed: dict[int, list[Block]] = {}
     out = [""] * len(pages)
-    order = sorted((k for k in range(len(pages)) if parsed[k]), key=lambda k: len(parsed[k]))
+
+    def choose(k: int, sequence: list[Block], chance: np.ndarray) -> None:
+        out[k] = "\n\n".join(b.text for b, c in zip(sequence, chance, strict=True) if c >= 0.5)
+
+    for k, page in enumerate(pages):
+        sequence = blocks(page or "")
+        if len(sequence) > BATCH_BLOCKS:
+            choose(k, sequence, model.long_chances(sequence))
+        elif sequence:
+            parsed[k] = sequence
+    order = sorted(parsed, key=lambda k: len(parsed[k]))
     while order:
         longest = len(parsed[order[-1]])
-        part = order[-max(1, BATCH_BLOCKS // longest) :]
+        part = order[-(BATCH_BLOCKS // longest) :]
         del order[-len(part) :]
         chances = model.chances([vectors(parsed[k]) for k in part])
         for k, chance in zip(part, chances, strict=True):
-            chosen = (b.text for b, c in zip(parsed[k], chance, strict=True) if c >= 0.5)
-            out[k] = "\n\n".join(chosen)
+            choose(k, parsed[k], chance)
     return out
 
 

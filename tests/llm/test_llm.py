@@ -234,6 +234,37 @@ def test_page_text_rows(spark):
     assert page_text.extract_pages(table.limit(0)).collect() == []
 
 
+def test_long_page_in_steps(monkeypatch):
+    draw = np.random.default_rng(0)
+    one, two = page_text.Direction.drawn(draw), page_text.Direction.drawn(draw)
+    model = page_text.Labeller(one, two, np.zeros(48, np.float32), np.ones(1, np.float32))
+    made, sizes = page_text.vectors, []
+
+    def vectors(sequence):
+        sizes.append(len(sequence))
+        return made(sequence)
+
+    monkeypatch.setattr(page_text, "vectors", vectors)
+    page = "<body><table>" + "<tr><td>a1<td>b.</tr>" * 100_000 + "</table></body>"
+    (text,) = page_text.extract([page], model)
+    assert text.split("\n\n") == ["a1", "b."] * 100_000
+    assert max(sizes) <= page_text.BATCH_BLOCKS and sum(sizes) == 2 * 200_000
+
+
+def test_long_page_has_the_same_chances(monkeypatch):
+    model = page_text.trained()
+    monkeypatch.setattr(page_text, "BATCH_BLOCKS", 7)
+    maker = page_text.PageMaker(5)
+    pages = [maker.page() for _ in range(12)]
+    for sequence in filter(None, map(page_text.blocks, pages)):
+        (whole,) = model.chances([page_text.vectors(sequence)])
+        assert model.long_chances(sequence) == pytest.approx(whole, abs=1e-4)
+    monkeypatch.undo()
+    want = page_text.extract(pages, model)
+    monkeypatch.setattr(page_text, "BATCH_BLOCKS", 7)
+    assert page_text.extract(pages, model) == want
+
+
 def test_gradients_are_right():
     draw = np.random.default_rng(0)
     one, two = page_text.Direction.drawn(draw), page_text.Direction.drawn(draw)
