@@ -25,6 +25,10 @@ HIDDEN_TAGS = frozenset(
 RAW_TAGS = frozenset(
     "iframe noembed noframes noscript script style textarea title".split()
 )
+#: Elements that may stand in a head; any other one, or text, ends it without an end tag.
+_OF_HEAD = frozenset(
+    "base basefont bgsound head link meta noframes noscript script style template title".split()
+)
 #: Elements that end an open element of the same kind without an end tag.
 _SIBLINGS = {
     "li": ("li",),
@@ -103,8 +107,14 @@ def blocks(page: str) -> list[Block]:
                 return None
         return None
 
+    def end_head() -> None:
+        if stack and stack[-1][0] == "head":
+            pop(len(stack) - 1)
+
     def text(piece: str) -> None:
         nonlocal linked
+        if hidden and piece.strip():
+            end_head()
         if piece and not hidden:
             parts.append(piece)
             linked += len(piece) if links else 0
@@ -126,14 +136,16 @@ def blocks(page: str) -> list[Block]:
             elif tag in BLOCK_TAGS:
                 flush()
             continue
+        if tag not in _OF_HEAD:
+            end_head()
         if tag in _SIBLINGS and (place := find(_SIBLINGS[tag], tag not in ("tr",))) is not None:
             pop(place)
         if tag in BLOCK_TAGS:
             if (place := find(("p",), True)) is not None:
                 pop(place)
             flush()
-        if tag == "body":
-            hidden = 0
+        if tag == "body" and hidden:
+            pop(next(at for at, (open_, _) in enumerate(stack) if open_ in HIDDEN_TAGS))
         attributes = found[3] or found[6] or ""
         if tag == "br":
             text(" ")

@@ -265,6 +265,19 @@ def test_long_page_has_the_same_chances(monkeypatch):
     assert page_text.extract(pages, model) == want
 
 
+def test_head_without_end_tag():
+    def texts(page):
+        return [b.text for b in page_text.blocks(page)]
+
+    head = "<html><head><meta charset=x><title>t</title><style>p {}</style>\n<template><p>no</p></template>"
+    assert texts(head + "<article><p>one<p>two</article><p>three") == ["one", "two", "three"]
+    assert texts(head + "\n plain <b>text</b>") == ["plain text"]
+    assert texts(head + "<body><p>one</body></head><p>two") == ["one", "two"]
+    assert texts(head + "</head><body><p>one") == ["one"] and texts(head) == []
+    assert texts("<head><title>t</title><body><div hidden>a</div></html><p>b") == ["a", "b"]
+    assert texts("<head><template><p>x<body><p>one</html><p>two") == ["one", "two"]
+
+
 def test_gradients_are_right():
     draw = np.random.default_rng(0)
     one, two = page_text.Direction.drawn(draw), page_text.Direction.drawn(draw)
