@@ -19,9 +19,13 @@ from pyspark.sql import functions as F
 
 from rollbook.llm.samples import labelled_texts
 
-#: Texts of each language, and languages, that are learned from at most.
-PER_LANGUAGE = 500
-MOST_LANGUAGES = 100
+#: Texts of each language that are learned from at most; fewer if all languages' would be more
+#: than ``TEXTS``, but not fewer than ``LEAST_PER_LANGUAGE``. No language is left out.
+PER_LANGUAGE, LEAST_PER_LANGUAGE = 500, 20
+TEXTS = 20_000
+#: Texts whose features are dense together, and numbers of a table of losses.
+DENSE_TEXTS = 4096
+LOSSES = 1 << 22
 BUCKETS = 1 << 13
 SIZES = (1, 2, 3, 4)
 STEPS = 120
@@ -90,8 +94,9 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         names, scores, unsure = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
         known = [i for i, t in enumerate(texts) if has_letter(t)] if self.languages else []
-        for begin in range(0, len(known), 256):
-            part = known[begin : begin + 256]
+        step = max(1, min(256, LOSSES // max(1, self.codes.size)))
+        for begin in range(0, len(known), step):
+            part = known[begin : begin + step]
             losses = self.losses(np.stack([features(texts[i]) for i in part]))
             order = np.argsort(losses, axis=1, kind="stable")
             chance = np.exp(losses.min(1, keepdims=True) - losses)
@@ -102,6 +107,33 @@ class Model:
         return names, scores, unsure
 
 
+class Rows:
+    """Features of texts, sparse; dense for ``DENSE_TEXTS`` of them at once."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.cells: list[tuple[np.ndarray, np.ndarray]] = []
+        for text in texts:
+            row = features(text)
+            at = np.flatnonzero(row).astype(np.uint16)
+            self.cells.append((at, row[at]))
+        few = len(texts) <= DENSE_TEXTS
+        self.whole = [(slice(0, len(texts)), self.dense(0, len(texts)))] if few else None
+
+    def dense(self, begin: int, end: int) -> np.ndarray:
+        cells = self.cells[begin:end]
+        out = np.zeros((len(cells), BUCKETS), np.float32)
+        for row, (at, numbers) in zip(out, cells, strict=True):
+            row[at] = numbers
+        return out
+
+    def parts(self) -> Iterator[tuple[slice, np.ndarray]]:
+        if self.whole is not None:
+            yield from self.whole
+            return
+        for begin in range(0, len(self.cells), DENSE_TEXTS):
+            yield slice(begin, begin + DENSE_TEXTS), self.dense(begin, begin + DENSE_TEXTS)
+
+
 def fit(sample: list[tuple[str, str]]) -> Model:
     """Train one classifier for each bit by logistic regression; empty without samples."""
     sample = [(lang, text) for lang, text in sample if has_letter(text)]
@@ -111,15 +143,19 @@ def fit(sample: list[tuple[str, str]]) -> Model:
     weights, bias = np.zeros((BUCKETS, bits), np.float32), np.zeros(bits, np.float32)
     if not bits:
         return Model(languages, codes, weights, bias, np.ones((len(languages), 0), np.float32))
-    x = np.stack([features(text) for _, text in sample])
-    labels = np.array([languages.index(lang) for lang, _ in sample])
+    rows = Rows([text for _, text in sample])
+    place = {lang: k for k, lang in enumerate(languages)}
+    labels = np.array([place[lang] for lang, _ in sample])
     y = codes[labels]
     each = 1.0 / np.bincount(labels, minlength=len(languages))[labels][:, None] / len(languages)
     for _ in range(STEPS):
-        slope = each * y / (1 + np.exp(y * (x @ weights + bias)))
-        weights += np.float32(RATE) * (x.T @ slope - 1e-5 * weights).astype(np.float32)
-        bias += np.float32(RATE / 20) * slope.sum(0).astype(np.float32)
-    right = (x @ weights + bias) * y > 0
+        pull, total = 0.0, 0.0
+        for part, x in rows.parts():
+            slope = each[part] * y[part] / (1 + np.exp(y[part] * (x @ weights + bias)))
+            pull, total = pull + x.T @ slope, total + slope.sum(0)
+        weights += np.float32(RATE) * (pull - 1e-5 * weights).astype(np.float32)
+        bias += np.float32(RATE / 20) * total.astype(np.float32)
+    right = np.concatenate([(x @ weights + bias) * y[part] > 0 for part, x in rows.parts()])
     trust = np.stack([right[labels == k].mean(0) for k in range(len(languages))]) + 1e-6
     return Model(languages, codes, weights, bias, trust / trust.sum(1, keepdims=True))
 
@@ -128,7 +164,9 @@ def learn(docs: DataFrame, learned_from: Column) -> Model:
     """A model from the texts and non-null ``lang`` of the rows for which ``learned_from`` holds."""
     marks = docs.where(learned_from & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     marks = marks.select("doc_id", F.col("lang").alias("label"))
-    return fit(labelled_texts(docs, marks, PER_LANGUAGE, MOST_LANGUAGES))
+    languages = marks.select("label").distinct().count()
+    each = max(LEAST_PER_LANGUAGE, min(PER_LANGUAGE, TEXTS // max(1, languages)))
+    return fit(labelled_texts(docs, marks, each, languages))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -319,6 +319,24 @@ def test_language_held_out(spark):
     assert language.keep_known(table, model).count() == len(rows)
 
 
+def test_language_learns_every_language(spark):
+    draw = np.random.default_rng(2)
+    words = {f"l{k:03}": ["".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(3)] for k in range(105)}
+    rows = [(lang, " ".join(draw.choice(of, 20))) for lang, of in words.items() for _ in range(2 if lang > "l099" else 3)]
+    table = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language.learn(table, table["doc_id"] >= 0)
+    assert model.languages == sorted(words)
+    assert model.predict([text for _, text in rows])[0] == [lang for lang, _ in rows]
+
+
+def test_language_fit_in_parts(monkeypatch):
+    sample = [(k, f"{w} {w}{i} {w * 2}") for i in range(9) for k, w in (("a", "bado"), ("b", "wxyz"), ("c", "émil"))]
+    whole = language.fit(sample)
+    monkeypatch.setattr(language, "DENSE_TEXTS", 4)
+    parts = language.fit(sample)
+    assert np.allclose(whole.weights, parts.weights, atol=1e-3) and np.array_equal(whole.trust, parts.trust)
+
+
 def test_language_codes_and_empty(empty):
     for size in (2, 3, 4, 5, 12):
         codes = language.codewords(size)
