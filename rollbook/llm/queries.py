@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.llm import (
+    alignment,
     jaccard_join,
+    kd_shards,
     language,
+    lexical,
     mixing,
     order_minhash,
     packing,
@@ -104,6 +107,64 @@ def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two tokenizers' ids of every text lie against each other, and how usual their links."""
+    paths = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    aligned = alignment.align_texts(table(spark, sf_dir, "documents"), *paths, keep_groups=False)
+    return alignment.link_scores(aligned).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
+def op12_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of nearly equal bytes."""
+    rows = kd_shards.assign(table(spark, sf_dir, "documents"), shards=16).rows
+    return rows.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for every benchmark item."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return lexical.rank_documents(docs, items, k=50)
+
+
+_TERMS = """regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+LEXICAL_SQL = f"""
+WITH numbered AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+spread AS (SELECT row, doc_id, unnest({_TERMS}) AS term FROM numbered),
+lengths AS (SELECT row, count(*) AS n FROM spread GROUP BY row),
+whole AS (SELECT count(*) AS documents, sum(n)::BIGINT AS terms FROM lengths),
+counts AS (SELECT row, doc_id, term, count(*) AS tf FROM spread GROUP BY row, doc_id, term),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * documents + 2) / (2 * count(*) + 1)))::BIGINT AS w
+    FROM counts, whole GROUP BY term, documents),
+items AS (SELECT DISTINCT item_id, text FROM benchmark),
+wanted AS (SELECT DISTINCT item_id, text, term FROM (
+    SELECT item_id, text, unnest({_TERMS}) AS term FROM items)),
+scored AS (
+    SELECT item_id, wanted.text, row, doc_id,
+        sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * documents) // terms))))::BIGINT
+            AS score
+    FROM wanted JOIN counts USING (term) JOIN weights USING (term) JOIN lengths USING (row), whole
+    GROUP BY item_id, wanted.text, row, doc_id),
+ranked AS (
+    SELECT item_id, doc_id, score, row_number() OVER (
+        PARTITION BY item_id, text ORDER BY score DESC, doc_id)::INTEGER AS rank
+    FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
 QUERIES: dict[str, Query] = {
     run.__name__: run
     for run in (
@@ -117,9 +178,12 @@ QUERIES: dict[str, Query] = {
         op8_mixing,
         op9_packing,
         op10_token_codes,
+        op11_alignment,
+        op12_kd_shards,
+        op13_lexical,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op13_lexical": LEXICAL_SQL}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -30,17 +30,19 @@ class Encoder:
     are encoded once, and the ids are put together by position. ``keeps_space`` tells that the
     vocabulary joins a blank to the word behind it: then a piece carries its blank, and a text
     in which white space meets white space, or starts or ends it, is encoded whole, because
-    there a cut could change the ids.
+    there a cut could change the ids. With ``leading`` every text stands behind one more blank.
     """
 
-    def __init__(self, path: str, keeps_space: bool) -> None:
+    leading = False
+
+    def __init__(self, path: str, keeps_space: bool, leading: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.keeps_space = keeps_space
+        self.keeps_space, self.leading = keeps_space, leading
         self.marks = {x: self._tokenized(x) for x in _MARKS}
         self.words = pa.array([], pa.large_string())
         self.ids = pa.array([], pa.large_binary())
@@ -129,7 +131,7 @@ class Encoder:
         if self.keeps_space:
             feed = pc.index(words, "\n").as_py()
             bare = np.zeros(len(keys), dtype=bool)
-            bare[first[:-1][np.diff(first) > 0]] = True
+            bare[first[:-1][np.diff(first) > 0]] = not self.leading
             bare[1:] |= keys[:-1] == feed
             bare |= keys == feed
             keys = 2 * keys + bare
@@ -141,13 +143,26 @@ class Encoder:
             blank = pa.scalar(" ", words.type)
             spaced = pc.binary_join_element_wise(blank, words, pa.scalar("", words.type))
             words = pc.if_else(pa.array((used & 1).astype(bool)), words, spaced)
-        # A text that is encoded whole has one empty piece, whose place its ids take.
         rest = np.flatnonzero(whole)
-        alone = self.tokenizer.encode_batch_fast(
-            texts.take(pa.array(rest)).to_pylist(), add_special_tokens=False
-        )
-        alone = pa.array([array("I", e.ids).tobytes() for e in alone], pa.large_binary())
-        known = pa.concat_arrays([self._look_up(words), alone])
+        return self._gathered(words, keys, first, rest, texts.take(pa.array(rest)).to_pylist())
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that are not cut, 32 bits each."""
+        if self.leading:
+            texts = [" " + text for text in texts]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _gathered(
+        self, words: pa.Array, keys: np.ndarray, first: np.ndarray, rest: np.ndarray, alone: list[str]
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has, from the words that ``keys`` name.
+
+        The texts numbered ``rest`` are encoded whole; such a text has one empty piece, whose
+        place its ids take.
+        """
+        whole = pa.array(self._whole(alone), pa.large_binary())
+        known = pa.concat_arrays([self._look_up(words), whole])
         keys = np.array(keys)
         keys[first[:-1][rest]] = len(words) + np.arange(len(rest))
         taken = known.take(pa.array(keys))
@@ -160,9 +175,82 @@ class Encoder:
 _RUNS = r"[\s\pZ\x0b\x1c-\x1f\x{85}]{2}|^[\s\pZ\x0b\x1c-\x1f\x{85}]|[\s\pZ\x0b\x1c-\x1f\x{85}]$"
 
 
-def encoder(path: str, keeps_space: bool) -> Encoder:
+class PieceEncoder(Encoder):
+    """Encodes columns of texts as ``sentencepiece`` does, which puts a blank before each text.
+
+    No piece of the vocabulary has a blank behind another character (this is checked), so a text
+    may be cut before its blanks. A text in which blanks meet, or stand at an end, is encoded
+    whole.
+    """
+
+    leading = True
+
+    def __init__(self, path: str) -> None:
+        from sentencepiece import SentencePieceProcessor
+
+        self.pieces = SentencePieceProcessor(model_file=path)
+        names = (self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size()))
+        if any(_BLANK in name.lstrip(_BLANK) for name in names):
+            raise ValueError("Pieces of this vocabulary go on behind a blank.")
+        self.words = pa.array([], pa.large_string())
+        self.ids = pa.array([], pa.large_binary())
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x).tobytes() for x in self.pieces.encode(texts, num_threads=1)]
+
+    _new = _whole
+
+    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        odd = pc.match_substring_regex(texts, f"^ | $|  |{_BLANK}").to_numpy(zero_copy_only=False)
+        rest = np.flatnonzero(odd.astype(bool))
+        lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
+        pieces = lists.flatten().dictionary_encode()
+        first = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
+        alone = texts.take(pa.array(rest)).to_pylist()
+        return self._gathered(pieces.dictionary, pieces.indices.to_numpy(), first, rest, alone)
+
+
+#: Stands for a blank in the pieces of ``sentencepiece``.
+_BLANK = "\u2581"
+
+
+def piece_encoder(path: str) -> PieceEncoder:
+    """The task's encoder for a ``sentencepiece`` file; later tasks of the worker reuse it."""
+    if (path,) not in _OPEN:
+        _OPEN[(path,)] = PieceEncoder(path)
+    return _OPEN[(path,)]
+
+
+def encoder(path: str, keeps_space: bool, leading: bool = False) -> Encoder:
     """The task's encoder for a tokenizer file; later tasks of the same worker reuse it."""
-    key = (path, keeps_space)
+    key = (path, keeps_space, leading)
     if key not in _OPEN:
-        _OPEN[key] = Encoder(path, keeps_space)
+        _OPEN[key] = Encoder(*key)
     return _OPEN[key]
+
+
+def byte_level_bytes(path: str) -> list[bytes]:
+    """The bytes of every id of a byte-level vocabulary; special tokens stand for their strings."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    byte_of = {sign: b for b, sign in _SIGNS.items()}
+    out = []
+    for i in range(tokenizer.get_vocab_size()):
+        name = tokenizer.id_to_token(i) or ""
+        plain = all(sign in byte_of for sign in name)
+        out.append(bytes(byte_of[sign] for sign in name) if plain else name.encode())
+    return out
+
+
+def piece_bytes(path: str) -> list[bytes]:
+    """The bytes of every id of a ``sentencepiece`` vocabulary, blanks as blanks."""
+    from sentencepiece import SentencePieceProcessor
+
+    pieces = SentencePieceProcessor(model_file=path)
+    return [
+        bytes([int(pieces.id_to_piece(i)[3:5], 16)])
+        if pieces.is_byte(i)
+        else pieces.id_to_piece(i).replace(_BLANK, " ").encode()
+        for i in range(pieces.get_piece_size())
+    ]
