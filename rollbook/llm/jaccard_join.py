@@ -34,6 +34,8 @@ COUNT_CELLS = 1 << 18
 BROADCAST_IDS = 2_000_000
 #: n-grams up to which those that documents share are sent to every task (32 MB), else shuffled.
 BROADCAST_GRAMS = 2_000_000
+#: Groups to which the pairs of one document are dealt when their sets are compared.
+PIVOT_GROUPS = 64
 #: The suffix filter cuts the hashes into 64 ranges, and into four times as many while a range
 #: would hold this many n-grams of a set, so that it tells long sets apart as well as short ones.
 FULL_RANGE = 16
@@ -128,7 +130,7 @@ def _suffixes_allow(pairs: DataFrame, prefixes: DataFrame, percent: int) -> Data
 def _verified(
     docs: DataFrame, pairs: DataFrame, prefixes: DataFrame, size: int, percent: int
 ) -> DataFrame:
-    """Those of the distinct ``pairs`` (a, b) whose whole sets are alike; each read once."""
+    """Those of the distinct ``pairs`` (a, b) whose whole sets are alike."""
     pairs = written(_suffixes_allow(pairs.distinct(), prefixes, percent), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     if pairs.count() <= BROADCAST_IDS // 2:
@@ -145,20 +147,28 @@ def _verified(
     chosen = written(chosen, "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows without b bring the sets of a; those behind them are compared with these."""
+        of, sets = None, []
         for batch in batches:
-            left, right = batch.column("left"), batch.column("right")
-            keep = [
-                alike(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent)
-                for x, y in zip(left, right, strict=True)
-            ]
+            columns = [batch.column(x).to_pylist() for x in ("a", "salt", "b")]
+            keep = []
+            for a, salt, b, data in zip(*columns, batch.column("grams"), strict=True):
+                grams = np.frombuffer(data.as_buffer(), "<u8")
+                if of != (a, salt):
+                    of, sets = (a, salt), []
+                if b is None:
+                    sets.append(grams.copy())
+                keep.append(b is not None and any(alike(x, grams, percent) for x in sets))
             links = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"])
             yield links.filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(chosen.select(F.col("id").alias("b"), F.col("grams").alias("right")), "b")
-    both = both.join(chosen.select(F.col("id").alias("a"), F.col("grams").alias("left")), "a")
-    return written(
-        both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long"), "verified"
-    )
+    # A pivot's pairs are dealt to groups, each of which gets the pivot's set once.
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(PIVOT_GROUPS)).cast("int"))
+    left = salted.select("a", "salt", F.lit(None).cast("long").alias("b"), F.col("a").alias("id"))
+    both = left.distinct().unionByName(salted.withColumn("id", F.col("b"))).join(chosen, "id")
+    both = both.select("a", "salt", "b", "grams").repartition("a", "salt")
+    both = both.sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    return written(both.mapInArrow(compare, "a long, b long"), "verified")
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -284,7 +294,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     links = links.union(_verified(docs, rest, prefixes, size, percent))
 
     # Two sets of one doc_id are one document.
-    same = rows.where("digest is not null").join(classes, "digest")
+    same = rows.where("digest is not null and doc_id is not null").join(classes, "digest")
     linked = components(links.union(_own(same)))
     named = classes.join(linked, classes["class_id"] == linked["id"], "left").select(
         "digest", "class_id", F.coalesce("component", "class_id").alias("component_id")

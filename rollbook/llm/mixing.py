@@ -247,13 +247,15 @@ def mix(
     shard_blocks: int = SHARD_BLOCKS,
     repeats: int = MOST_REPEATS,
     seed: int = 8,
+    key: Column | None = None,
 ) -> Mix:
     """Draw a mixture of all documents; sources by code point, null last, weigh ``weights`` in turn.
 
     ``docs`` needs ``doc_id``, ``text`` and ``source``; other columns are not read. A null, empty
     or blank text has size 0 and is never taken. Null sources are one source. Rows with the same
     doc_id are documents of their own, ordered by size and text; rows without doc_id come first.
-    Without words nothing is taken, and every target is 0. An empty table gives no rows.
+    Without words nothing is taken, and every target is 0. An empty table gives no rows. ``key``
+    is a hash that tells rows of one doc_id apart, by default that of the text.
 
     The driver plans one row for each source. Documents are numbered in ranges of doc_id, so a
     source of any share of the rows is counted through by many tasks.
@@ -262,7 +264,7 @@ def mix(
         "doc_id",
         "source",
         word_count(F.col("text")).alias("size"),
-        F.xxhash64("text").alias("text_hash"),
+        (F.xxhash64("text") if key is None else key).alias("text_hash"),
     )
     sized = written(sized, "sizes")
     totals = sized.groupBy("source").agg(F.sum("size"), F.count(F.lit(1))).limit(MOST_SOURCES + 1)
@@ -312,7 +314,8 @@ def mix(
             for shard in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_pydict(shards.fill(shard, block_words))
 
-    slots = spark.range(shards.count).mapInArrow(deal, SLOTS)
+    # Written, so that their size is known when they are joined.
+    slots = written(spark.range(shards.count).mapInArrow(deal, SLOTS), "slots")
     return Mix(rows, slots, plans, block_words)
 
 
@@ -335,14 +338,16 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix as documents: each document once for each pass that takes words of it.
 
     The text has the words taken, with the white space behind them; ``n_chars`` is counted anew
-    if ``docs`` has it, and all other columns are kept. Documents of which nothing is taken go.
+    if ``docs`` has it, and all other columns are kept as their row has them. Documents of which
+    nothing is taken go. Rows that are equal in all columns are documents of their own.
     """
-    mixed = mix(docs, **settings)
+    key = F.xxhash64(*(F.col(f"`{name}`") for name in docs.columns))
+    mixed = mix(docs, key=key, **settings)
     slots = mixed.slots.select("source_id", "block", "pass", "words")
     hits = mixed.spans().join(slots, ["source_id", "block"])
     hits = hits.withColumn("end", F.least("end", "words").cast("long")).where("end > begin")
     offset = F.col("base") - F.col("start")
-    parts = hits.groupBy("doc_id", "text_hash", "start", "pass").agg(
+    parts = hits.groupBy("doc_id", "source_id", "text_hash", "start", "pass").agg(
         F.sort_array(
             F.collect_list(
                 F.struct(
@@ -353,16 +358,21 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
         ).alias("parts")
     )
     parts = parts.select(F.col("doc_id").alias("part_id"), "text_hash", "parts")
-    texts = docs.withColumn("own_hash", F.xxhash64("text"))
-    texts = texts.dropDuplicates(["doc_id", "own_hash"])
-    both = texts.join(parts, F.expr("own_hash = text_hash and doc_id <=> part_id"))
+    # The columns of a document stay in one, so that their names cannot clash.
+    texts = docs.select(
+        F.col("doc_id").alias("own_id"), key.alias("own_hash"), F.struct("*").alias("doc")
+    )
+    texts = texts.groupBy("own_id", "own_hash").agg(F.first("doc").alias("doc"))
+    both = texts.join(parts, F.expr("own_hash = text_hash and own_id <=> part_id"))
     words = both.withColumn(
-        "words", F.regexp_extract_all("text", F.lit(f"{WORD}[{SPACES}]*"), F.lit(0))
+        "words", F.regexp_extract_all("doc.text", F.lit(f"{WORD}[{SPACES}]*"), F.lit(0))
     )
     chosen = F.transform(
         "parts", lambda x: F.array_join(F.slice("words", x["begin"] + 1, x["count"]), "")
     )
-    out = words.withColumn("text", F.array_join(chosen, ""))
+    out = words.withColumn("new_text", F.array_join(chosen, ""))
+    changed = {"text": F.col("new_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.length("new_text").cast(docs.schema["n_chars"].dataType)
+    kept = (changed.get(name, F.col(f"doc.`{name}`")).alias(name) for name in docs.columns)
+    return out.select(*kept)

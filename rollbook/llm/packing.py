@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -152,26 +151,25 @@ def pack(
             close(window, part // merge)
         yield flush()
 
-    def lay(group: pd.DataFrame) -> pd.DataFrame:
+    def lay(group: pa.Table) -> pa.Table:
         """Lay the pieces of one group's leftovers end to end."""
-        group = group.sort_values(["sequence_id", "offset"])
-        base, at, out = MERGED + int(group["merge_group"].iloc[0]) * STRIDE, 0, []
-        for row in group.itertuples(index=False):
-            ids, done = np.frombuffer(row.ids, "<u4"), 0
+        group = group.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
+        base, at, out = MERGED + group.column("merge_group")[0].as_py() * STRIDE, 0, []
+        for row in group.to_pylist():
+            ids, done = np.frombuffer(row["ids"], "<u4"), 0
             while done < len(ids):
                 take = min(len(ids) - done, length - at % length)
                 piece = ids[done : done + take].tobytes()
                 out.append(
-                    (row.doc_id, row.start + done, take, row.doc_tokens)
+                    (row["doc_id"], row["start"] + done, take, row["doc_tokens"])
                     + (base + at // length, at % length, piece, None)
                 )
                 done += take
                 at += take
-        out = pd.DataFrame(out, columns=columns)
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        return out
+        values = zip(*out, strict=True)
+        return pa.table([pa.array(v, t) for v, t in zip(values, types, strict=True)], columns)
 
     placed = written(docs.select("doc_id", "text").mapInArrow(place, PIECES), "packed")
     final = placed.where(F.col("merge_group").isNull())
     merged = placed.where(F.col("merge_group").isNotNull()).groupBy("merge_group")
-    return final.unionByName(merged.applyInPandas(lay, PIECES)).drop("merge_group")
+    return final.unionByName(merged.applyInArrow(lay, PIECES)).drop("merge_group")

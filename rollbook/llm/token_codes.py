@@ -7,8 +7,8 @@ bits before it, which a directory of running counts gives by one look and a coun
 ``BLOCK`` bits. So any id is read without decoding the ids before it.
 
 Segment format (little-endian): the four bytes ``DAC1``; the numbers of documents, ids and
-levels (u32 each); the width of each level (u32); doc ids (i64 each); end of each document (u32
-each); then for each level the number of its entries (u32), its chunks and its bits, packed and
+levels (u32 each); the width of each level (u32); doc ids (i64 each; null: 0) and a bit for each
+that tells whether it is null; end of each document (u32 each); then for each level the number of its entries (u32), its chunks and its bits, packed and
 filled up to whole bytes, and its directory (u32 each). The last level has no bits.
 """
 
@@ -53,15 +53,24 @@ def unpack_bits(data: np.ndarray, width: int, first: int, count: int) -> np.ndar
 
 
 def encode_segment(
-    doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray, widths: tuple[int, ...] = WIDTHS
+    doc_ids: np.ndarray,
+    ends: np.ndarray,
+    ids: np.ndarray,
+    widths: tuple[int, ...] = WIDTHS,
+    no_doc_id: np.ndarray | None = None,
 ) -> bytes:
-    """A segment of the documents whose ids end at ``ends``; ids must fit the widths' sum."""
+    """A segment of the documents whose ids end at ``ends``; ids must fit the widths' sum.
+
+    ``no_doc_id`` tells which documents have no doc_id; by default all have one.
+    """
+    none = np.zeros(len(doc_ids), bool) if no_doc_id is None else no_doc_id
     if len(ids) and int(ids.max()) >> sum(widths):
         raise ValueError("An id has more bits than the chunk widths hold.")
     parts = [
         MAGIC,
         np.array([len(doc_ids), len(ids), len(widths), *widths], "<u4").tobytes(),
-        np.asarray(doc_ids, "<i8").tobytes(),
+        np.where(none, 0, np.asarray(doc_ids, "<i8")).astype("<i8").tobytes(),
+        np.packbits(none).tobytes(),
         np.asarray(ends, "<u4").tobytes(),
     ]
     rest = ids.astype(np.uint32)
@@ -90,6 +99,7 @@ class Segment:
         docs, self.size, levels = self._numbers("<u4", 3).tolist()
         self.widths = self._numbers("<u4", levels).tolist()
         self.doc_ids = self._numbers("<i8", docs)
+        self.no_doc_id = np.unpackbits(self._numbers("u1", -(-docs // 8)))[:docs].astype(bool)
         self.ends = self._numbers("<u4", docs).astype(np.int64)
         self.levels = []
         for level, width in enumerate(self.widths):
@@ -178,10 +188,8 @@ def write_tokens(
         bucket, segment, first, held, size = None, 0, 0, [], 0
 
         def flush() -> pa.RecordBatch:
-            keys = np.concatenate([k for k, _, _ in held])
-            lengths = np.concatenate([n for _, n, _ in held])
-            ids = np.concatenate([x for _, _, x in held])
-            payload = encode_segment(keys, np.cumsum(lengths), ids, widths)
+            keys, none, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            payload = encode_segment(keys, np.cumsum(lengths), ids, widths, none)
             row = {
                 "bucket": pa.array([bucket], pa.int32()),
                 "segment": pa.array([segment], pa.int32()),
@@ -199,7 +207,8 @@ def write_tokens(
                 if bucket not in (None, x):
                     raise RuntimeError("A task got rows of two ranges.")
                 bucket = x
-            keys = batch.column("doc_id").fill_null(_NO_ID).to_numpy()
+            keys = batch.column("doc_id").fill_null(0).to_numpy()
+            none = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             flat, offsets = coder.encode(batch.column("text"))
             lengths = np.diff(offsets) + 1
             flat = np.insert(flat, offsets[1:], end_id)
@@ -208,7 +217,7 @@ def write_tokens(
                 before = int(ends[at - 1]) if at else 0
                 to = int(np.searchsorted(ends, before + segment_ids - size, "left")) + 1
                 to = min(to, len(keys))
-                held.append((keys[at:to], lengths[at:to], flat[before : ends[to - 1]]))
+                held.append((keys[at:to], none[at:to], lengths[at:to], flat[before : ends[to - 1]]))
                 size += int(ends[to - 1]) - before
                 at = to
                 if size >= segment_ids:
@@ -222,14 +231,10 @@ def write_tokens(
     return written(ordered.mapInArrow(encode, SEGMENTS), "token-codes")
 
 
-#: Stands for a null doc_id in a segment.
-_NO_ID = np.iinfo(np.int64).min
-
-
 def read_documents(segments: DataFrame) -> DataFrame:
     """doc_id, start (ids before the document), n_tokens and ids (u32, little-endian), by reading.
 
-    The ids before a segment are those of earlier buckets, summed on the driver (one number for
+    Each document is read by its position through the levels' directories. The ids before a segment are those of earlier buckets, summed on the driver (one number for
     each range), and those that its row counts.
     """
     sizes = segments.groupBy("bucket").agg(F.sum("n_tokens")).collect()
@@ -243,12 +248,13 @@ def read_documents(segments: DataFrame) -> DataFrame:
             for bucket, first, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 segment = Segment(payload)
                 begins = np.concatenate(([0], segment.ends))[:-1]
-                read = segment.slice(0, segment.size).astype("<u4")
+                each = [segment.document(i) for i in range(len(begins))]
+                read = np.concatenate([np.zeros(0, np.uint32), *each]).astype("<u4")
                 edges = np.append(begins, segment.size).astype(np.int32) * np.int32(4)
                 ids = pa.BinaryArray.from_buffers(
                     pa.binary(), len(begins), [None, pa.py_buffer(edges), pa.py_buffer(read)]
                 )
-                keys = pa.array(segment.doc_ids, mask=segment.doc_ids == _NO_ID)
+                keys = pa.array(segment.doc_ids, mask=segment.no_doc_id)
                 yield pa.RecordBatch.from_arrays(
                     [
                         keys,
