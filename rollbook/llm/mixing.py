@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollbook.llm.tables import SPACES, WORD, range_bounds, range_of, written
+from rollbook.llm.tables import SPACES, WORD, written
 
 BLOCK_WORDS = 128
 SHARD_BLOCKS = 4096
@@ -29,8 +29,8 @@ SHARD_BLOCKS = 4096
 MOST_REPEATS = 3
 #: Sources the driver plans for.
 MOST_SOURCES = 100_000
-#: Documents whose words one task counts through.
-SLICE_ROWS = 50_000
+#: Documents of all sources in one slice, in which the words of each source are counted through.
+SLICE_ROWS = 5_000
 #: Draws are exact below so many slots; longer blocks make fewer.
 MOST_SLOTS = 1_000_000_000
 
@@ -253,11 +253,12 @@ def mix(
 
     ``docs`` needs ``doc_id``, ``text`` and ``source``; other columns are not read. A null, empty
     or blank text has size 0 and is never taken. Null sources are one source. Rows with the same
-    doc_id are documents of their own, ordered by size and text; rows without doc_id come first.
+    doc_id are documents of their own. A source's documents follow each other by a hash, so that
+    reruns agree whatever the partitions are.
     Without words nothing is taken, and every target is 0. An empty table gives no rows. ``key``
     is a hash that tells rows of one doc_id apart, by default that of the text.
 
-    The driver plans one row for each source. Documents are numbered in ranges of doc_id, so a
+    The driver plans one row for each source. Documents are dealt to slices by a hash, so a
     source of any share of the rows is counted through by many tasks.
     """
     sized = docs.select(
@@ -285,13 +286,14 @@ def mix(
     spark = docs.sparkSession
     ids = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "source string, source_id int")
     slices = max(1, -(-sum(x[2] for x in totals) // SLICE_ROWS))
-    bounds = range_bounds(sized, "doc_id", slices)
+    # Equal rows are counted first, so that many of them do not meet in one slice.
+    equal = sized.groupBy("doc_id", "source", "size", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     rows = (
-        sized.withColumn("slice", range_of(F.col("doc_id"), bounds))
+        equal.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(slices)))
         .join(F.broadcast(ids).withColumnRenamed("source", "name"), F.expr("source <=> name"))
-        .select("doc_id", "text_hash", "size", "source_id", "slice")
+        .withColumn("words", F.col("size") * F.col("n"))
     )
-    before = rows.groupBy("source_id", "slice").agg(F.sum("size").alias("words"))
+    before = rows.groupBy("source_id", "slice").agg(F.sum("words").alias("words"))
     earlier = Window.partitionBy("source_id").orderBy("slice").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -300,14 +302,13 @@ def mix(
     )
     inner = Window.partitionBy("source_id", "slice").orderBy("doc_id", "size", "text_hash")
     inner = inner.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    rows = rows.join(before, ["source_id", "slice"]).select(
-        "doc_id",
-        "text_hash",
-        "size",
-        "source_id",
-        (F.col("before") + F.col("inner")).alias("start"),
+    rows = rows.withColumn("inner", F.coalesce(F.sum("words").over(inner), F.lit(0)))
+    rows = rows.join(before, ["source_id", "slice"]).withColumn(
+        "copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
     )
+    start = F.col("before") + F.col("inner") + F.col("copy") * F.col("size")
+    rows = rows.select("doc_id", "text_hash", "size", "source_id", start.alias("start"))
+    rows = written(rows, "placed")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
