@@ -16,6 +16,7 @@ from checks.fixtures import (
 from checks.registry import on_broken, on_clean, query
 from rollbook.functions import labels, text
 from rollbook.operators import clean, validate
+from rollbook.plans.snapshots import load_version
 from rollbook.sources import delimited, files
 from rollbook.staging import shared_folder
 
@@ -297,13 +298,13 @@ def clean_registration_rows(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "rename_columns",
     on_clean(
-        'SELECT "Make" AS make, "Model Year" AS model_year, count(*) AS count '
-        "FROM registration GROUP BY ALL"
+        "SELECT "
+        + ", ".join(f'"{old}" AS {new}' for old, new in CONTRACT.renames.items())
+        + " FROM registration"
     ),
 )
 def rename_columns(spark: SparkSession, folder: str) -> DataFrame:
-    renamed = clean.rename(registration(spark, folder), CONTRACT)
-    return renamed.groupBy("make", "model_year").count()
+    return clean.rename(registration(spark, folder), CONTRACT)
 
 
 @query(
@@ -329,8 +330,8 @@ def _scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/rollbook-{uuid.uuid4().hex}"
 
 
-def _write_csv(df: DataFrame, path: str) -> str:
-    writer = df.write.option("header", True).option("escape", "\"")
+def _write_csv(df: DataFrame, path: str, mode: str = "error") -> str:
+    writer = df.write.mode(mode).option("header", True).option("escape", "\"")
     writer = writer.option("ignoreLeadingWhiteSpace", False)
     writer.option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
@@ -352,8 +353,9 @@ def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "csv_documents",
-    """SELECT source, lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars
-    FROM documents GROUP BY ALL""",
+    """SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(nullif(text, '')) AS text_md5,
+    nullif(lang, '') AS lang, nullif(source, '') AS source, CAST(n_chars AS VARCHAR) AS n_chars
+    FROM documents""",
 )
 def csv_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Whole texts with quotes, commas and line breaks through a multi-line file."""
@@ -363,27 +365,50 @@ def csv_documents(spark: SparkSession, folder: str) -> DataFrame:
     contract = Contract(renames={name: name for name in names}, rules=())
     path = _write_csv(table(spark, folder, "documents").select(*names), _scratch(spark))
     read = delimited.read_raw(spark, path, contract, multi_line=True)
-    return read.groupBy("source", "lang").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")
-    )
+    return read.select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
 
 
-@query(
-    "load_clean",
-    on_clean(
-        "SELECT make, model_year, count(*) AS count, count(electric_range_miles) AS known "
-        "FROM clean GROUP BY ALL"
-    ),
-)
+@query("load_clean", on_clean("SELECT * FROM clean"))
 def load_clean(spark: SparkSession, folder: str) -> DataFrame:
     """Text files through header check, gate and cleaning."""
     from rollbook.plans.load import load_clean as load
 
     path = _write_csv(registration(spark, folder), _scratch(spark))
     cleaned, _ = load(spark, path, CONTRACT)
-    return cleaned.groupBy("make", "model_year").agg(
-        F.count(F.lit(1)).alias("count"), F.count("electric_range_miles").alias("known")
-    )
+    return cleaned
+
+
+@query("snapshot_reload", on_clean("SELECT * FROM clean"))
+def snapshot_reload(spark: SparkSession, folder: str) -> DataFrame:
+    """A store that first held other rows for half of the keys, after that source was replaced."""
+    base, store = _scratch(spark), _scratch(spark)
+    rows = registration(spark, folder)
+    odd = F.pmod(F.xxhash64("`DOL Vehicle ID`"), F.lit(2)) == 1
+    _write_csv(rows.where(~odd), f"{base}/even")
+    other = rows.where(odd).withColumn("Make", F.lit("OTHER"))
+    _write_csv(other, f"{base}/odd")
+    load_version(spark, f"{base}/*", CONTRACT, store)
+    _write_csv(rows.where(odd), f"{base}/odd", "overwrite")
+    return load_version(spark, f"{base}/*", CONTRACT, store).full
+
+
+@query(
+    "snapshot_counts",
+    on_clean(
+        """SELECT seq, severity, code, "column", message, n_rows FROM issues""",
+        _issues_sql("registration"),
+    ),
+)
+def snapshot_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The gate's report, added up from the counts that a store keeps for each source file."""
+    base, store = _scratch(spark), _scratch(spark)
+    rows = registration(spark, folder)
+    part = F.pmod(F.xxhash64("`DOL Vehicle ID`"), F.lit(3))
+    for i in range(3):
+        _write_csv(rows.where(part == i), f"{base}/{i}")
+        report = load_version(spark, f"{base}/*", CONTRACT, store).report
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in validate.ISSUE.items())
+    return spark.createDataFrame([tuple(issue) for issue in report.issues], schema)
 
 
 @query(
@@ -417,14 +442,55 @@ def source_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return files.fingerprints(spark, f"{folder}/*.parquet")
 
 
-@query("source_changes")
+@query(
+    "source_changes",
+    """SELECT DISTINCT o_orderpriority AS part, CASE o_orderpriority WHEN '1-URGENT' THEN 'new'
+    ELSE 'changed' END AS change FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')
+    UNION ALL SELECT DISTINCT o_orderpriority || '-OLD', 'removed' FROM orders""",
+)
 def source_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """Against a manifest that lacks one file and holds another at a different size."""
-    now = files.manifest(spark, f"{folder}/*.parquet")
-    saved = now.filter(~F.col("path").endswith("/part.parquet")).withColumn(
-        "length", F.col("length") + F.col("path").endswith("/orders.parquet").cast("bigint")
+    """One file for each priority, against a manifest with other sizes, files missing and more."""
+    orders, path = table(spark, folder, "orders"), _scratch(spark)
+    orders.repartition("o_orderpriority").write.partitionBy("o_orderpriority").csv(path)
+    now = files.manifest(spark, f"{path}/*/*.csv")
+    part = F.regexp_extract("path", "o_orderpriority=([^/]+)", 1)
+    older = now.withColumn("path", F.concat(F.replace("path", part, F.concat(part, F.lit("-OLD")))))
+    saved = now.where(part != "1-URGENT").withColumn(
+        "length", F.col("length") + (part == "5-LOW").cast("bigint")
     )
-    return files.changes(now, saved)
+    found = files.changes(now, saved.unionByName(older))
+    return found.select(part.alias("part"), "change")
+
+
+_LINES = "doc_id || ':' || coalesce(lang, '-') || ':' || length(text)"
+_TREE_LEVELS = 8
+
+
+def _tree_sql(level: int) -> str:
+    """A level of the hash tree with 16 nodes below each; a single node stays as it is."""
+    return f"""tree{level} AS (SELECT n // 16 AS n, CASE WHEN (SELECT count(*) FROM tree{level - 1}) > 1
+    THEN sha256(string_agg(d, '' ORDER BY n)) ELSE min(d) END AS d FROM tree{level - 1} GROUP BY n // 16)"""
+
+
+@query(
+    "text_fingerprints",
+    f"""WITH lines AS (SELECT {_LINES} AS line, row_number() OVER (ORDER BY doc_id) - 1 AS n
+    FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+    tree0 AS (SELECT n, sha256(line) AS d FROM lines),
+    {", ".join(_tree_sql(level) for level in range(1, _TREE_LEVELS))}
+    SELECT (SELECT CAST(sum(octet_length(CAST(line AS BLOB)) + 1) AS BIGINT) FROM lines) AS length,
+    (SELECT sha256(string_agg(line || chr(10), '' ORDER BY n)) FROM lines) AS sha256,
+    (SELECT count(*) FROM lines) AS lines, d AS tree FROM tree{_TREE_LEVELS - 1}""",
+)
+def text_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Plain digest and ordered hash tree of a file with a line for each document."""
+    docs = table(spark, folder, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    parts = ("doc_id", F.lit(":"), F.coalesce("lang", F.lit("-")), F.lit(":"), F.length("text"))
+    lines = docs.select("doc_id", F.concat(*parts).alias("line")).coalesce(1)
+    path = _scratch(spark)
+    lines.sortWithinPartitions("doc_id").select("line").write.text(path)
+    trees = files.tree_fingerprints(spark, path, fan_out=16)
+    return files.fingerprints(spark, path).join(trees, "path").drop("path")
 
 
 _SIZED = (
@@ -488,15 +554,16 @@ def title_case(spark: SparkSession, folder: str) -> DataFrame:
     format('{:,}', CAST(dol_vehicle_id AS BIGINT)) AS thousands,
     CASE WHEN electric_range_miles IS NULL THEN '—'
         ELSE format('{:,}', electric_range_miles * 11) || ' mi' END AS miles,
-    format('{:,.1f}', electric_range_raw / 3.2 * 100) || '%' AS percent,
+    CASE WHEN electric_range_raw IS NULL THEN '—'
+        ELSE format('{:,.1f}', electric_range_raw / 3.2 * 100) || '%' END AS percent,
     CASE WHEN CAST(dol_vehicle_id AS BIGINT) % 2 = 0
         THEN CAST(CAST(dol_vehicle_id AS BIGINT) // 2 AS VARCHAR)
         ELSE format('{:.1f}', CAST(dol_vehicle_id AS BIGINT) / 2) END AS half
-    FROM clean WHERE electric_range_raw IS NOT NULL"""
+    FROM clean"""
     ),
 )
 def display_labels(spark: SparkSession, folder: str) -> DataFrame:
-    rows = clean_registration(spark, folder).filter(F.col("electric_range_raw").isNotNull())
+    rows = clean_registration(spark, folder)
     key = F.col("dol_vehicle_id").cast("bigint")
     return rows.select(
         "dol_vehicle_id",

@@ -29,11 +29,14 @@ def derived(name: str, what: str) -> Column:
     return source(f"{name} as {what}")
 
 
-def prepare(df: DataFrame, contract: Contract) -> DataFrame:
-    """Strip every column once, blank becoming null, and parse numbers and points once."""
+def prepare(df: DataFrame, contract: Contract, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Strip every column once, blank becoming null, and parse numbers and points once.
+
+    Columns to ``keep`` stay as they are.
+    """
     numbers = {r.column for r in contract.rules if isinstance(r, WholeNumber | NumberWithin)}
     points = {r.column for r in contract.rules if isinstance(r, PointWithin)}
-    stripped = df.select(*(present(source(name)).alias(name) for name in contract.columns))
+    stripped = df.select(*(present(source(name)).alias(name) for name in contract.columns), *keep)
     return stripped.withColumns(
         {f"{name} as number": number(source(name)) for name in sorted(numbers)}
         | {f"{name} as longitude": longitude(source(name)) for name in sorted(points)}

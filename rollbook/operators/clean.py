@@ -12,9 +12,9 @@ from rollbook.functions.text import matches, tidy
 from rollbook.operators.validate import gate
 
 
-def rename(df: DataFrame, contract: Contract) -> DataFrame:
-    """Give every source column its clean name, in published order."""
-    return df.select(*(source(old).alias(new) for old, new in contract.renames.items()))
+def rename(df: DataFrame, contract: Contract, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Give every source column its clean name, in published order; ``keep`` follows as it is."""
+    return df.select(*(source(old).alias(new) for old, new in contract.renames.items()), *keep)
 
 
 def _labels(c: Column, labels: dict[str, str]) -> Column:
@@ -38,15 +38,18 @@ def _base(name: str, contract: Contract) -> Column:
     return text
 
 
-def clean(df: DataFrame, contract: Contract, validate: bool = True) -> DataFrame:
+def clean(
+    df: DataFrame, contract: Contract, validate: bool = True, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """The clean table: source columns under new names and types, then the derived columns.
 
-    Pass ``validate=False`` for a source that has just gone through the gate.
+    Pass ``validate=False`` for a source that has just gone through the gate. Columns to
+    ``keep`` stay as they are, between the two.
     """
     if validate:
         gate(df, contract)
-    typed = rename(df, contract).select(
-        *(_base(name, contract).alias(name) for name in contract.renames.values())
+    typed = rename(df, contract, keep).select(
+        *(_base(name, contract).alias(name) for name in contract.renames.values()), *keep
     )
     derived = {
         name: F.nullif(F.col(column), F.lit(missing))

@@ -35,7 +35,7 @@ ISSUE = {
 PREVIEW = 5
 
 
-def _numbered(contract: Contract) -> list[tuple[int, Check | Unique]]:
+def numbered(contract: Contract) -> list[tuple[int, Check | Unique]]:
     """Rules expanded to single checks, numbered in reporting order from 1."""
     flat: list[Check | Unique] = []
     for rule in contract.rules:
@@ -49,7 +49,7 @@ def _counts(df: DataFrame, contract: Contract) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         *(
             F.count_if(check.failing).alias(f"n{seq}")
-            for seq, check in _numbered(contract)
+            for seq, check in numbered(contract)
             if isinstance(check, Check)
         ),
     )
@@ -106,8 +106,8 @@ def issue_counts(df: DataFrame, contract: Contract) -> DataFrame:
     if wrong:
         return df.sparkSession.range(1).select(*_literal(wrong[0]))
 
-    numbered = _numbered(contract)
-    checks = [(seq, check) for seq, check in numbered if isinstance(check, Check)]
+    rules = numbered(contract)
+    checks = [(seq, check) for seq, check in rules if isinstance(check, Check)]
     fixed = [(0, ERROR, "empty_dataset", None, NO_ROWS)]
     fixed += [(seq, c.severity, c.code, c.column, c.message) for seq, c in checks]
     # The fixed part of all rows is one literal, picked by position.
@@ -120,7 +120,7 @@ def issue_counts(df: DataFrame, contract: Contract) -> DataFrame:
     issues = _counts(df, contract).select(F.inline(F.filter(hit, lambda d: d["n_rows"] > 0)))
     issues = issues.withColumn("n_rows", F.when(F.col("seq") > 0, F.col("n_rows")))
 
-    for seq, rule in numbered:
+    for seq, rule in rules:
         if isinstance(rule, Unique):
             found = duplicated_values(df, number_key(source(rule.column))).filter("n_rows > 0")
             fixed = _literal((seq, ERROR, rule.code, rule.column, rule.message, None))
@@ -233,31 +233,41 @@ def validate(df: DataFrame, contract: Contract) -> Report:
     found = _wrong_columns(df, contract)
     if found:
         return Report(tuple(Issue(*row) for row in found))
-    numbered = _numbered(contract)
-    unique = {seq: rule.column for seq, rule in numbered if isinstance(rule, Unique)}
+    rules = numbered(contract)
+    unique = {seq: rule.column for seq, rule in rules if isinstance(rule, Unique)}
     keys = [duplicated_values(df, number_key(source(name))) for name in unique.values()]
     counts, *repeats = together(_counts(df, contract).first, *(key.first for key in keys))
-    if counts["n"] == 0:
+    found = {seq: counts[f"n{seq}"] for seq, rule in rules if isinstance(rule, Check)}
+    repeated = {seq: row[0] for seq, row in zip(unique, repeats, strict=True)}
+    report = report_of(contract, counts["n"], found, repeated)
+    if any(issue.code == "unexpected_category" for issue in report.issues):
+        shown = {row["column"]: row.preview for row in vocabulary_previews(df, contract).collect()}
+        report = report_of(contract, counts["n"], found, repeated, shown)
+    return report
+
+
+def report_of(
+    contract: Contract,
+    rows: int,
+    counts: dict[int, int],
+    repeats: dict[int, int],
+    previews: dict[str, str] | None = None,
+) -> Report:
+    """The report of bad rows for each check, and of repeated keys for each unique rule, by seq.
+
+    ``previews`` has the first values outside each column's vocabulary.
+    """
+    if rows == 0:
         return Report((Issue(0, ERROR, "empty_dataset", None, NO_ROWS, None),))
-    repeated = dict(zip(unique, repeats, strict=True))
     result = []
-    for seq, check in numbered:
-        if isinstance(check, Unique):
-            n = repeated[seq][0]
-            issue = Issue(seq, ERROR, check.code, check.column, check.message, n)
-        else:
-            n = counts[f"n{seq}"]
-            issue = Issue(seq, check.severity, check.code, check.column, check.message, n)
+    for seq, rule in numbered(contract):
+        unique = isinstance(rule, Unique)
+        severity, n = (ERROR, repeats.get(seq, 0)) if unique else (rule.severity, counts[seq])
+        message = rule.message
+        if rule.code == "unexpected_category" and rule.column in (previews or {}):
+            message = f"{message}: {previews[rule.column]}."
         if n:
-            result.append(issue)
-    if any(issue.code == "unexpected_category" for issue in result):
-        shown = {row["column"]: row.preview for row in vocabulary_previews(df, contract).collect()}
-        result = [
-            issue._replace(message=f"{issue.message}: {shown[issue.column]}.")
-            if issue.code == "unexpected_category"
-            else issue
-            for issue in result
-        ]
+            result.append(Issue(seq, severity, rule.code, rule.column, message, n))
     return Report(tuple(result))
 
 

@@ -10,8 +10,8 @@ from rollbook.contract import Contract
 from rollbook.operators.clean import clean
 from rollbook.operators.filters import FilterColumns, Selection, apply_filters
 from rollbook.operators.validate import Report, gate
+from rollbook.plans.snapshots import load_version
 from rollbook.sources.delimited import read_raw
-from rollbook.sources.files import fingerprints, manifest
 
 
 def load_validated(
@@ -57,14 +57,16 @@ class Snapshot:
 
 
 def load_snapshot(
-    spark: SparkSession, path: str, contract: Contract, clean_path: str, multi_line: bool = False
+    spark: SparkSession, path: str, contract: Contract, store: str, multi_line: bool = False
 ) -> Snapshot:
-    """Load a source and store the clean table, from which every page then reads its columns."""
-    cleaned, report = load_clean(spark, path, contract, multi_line)
-    cleaned.write.mode("overwrite").parquet(clean_path)
-    stored = spark.read.schema(cleaned.schema).parquet(clean_path)
-    files = manifest(spark, path, contract.provenance)
-    return Snapshot(stored, report, files.join(fingerprints(spark, path), ["path", "length"]))
+    """The clean table of a source, kept in ``store``, from which every page reads its columns.
+
+    The text of new and changed files is parsed once, in the pass that writes and checks their
+    rows; a second load of the same files opens none (:mod:`rollbook.plans.snapshots`).
+    """
+    version = load_version(spark, path, contract, store, multi_line)
+    files = version.files.drop("key", "load", "counts", "contract")
+    return Snapshot(version.full, version.report, files)
 
 
 @dataclass(frozen=True)

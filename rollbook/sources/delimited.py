@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollbook.contract import Contract
-from rollbook.sources.files import SourceError, header_issues
+from rollbook.sources.files import Paths, SourceError, header_issues
 from rollbook.staging import stage
 
 
@@ -15,7 +15,7 @@ def raw_schema(contract: Contract) -> T.StructType:
     return T.StructType([T.StructField(name, T.StringType()) for name in contract.columns])
 
 
-def check_headers(spark: SparkSession, path: str, contract: Contract) -> None:
+def check_headers(spark: SparkSession, path: Paths, contract: Contract) -> None:
     """Refuse the source if any file's header differs.
 
     The message counts the files and tells the first one; the error's ``issues`` has all rows
@@ -35,7 +35,7 @@ def check_headers(spark: SparkSession, path: str, contract: Contract) -> None:
 
 def read_raw(
     spark: SparkSession,
-    path: str,
+    path: Paths,
     contract: Contract,
     multi_line: bool = False,
     check: bool = True,

@@ -1,22 +1,25 @@
-"""Source files as rows: identity, digest, first record, and what changed since the last load.
+"""Source files as rows: identity, digests, first record, and what changed since the last load.
 
-Files are listed by Spark's ``binaryFile`` source, whose content column is pruned. Only the
-first record and the digest open a file, in the task that holds its row, as a stream; neither
-brings a file into memory whole.
+All of it is read by Spark's own sources, so a path may be of any file system that Spark reads.
+Files are listed by the ``binaryFile`` source, whose content column is pruned. Headers and the
+digests of large files come from text scans, which split a file among tasks.
 """
 
 from __future__ import annotations
 
-from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollbook.contract import Contract, Provenance
 from rollbook.operators.profile import row_digest
-from rollbook.sources import streams
-# What tasks run travels with them, so that workers need not have the package installed.
-cloudpickle.register_pickle_by_value(streams)
+from rollbook.staging import stage
+
+#: Files up to this size have a plain SHA-256, for which one task holds the content (128 MB).
+WHOLE_BYTES = 1 << 27
+#: Nodes of a hash tree that make one node of the next level.
+FAN_OUT = 1024
+Paths = str | list[str]
 
 
 class SourceError(RuntimeError):
@@ -27,14 +30,14 @@ class SourceError(RuntimeError):
         self.issues = issues
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+def _files(spark: SparkSession, path: Paths, source: str = "binaryFile", **options) -> DataFrame:
     try:
-        return spark.read.format("binaryFile").load(path)
+        return spark.read.format(source).options(**options).load(path)
     except AnalysisException as error:
         raise SourceError(f"Source was not found at {path}.") from error
 
 
-def manifest(spark: SparkSession, path: str, provenance: Provenance | None = None) -> DataFrame:
+def manifest(spark: SparkSession, path: Paths, provenance: Provenance | None = None) -> DataFrame:
     """``path, length, modified`` per file, stamped with where the data was published.
 
     Spark gives no row for a file without content; :func:`header_issues` counts those.
@@ -59,10 +62,85 @@ def changes(current: DataFrame, saved: DataFrame) -> DataFrame:
     return joined.filter(F.col("change").isNotNull())
 
 
-def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """``path, length, sha256`` per file. For one huge file see :func:`table_fingerprint`."""
-    files = manifest(spark, path).select("path", "length")
-    return files.mapInArrow(streams.digests, "path string, length long, sha256 string")
+def plain_path(encoded: Column) -> Column:
+    """The path of a row's file, as ``_metadata`` has it, in the form in which files are listed."""
+    decoded = F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:///", "file:/")
+
+
+def _digest(data: Column) -> Column:
+    return F.sha2(data, 256)
+
+
+def fingerprints(spark: SparkSession, path: Paths, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """``path, length, sha256`` per file; null for files of more than ``whole_bytes``.
+
+    A plain SHA-256 needs the bytes in order, so one task has the whole content. The tree of
+    :func:`tree_fingerprints` has no such limit. Files are told apart before they are opened.
+    """
+    files = _files(spark, path)
+    small = files.where(F.col("length") <= whole_bytes)
+    large = files.where(F.col("length") > whole_bytes)
+    return small.select("path", "length", _digest(F.col("content")).alias("sha256")).unionByName(
+        large.select("path", "length", F.lit(None).cast("string").alias("sha256"))
+    )
+
+
+def file_lines(spark: SparkSession, path: Paths) -> DataFrame:
+    """``path, n, digest``: the SHA-256 of every line of every file, lines numbered from 0.
+
+    A line ends with a line feed, which it does not include; the last one may have none. The
+    tasks that share a file number their own lines; what lies before them is added up from one
+    count for each block of a file.
+    """
+    text = _files(spark, path, "text", lineSep="\n")
+    lines = text.select(
+        plain_path(F.col("_metadata.file_path")).alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        _digest(F.col("value").cast("binary")).alias("digest"),
+    )
+    lines = stage(lines).frame
+    blocks = lines.groupBy("path", "block").agg(
+        F.min("at").alias("first"), F.count(F.lit(1)).alias("lines")
+    )
+    earlier = Window.partitionBy("path").orderBy("block")
+    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("lines").over(earlier), F.lit(0)))
+    number = F.col("before") + F.col("at") - F.col("first")
+    return lines.join(blocks, ["path", "block"]).select("path", number.alias("n"), "digest")
+
+
+def tree_fingerprints(spark: SparkSession, path: Paths, fan_out: int = FAN_OUT) -> DataFrame:
+    """``path, lines, tree``: an ordered hash tree over the lines of every file, of any size.
+
+    The leaves are the digests of the lines (:func:`file_lines`). ``fan_out`` neighbours make a
+    node, whose digest is that of their digests in order, as hexadecimal text; this goes on until
+    a file has one node. Neither the tasks nor the size of the splits change it. Compressed files
+    are digested by their text, and files without content have no row.
+    """
+    nodes = file_lines(spark, path)
+    sizes = stage(nodes.groupBy("path").agg(F.count(F.lit(1)).alias("lines"))).frame
+    most = sizes.agg(F.max("lines")).first()[0] or 1
+    nodes = nodes.join(sizes, "path")
+    width = 1
+    while width < most:
+        # A node of a level is the list of at most fan_out nodes.
+        level = nodes.groupBy("path", "lines", F.floor(F.col("n") / fan_out).alias("n")).agg(
+            F.sort_array(F.collect_list(F.struct("n", "digest"))).alias("below")
+        )
+        joined = F.array_join(F.transform("below", lambda x: x["digest"]), "")
+        alone = F.col("lines") <= width
+        nodes = level.select(
+            "path",
+            "lines",
+            "n",
+            F.when(alone, F.col("below")[0]["digest"])
+            .otherwise(_digest(joined.cast("binary")))
+            .alias("digest"),
+        )
+        width *= fan_out
+    return nodes.select("path", "lines", F.col("digest").alias("tree"))
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
@@ -79,14 +157,44 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     )
 
 
-def headers(spark: SparkSession, path: str) -> DataFrame:
-    """``path, names, error``: the first record of every file, which alone is read."""
+#: A field with the comma before it; a quoted one may hold commas and doubled quotes.
+_FIELD = r',(?:\s*+"(?:[^"]++|"")*+(?:"[^,]*+|$)|[^,]*+)'
+
+
+def _names(line: Column) -> Column:
+    """The fields of the first line of a delimited file, quotes taken off."""
+    fields = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELD), F.lit(0))
 
-    files = manifest(spark, path).select("path")
-    return files.mapInArrow(streams.headers, "path string, names array<string>, error string")
+    def bare(field: Column) -> Column:
+        text = F.substr(field, F.lit(2))
+        inner = F.regexp_replace(text, r'^\s*"|"[^",]*$', "")
+        return F.when(text.rlike(r'^\s*"'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(text)
+
+    return F.transform(fields, bare)
+
+
+def headers(spark: SparkSession, path: Paths) -> DataFrame:
+    """``path, names, error``: the first line of every file that has one.
+
+    A header that goes on behind its first line, in quotes, is given up to there, with the line
+    break in its last name. One text scan; one row for each file and task is shuffled.
+    """
+    text = _files(spark, path, "text")
+    first = (
+        text.where(F.col("_metadata.file_block_start") == 0)
+        .select(plain_path(F.col("_metadata.file_path")).alias("path"), "value", F.monotonically_increasing_id().alias("at"))
+        .groupBy("path")
+        .agg(F.min_by("value", "at").alias("line"))
+    )
+    good = F.is_valid_utf8("line")
+    line = F.regexp_replace(F.when(good, F.col("line")), "^\uFEFF", "")
+    goes_on = F.regexp_count(line, F.lit('"')) % 2 == 1
+    line = F.when(goes_on, F.concat(line, F.lit('\n"'))).otherwise(line)
+    error = F.when(~good, F.lit("the header is no UTF-8"))
+    return first.select("path", _names(line).alias("names"), error.alias("error"))
 
 
-def header_issues(spark: SparkSession, path: str, contract: Contract) -> DataFrame:
+def header_issues(spark: SparkSession, path: Paths, contract: Contract) -> DataFrame:
     """Files whose header breaks the contract: ``path, problem, duplicates, missing, unexpected``.
 
     Names and their order must equal the contract exactly, case included.
@@ -104,23 +212,24 @@ def header_issues(spark: SparkSession, path: str, contract: Contract) -> DataFra
     repeated = F.filter(
         F.array_distinct(names), lambda n: F.size(F.filter(names, lambda m: m == n)) > 1
     )
-    found = headers(spark, path).select(
+    found = headers(spark, path)
+    issues = found.select(
         "path",
         problem.alias("problem"),
         F.sort_array(repeated).alias("duplicates"),
         F.array_except(expected, names).alias("missing"),
         F.array_except(names, expected).alias("unexpected"),
     )
-    found = found.filter(F.col("problem").isNotNull())
-    # A file without content has no row of its own; the listing tells how many there are.
+    issues = issues.filter(F.col("problem").isNotNull())
+    # A file without content has no row; the number of all files is that of Spark's file index.
     listed = len(_files(spark, path).inputFiles())
     empty = F.lit(listed) - F.count(F.lit(1))
     none = F.array().cast("array<string>")
     missing = manifest(spark, path).agg(empty.alias("n")).filter("n > 0").select(
-        F.lit(path).alias("path"),
+        F.lit(path if isinstance(path, str) else ", ".join(path)).alias("path"),
         F.concat(F.col("n").cast("string"), F.lit(" files without content")).alias("problem"),
         none.alias("duplicates"),
         expected.alias("missing"),
         none.alias("unexpected"),
     )
-    return found.unionByName(missing)
+    return issues.unionByName(missing)
