@@ -13,6 +13,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from pyspark.sql import DataFrame  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 from checks.compare import session  # noqa: E402
 from checks.fixtures import CONTRACT, registration, table  # noqa: E402
@@ -116,7 +117,7 @@ def main() -> None:
 
     def rank_parts() -> None:
         counts = stage(lineitem.groupBy("l_partkey").count())
-        label = counts.frame["l_partkey"].cast("string")
+        label = F.col("l_partkey").cast("string")
         run(ranking.rank_counts(counts, ["l_partkey"], lineitem.count(), label))
 
     def event_stats() -> None:

@@ -477,8 +477,32 @@ def heatmap_brands(spark: SparkSession, folder: str) -> DataFrame:
     sold = shipped.join(part, shipped.l_partkey == part.p_partkey)
     cells = stage(sold.groupBy("p_brand", "ship_year").agg(F.sum("count").alias("count")))
     by_brand = ranking.regroup(cells, ["p_brand"], ["p_brand"])
-    top = ranking.top_counts(by_brand, ["p_brand"], 5).frame.collect()
-    return grid.complete_grid(cells.frame, "p_brand", [r.p_brand for r in top], "ship_year")
+    top = ranking.leaders(by_brand, ["p_brand"], 5)
+    return grid.complete_grid(cells.frame, "p_brand", top, "ship_year")
+
+
+@query(
+    "heatmap_parts",
+    """WITH sold AS (SELECT l_partkey, year(l_shipdate) AS ship_year FROM lineitem),
+    top AS (SELECT l_partkey, row_number() OVER (ORDER BY count(*) DESC,
+        lower(CAST(l_partkey AS VARCHAR)), l_partkey) AS position FROM sold GROUP BY l_partkey)
+    SELECT position, t.l_partkey, y.ship_year, coalesce(c.count, 0) AS count
+    FROM (SELECT * FROM top WHERE position <= 10000) t
+    CROSS JOIN (SELECT DISTINCT ship_year FROM sold) y
+    LEFT JOIN (SELECT l_partkey, ship_year, count(*) AS count FROM sold GROUP BY ALL) c
+    ON c.l_partkey = t.l_partkey AND c.ship_year = y.ship_year""",
+)
+def heatmap_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """The grid of up to ten thousand leading parts."""
+    shipped = table(spark, folder, "lineitem")
+    cells = stage(
+        shipped.groupBy("l_partkey", F.year("l_shipdate").alias("ship_year")).agg(
+            F.count(F.lit(1)).alias("count")
+        )
+    )
+    by_part = ranking.regroup(cells, ["l_partkey"], ["l_partkey"])
+    top = ranking.leaders(by_part, ["l_partkey"], 10_000)
+    return grid.complete_grid(cells.frame, "l_partkey", top, "ship_year")
 
 
 _RANK_BRANDS = _rank_sql(

@@ -8,30 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def complete_grid(
-    cells: DataFrame, name: str, leaders: Sequence[str], year: str
-) -> DataFrame:
+def complete_grid(cells: DataFrame, name: str, leaders: DataFrame, year: str) -> DataFrame:
     """Every leader in every year of the whole table, absent pairs with count 0.
 
-    One aggregate per year with a sum per leader, then turned to long form: the zeros come from
-    the sums, without a join. Years held only by other groups are kept.
+    ``leaders`` has ``position`` from 1 and ``name``, as :func:`ranking.leaders` gives them. The
+    cells are made from the leaders, each with the list of all years, and take the counts of
+    those that occur; years held only by other groups are kept. Nothing is collected, and
+    neither plan nor rows grow with the groups that do not lead.
     """
-    per_year = cells.filter(F.col(year).isNotNull()).groupBy(year).agg(
-        *(
-            F.coalesce(F.sum(F.when(F.col(name) == leader, F.col("count"))), F.lit(0)).alias(f"n{i}")
-            for i, leader in enumerate(leaders)
-        )
+    known = cells.filter(F.col(year).isNotNull())
+    years = known.agg(F.array_sort(F.collect_set(year))).scalar()
+    every = leaders.select("position", name, F.explode(years).alias(year))
+    counts = (
+        known.join(leaders.select(name), name, "left_semi")
+        .groupBy(name, year)
+        .agg(F.sum("count").alias("count"))
     )
-    long = [
-        F.struct(
-            F.lit(i + 1).alias("position"),
-            F.lit(leader).alias(name),
-            F.col(year).alias(year),
-            F.col(f"n{i}").alias("count"),
-        )
-        for i, leader in enumerate(leaders)
-    ]
-    return per_year.select(F.inline(F.array(*long))).orderBy("position", year)
+    filled = every.join(counts, [name, year], "left")
+    count = F.coalesce("count", F.lit(0).cast("long")).alias("count")
+    return filled.select("position", name, year, count).orderBy("position", year)
 
 
 def matrix(grid: DataFrame, name: str, year: str, years: Sequence[int]) -> DataFrame:

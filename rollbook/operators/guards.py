@@ -1,10 +1,10 @@
-"""Plan-time checks; none of them runs a job."""
+"""Checks of what an analysis is given, and their outcomes as rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 class MissingColumns(ValueError):
@@ -30,3 +30,19 @@ def need_some(count: int | None, what: str) -> None:
     """Refuse a zero taken from an aggregate that was computed anyway."""
     if not count:
         raise EmptyInput(f"No {what} in the input.")
+
+
+def outcomes(spark: SparkSession, cases: Mapping[str, Callable[[], object]]) -> DataFrame:
+    """``case, passed, error, message``: what each guarded call does with its input.
+
+    A refusal is a row with the error's name and message. Only refusals (:class:`ValueError` and
+    what derives from it) become rows; other errors are raised.
+    """
+    rows = []
+    for case, call in cases.items():
+        try:
+            call()
+            rows.append((case, True, None, None))
+        except ValueError as error:
+            rows.append((case, False, type(error).__name__, str(error)))
+    return spark.createDataFrame(rows, "case string, passed boolean, error string, message string")

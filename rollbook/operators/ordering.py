@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollbook.staging import Staged, shared_folder
+from rollbook.staging import Staged, written
 
 _AT = "_at"
 _SLICE = "_slice"
@@ -22,8 +22,7 @@ _POSITION_BITS = 33  # monotonically_increasing_id: partition above, row within
 
 def _sliced(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """The rows sorted by range and kept, with their place and the number of their slice."""
-    shared_folder(df.sparkSession)
-    placed = df.orderBy(*order).withColumn(_AT, F.monotonically_increasing_id()).checkpoint()
+    placed = written(df.orderBy(*order).withColumn(_AT, F.monotonically_increasing_id()))
     return placed.withColumn(_SLICE, F.shiftright(_AT, _POSITION_BITS))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions.text import fold
@@ -61,6 +61,17 @@ def top_counts(counts: Staged, order_names: Sequence[str], limit: int) -> Staged
     return Staged(top, min(limit, counts.rows))
 
 
+def leaders(counts: Staged, order_names: Sequence[str], limit: int) -> DataFrame:
+    """``position`` from 1 and the name of the ``limit`` largest groups of one column.
+
+    The first ``limit`` rows of all tasks are merged before they are numbered, in one task.
+    """
+    (name,) = (c for c in counts.frame.columns if c != "count")
+    top = top_counts(counts, order_names, limit).frame
+    order = Window.orderBy(*ranking_order(order_names))
+    return top.select(F.row_number().over(order).alias("position"), name)
+
+
 def top_n(ranking: DataFrame, limit: int) -> DataFrame:
     need_positive(limit, "limit")
     return ranking.filter(F.col("rank") <= limit)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.numbers import share
 from rollbook.operators import breakdown, distribution, grid, places, ranking
-from rollbook.operators.guards import EmptyInput, need_columns, need_positive
+from rollbook.operators.guards import EmptyInput, need_columns, need_positive, need_some
 from rollbook.operators.ordering import quantiles
 from rollbook.staging import Staged, stage, together
 
@@ -42,6 +42,14 @@ def _need_rows(staged: Staged) -> None:
         raise EmptyInput("The input has no rows.")
 
 
+def _complete(names: list[str]) -> Column:
+    """Whether none of the columns is null."""
+    known = F.lit(True)
+    for name in names:
+        known = known & F.col(name).isNotNull()
+    return known
+
+
 def _count_if(condition: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, F.col("count"))), F.lit(0))
 
@@ -186,7 +194,7 @@ class Market:
     makes: DataFrame
     models: DataFrame
     grid: DataFrame
-    leading_makes: tuple[str, ...]
+    leading_makes: DataFrame
 
 
 def market(
@@ -199,20 +207,17 @@ def market(
     need_columns(df, [c.key, c.make, c.model, c.year])
     need_positive(grid_makes, "grid_makes")
     cells, vehicles = together(
-        lambda: stage(df.groupBy(c.make, c.model, c.year).agg(F.count(F.lit(1)).alias("count"))),
+        lambda: stage(
+            df.groupBy(c.make, c.model, c.year).agg(F.count(F.lit(1)).alias("count")),
+            seen={"pairs": F.count_if(_complete([c.make, c.model])), "years": F.count(c.year)},
+        ),
         lambda: breakdown.distinct_keys(df, c.key),
     )
     _need_rows(cells)
     by_make = ranking.regroup(cells, [c.make], [c.make, c.model])
     by_model = ranking.regroup(cells, [c.make, c.model], [c.make, c.model])
-    top, years = together(
-        ranking.top_counts(by_make, [c.make], grid_makes).frame.collect,
-        cells.frame.filter(F.col(c.year).isNotNull()).limit(1).collect,
-    )
-    if not top:
-        raise EmptyInput("No rows with make and model in the input.")
-    if not years:
-        raise EmptyInput(f"No values of {c.year} in the input.")
+    need_some(cells.seen["pairs"], f"rows with {c.make} and {c.model}")
+    need_some(cells.seen["years"], f"values of {c.year}")
     label = ranking.pair_label(c.model, c.make, " — ")
     makes, models = together(
         lambda: ranking.rank_counts(by_make, [c.make], vehicles, F.col(c.make)),
@@ -227,7 +232,7 @@ def market(
         F.col("leader_share").alias("leading_make_share"),
         F.col("top_share").alias("top_10_make_share"),
     )
-    leaders = tuple(row[c.make] for row in top)
+    leaders = ranking.leaders(by_make, [c.make], grid_makes)
     return Market(
         headline, makes, models, grid.complete_grid(cells.frame, c.make, leaders, c.year), leaders
     )
@@ -250,23 +255,21 @@ def geography(
     p = columns
     need_columns(df, [key, *p.all])
     cells, vehicles = together(
-        lambda: stage(places.place_counts(df, p)), lambda: breakdown.distinct_keys(df, key)
+        lambda: stage(
+            places.place_counts(df, p), seen={"named": F.count_if(_complete(p.names))}
+        ),
+        lambda: breakdown.distinct_keys(df, key),
     )
     _need_rows(cells)
+    need_some(cells.seen["named"], "rows with county and city")
     by_county = ranking.regroup(cells, [p.state, p.county], [p.state, p.county])
     leader = ranking.top_counts(by_county, [p.county, p.state], 1).frame
     label = ranking.pair_label(p.county, p.state, ", ")
 
-    def complete(names: list[str]) -> Column:
-        known = F.lit(True)
-        for name in names:
-            known = known & F.col(name).isNotNull()
-        return known
-
     def distinct(names: list[str]) -> Column:
-        return F.count_distinct(F.when(complete(names), F.struct(*names)))
+        return F.count_distinct(F.when(_complete(names), F.struct(*names)))
 
-    located = F.coalesce(F.sum(F.when(complete(p.all), F.col("count"))), F.lit(0))
+    located = F.coalesce(F.sum(F.when(_complete(p.all), F.col("count"))), F.lit(0))
     counted = cells.frame.agg(
         F.lit(vehicles).cast("bigint").alias("vehicle_count"),
         distinct([p.state]).alias("state_count"),
@@ -282,8 +285,6 @@ def geography(
         leader.select("count").scalar().alias("leading_county_count"),
         leader.select(share(F.col("count"), total)).scalar().alias("leading_county_share"),
     )
-    if cells.frame.filter(complete(p.names)).isEmpty():
-        raise EmptyInput("No rows with county and city in the input.")
     counties, cities = together(
         lambda: places.rank_counties(cells, p, vehicles),
         lambda: places.rank_cities(cells, p, vehicles),
@@ -310,12 +311,14 @@ def ranges(
     need_columns(df, [c.key, c.type, c.measure, c.status])
     need_positive(width, "width")
     cells, vehicles = together(
-        lambda: stage(distribution.measure_counts(df, [c.type, c.status], c.measure)),
+        lambda: stage(
+            distribution.measure_counts(df, [c.type, c.status], c.measure),
+            seen={"types": F.count(c.type)},
+        ),
         lambda: breakdown.distinct_keys(df, c.key),
     )
     _need_rows(cells)
-    if cells.frame.filter(F.col(c.type).isNotNull()).isEmpty():
-        raise EmptyInput(f"No values of {c.type} in the input.")
+    need_some(cells.seen["types"], f"values of {c.type}")
 
     by_type = _summed(cells, c.type, "value")
     statistics, median = together(

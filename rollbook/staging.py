@@ -1,27 +1,30 @@
 """Keep an aggregated table once, so that several results read it instead of the source.
 
-A staged table is checkpointed in the shared folder that ``spark.checkpoint.dir`` names; it
-survives lost executors and gives every reader the same rows in the same partitions.
+A staged table is written as Parquet, in one pass, to the shared folder that
+``spark.checkpoint.dir`` names; it survives lost executors and gives every reader the same rows.
 """
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Staged:
-    """A kept table, its number of rows (or a bound of it) and the sum of its counts."""
+    """A kept table, its number of rows (or a bound of it), the sum of its counts, and what else
+    was seen while it was written."""
 
     frame: DataFrame
     rows: int
     total: int = 0
+    seen: dict[str, int] = field(default_factory=dict)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,13 +40,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame, count: str | None = None) -> Staged:
-    """Compute ``df`` now and keep it; ``count`` names a column to total along with the rows."""
-    shared_folder(df.sparkSession)
-    kept = df.checkpoint()
-    total = F.lit(0) if count is None else F.sum(count)
-    rows, total = kept.agg(F.count(F.lit(1)), F.coalesce(total, F.lit(0))).first()
-    return Staged(kept, rows, total)
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back from there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def stage(
+    df: DataFrame, count: str | None = None, seen: Mapping[str, Column] | None = None
+) -> Staged:
+    """Compute ``df`` now and keep it; ``count`` names a column to total along with the rows.
+
+    Rows, total and the aggregates of ``seen`` are observed while the rows are written, so that
+    they need no job of their own.
+    """
+    totals = [] if count is None else [F.sum(count).alias("total")]
+    totals += [c.alias(f"seen {name}") for name, c in (seen or {}).items()]
+    watch = Observation(f"stage-{uuid.uuid4().hex}")
+    kept = written(df.observe(watch, F.count(F.lit(1)).alias("rows"), *totals))
+    found = watch.get
+    others = {name: found[f"seen {name}"] for name in seen or {}}
+    return Staged(kept, found["rows"], found.get("total") or 0, others)
 
 
 def together(*jobs: Callable) -> list:

@@ -121,7 +121,7 @@ def test_market(spark, contract, raw):
         "leading_make_share": 0.5,
         "top_10_make_share": 1.0,
     }
-    assert page.leading_makes == ("TESLA", "JEEP", "OTHER")
+    assert rows(page.leading_makes) == [(1, "TESLA"), (2, "JEEP"), (3, "OTHER")]
     cells = tuples(page.grid, "make", "model_year", "count")
     assert cells == [
         ("TESLA", 2020, 2),
@@ -145,7 +145,7 @@ def test_grid_counts_rows_without_model(spark, contract, raw):
     raw.more(0, dol_vehicle_id="3", model=None)
     page = pages.market(raw.clean(spark, contract), grid_makes=1)
     assert tuples(page.makes.orderBy("rank"), "label", "count") == [("JEEP", 1), ("TESLA", 1)]
-    assert page.leading_makes == ("JEEP",)
+    assert rows(page.leading_makes) == [(1, "JEEP")]
     page = pages.market(raw.clean(spark, contract))
     assert ("TESLA", 2020, 2) in tuples(page.grid, "make", "model_year", "count")
 
@@ -260,3 +260,22 @@ def test_top_counts_never_build_the_whole_ranking(spark):
     assert top.rows == 3
     plan = top.frame._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_many_leaders_make_a_small_plan(spark):
+    df = spark.range(6000).select((F.col("id") % 3000).alias("k"), (F.col("id") % 4).alias("y"))
+    cells = stage(df.groupBy("k", "y").agg(F.count("*").alias("count")))
+    by_k = ranking.regroup(cells, ["k"], ["k"])
+    found = grid.complete_grid(cells.frame, "k", ranking.leaders(by_k, ["k"], 2500), "y")
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    cells = found.collect()
+    assert len(cells) == 10_000 and {r.position for r in cells} == set(range(1, 2501))
+    assert sum(r["count"] for r in cells) == 5000
+
+
+def test_counts_are_observed_while_they_are_staged(spark):
+    df = spark.range(10).withColumn("half", F.when(F.col("id") < 5, F.col("id")))
+    kept = stage(df, "id", {"halves": F.count("half")})
+    assert (kept.rows, kept.total, kept.seen) == (10, 45, {"halves": 5})
+    none = stage(df.limit(0), "id", {"halves": F.count("half")})
+    assert (none.rows, none.total, none.seen) == (0, 0, {"halves": 0})
