@@ -12,39 +12,39 @@ from rollbook.registration import RENAMES, registration_contract  # noqa: E402
 ROWS = (
     (
         "7TSTA0EV1A",
-        "Yakima",
-        "Yakima",
+        "Quillton",
+        "Quillton",
         "WA",
-        "99004",
-        "2020",
-        "TESLA",
-        "MODEL 3",
+        "99351",
+        "2018",
+        "VELOMAR",
+        "LARK 2",
         "Battery Electric Vehicle (BEV)",
         "Clean Alternative Fuel Vehicle Eligible",
-        "266",
-        "14",
+        "231",
+        "27",
         "104020301",
         "POINT (-118.25 46.125)",
-        "PACIFICORP",
-        "53063014002",
+        "QUILL RIVER PUBLIC POWER",
+        "53071880100",
     ),
     (
         "2XKBR8Z31L",
-        "King",
-        "Seattle",
+        "Larch",
+        "Harborview",
         "WA",
-        "98052",
-        "2023",
-        "JEEP",
-        "WRANGLER",
+        "98644",
+        "2022",
+        "ALDER",
+        "TREKKER",
         "Plug-in Hybrid Electric Vehicle (PHEV)",
         "Eligibility unknown as battery range has not been researched",
         "0",
-        "43",
+        "8",
         "206050403",
         "POINT (-121.5 47.75)",
-        "CITY OF SEATTLE - (WA)|CITY OF TACOMA - (WA)",
-        "53033022803",
+        "LARCH LIGHT COOPERATIVE",
+        "53059771200",
     ),
 )
 

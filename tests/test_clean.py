@@ -45,7 +45,7 @@ def test_values(spark, contract, raw):
     row = first(raw, spark, contract)
     assert (row["ev_type_code"], row["cafv_status"], row["is_washington"]) == ("BEV", "Eligible", True)
     assert (row["longitude"], row["latitude"]) == (-118.25, 46.125)
-    assert row["dol_vehicle_id"] == "104020301" and row["model_year"] == 2020
+    assert row["dol_vehicle_id"] == "104020301" and row["model_year"] == 2018
 
 
 def test_zero_range_is_missing_only_in_the_derived_column(spark, contract, raw):
@@ -55,10 +55,10 @@ def test_zero_range_is_missing_only_in_the_derived_column(spark, contract, raw):
 
 def test_text(spark, contract, raw):
     row = first(
-        raw, spark, contract, make="  tesla  ", county="King   County", city=" ", state=" wa",
+        raw, spark, contract, make="  velomar  ", county="Larch   County", city=" ", state=" wa",
         vin_prefix="7tsta0ev1a",
     )
-    assert (row["make"], row["county"], row["city"]) == ("TESLA", "King County", None)
+    assert (row["make"], row["county"], row["city"]) == ("VELOMAR", "Larch County", None)
     assert (row["state"], row["is_washington"], row["vin_prefix"]) == ("WA", True, "7TSTA0EV1A")
 
 
@@ -87,8 +87,8 @@ def test_points_out_of_bounds_keep_their_coordinates(spark, contract, raw):
 
 
 def test_unmapped_labels_and_fractions(spark, contract, raw):
-    row = first(raw, spark, contract, ev_type="Steam", legislative_district="14.5", model_year="x")
-    assert (row["ev_type_code"], row["legislative_district"], row["model_year"]) == (None, 14, None)
+    row = first(raw, spark, contract, ev_type="Steam", legislative_district="27.5", model_year="x")
+    assert (row["ev_type_code"], row["legislative_district"], row["model_year"]) == (None, 27, None)
 
 
 def test_no_row_is_dropped_or_merged(spark, contract, raw):

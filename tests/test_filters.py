@@ -27,20 +27,20 @@ def test_empty_selection_keeps_all_with_a_year(clean):
 
 
 def test_scope_and_inclusive_years(clean):
-    assert keys(filters.apply_filters(clean, FILTERS, Selection(2020, 2020))) == ["104020301"]
-    assert keys(filters.apply_filters(clean, FILTERS, Selection(2021, 2023))) == ["206050403"]
+    assert keys(filters.apply_filters(clean, FILTERS, Selection(2018, 2018))) == ["104020301"]
+    assert keys(filters.apply_filters(clean, FILTERS, Selection(2021, 2022))) == ["206050403"]
 
 
 def test_levels_compose(clean):
-    assert keys(filters.apply_filters(clean, FILTERS, chosen(make=("TESLA", "X")))) == ["104020301", "3"]
-    both = chosen(make=("TESLA",), county=("Lane",), ev_type_code=("BEV",))
+    assert keys(filters.apply_filters(clean, FILTERS, chosen(make=("VELOMAR", "X")))) == ["104020301", "3"]
+    both = chosen(make=("VELOMAR",), county=("Lane",), ev_type_code=("BEV",))
     assert keys(filters.apply_filters(clean, FILTERS, both)) == ["3"]
     assert keys(filters.apply_filters(clean, FILTERS, chosen(cafv_status=("Not eligible",)))) == []
 
 
 def test_inverted_years_are_refused():
     with pytest.raises(ValueError):
-        Selection(2021, 2020)
+        Selection(2021, 2018)
 
 
 def test_missing_columns(clean):
@@ -58,37 +58,37 @@ def test_available_values_ignore_case(spark):
 def test_predicates_reach_the_scan(spark, clean, tmp_path):
     path = str(tmp_path / "clean")
     clean.write.parquet(path)
-    asked = Selection(2020, 2023, chosen={"make": ("JEEP",)})
+    asked = Selection(2018, 2022, chosen={"make": ("ALDER",)})
     kept = filters.apply_filters(spark.read.parquet(path), FILTERS, asked)
     spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
     plan = kept.groupBy("make").count()._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(model_year,2020)" in plan and "EqualTo(state,WA)" in plan
+    assert "GreaterThanOrEqual(model_year,2018)" in plan and "EqualTo(state,WA)" in plan
     assert "longitude" not in plan.split("ReadSchema")[1]
 
 
 def test_facets(clean):
     found = set(rows(filters.facets(clean, FILTERS, chosen(ev_type_code=("BEV",)))))
     assert {v for level, v in found if level == "ev_type_code"} == {"BEV", "PHEV"}
-    assert {v for level, v in found if level == "make"} == {"TESLA"}
-    assert {v for level, v in found if level == "county"} == {"Yakima", "Lane"}
+    assert {v for level, v in found if level == "make"} == {"VELOMAR"}
+    assert {v for level, v in found if level == "county"} == {"Quillton", "Lane"}
 
 
 def test_cascade_drops_stale_values(clean):
-    asked = chosen(ev_type_code=("BEV",), make=("JEEP",), county=("Lane", "King"))
+    asked = chosen(ev_type_code=("BEV",), make=("ALDER",), county=("Lane", "Larch"))
     settled, options = filters.cascade(clean, FILTERS, asked)
     assert settled.chosen == {"ev_type_code": ("BEV",), "county": ("Lane",)}
     found = set(rows(options))
-    assert {v for level, v in found if level == "make"} == {"TESLA"}
+    assert {v for level, v in found if level == "make"} == {"VELOMAR"}
     assert {v for level, v in found if level == "cafv_status"} == {"Eligible"}
 
 
 def test_cascade_keeps_the_order_of_choice(clean):
-    settled, _ = filters.cascade(clean, FILTERS, chosen(make=("TESLA", "NONE", "JEEP")))
-    assert settled.chosen == {"make": ("TESLA", "JEEP")}
+    settled, _ = filters.cascade(clean, FILTERS, chosen(make=("VELOMAR", "NONE", "ALDER")))
+    assert settled.chosen == {"make": ("VELOMAR", "ALDER")}
 
 
 def test_default_selection(clean):
-    assert filters.default_selection(clean, FILTERS) == Selection(2020, 2023)
+    assert filters.default_selection(clean, FILTERS) == Selection(2018, 2022)
     with pytest.raises(EmptyInput):
         filters.default_selection(clean.limit(0), FILTERS)
 

@@ -22,7 +22,7 @@ def tuples(df, *names):
 
 def test_breakdown_share_is_of_all_rows(spark, contract, raw):
     df = raw.with_(0, county=None).clean(spark, contract)
-    assert rows(breakdown.category_breakdown(df, "county")) == [("King", 1, 0.5)]
+    assert rows(breakdown.category_breakdown(df, "county")) == [("Larch", 1, 0.5)]
 
 
 def test_breakdown_ties_ignore_case(spark):
@@ -57,9 +57,9 @@ def test_breakdown_reads_its_column_once_and_reuses_the_shuffle(spark, tmp_path,
 
 
 def test_leading_category_is_the_first_among_equals(spark):
-    df = spark.sql("SELECT * FROM VALUES (2021), (2020), (2020), (2021), (2019) AS t(y)")
+    df = spark.sql("SELECT * FROM VALUES (2021), (2018), (2018), (2021), (2019) AS t(y)")
     found = breakdown.leading(breakdown.category_breakdown(df, "y", sort_by_value=True))
-    assert rows(found) == [("2020", 2, 0.4)]
+    assert rows(found) == [("2018", 2, 0.4)]
 
 
 def test_overview(spark, clean):
@@ -72,11 +72,11 @@ def test_overview(spark, clean):
         "known_range_share": 0.5,
         "eligible_count": 1,
         "eligible_share": 0.5,
-        "median_model_year": 2021.5,
+        "median_model_year": 2020.0,
     }
-    assert tuples(page.model_years, "value") == [("2020",), ("2023",)]
-    assert tuples(page.top_makes, "value", "count", "share") == [("JEEP", 1, 0.5), ("TESLA", 1, 0.5)]
-    assert tuples(page.leading_year, "value") == [("2020",)]
+    assert tuples(page.model_years, "value") == [("2018",), ("2022",)]
+    assert tuples(page.top_makes, "value", "count", "share") == [("ALDER", 1, 0.5), ("VELOMAR", 1, 0.5)]
+    assert tuples(page.leading_year, "value") == [("2018",)]
 
 
 def test_overview_counts_distinct_keys(spark, contract, raw):
@@ -90,15 +90,15 @@ def test_exploratory(spark, contract, raw):
     page = pages.exploratory(df)
     headline = only(page.headline)
     assert headline["vehicle_count"] == 3
-    assert (headline["model_year_min"], headline["model_year_max"]) == (2020, 2023)
-    assert headline["model_year_median"] == 2020.0
+    assert (headline["model_year_min"], headline["model_year_max"]) == (2018, 2022)
+    assert headline["model_year_median"] == 2018.0
     assert (headline["make_count"], headline["county_count"]) == (2, 2)
     assert (headline["recent_model_year_count"], headline["recent_model_year_share"]) == (1, 0.333333)
     assert headline["top_10_make_share"] == 1.0
     assert headline["top_5_county_share"] == 0.666666
-    assert tuples(page.breakdowns["make"], "value", "count") == [("TESLA", 2), ("JEEP", 1)]
+    assert tuples(page.breakdowns["make"], "value", "count") == [("VELOMAR", 2), ("ALDER", 1)]
     found = {r.ev_type_code: r for r in page.range_by_type.collect()}
-    assert (found["BEV"].p25, found["BEV"].median, found["BEV"]["mean"]) == (141.5, 183.0, 183.0)
+    assert (found["BEV"].p25, found["BEV"].median, found["BEV"]["mean"]) == (132.75, 165.5, 165.5)
     assert (found["PHEV"].known_share, found["PHEV"].median, found["PHEV"].maximum) == (0.0, None, None)
 
 
@@ -108,46 +108,46 @@ def test_market(spark, contract, raw):
     page = pages.market(raw.clean(spark, contract))
     found = tuples(page.models.orderBy("rank"), "rank", "label", "count", "share", "cumulative_share")
     assert found == [
-        (1, "MODEL 3 — TESLA", 2, 0.5, 0.5),
-        (2, "WRANGLER — JEEP", 1, 0.25, 0.75),
-        (3, "MODEL 3 — OTHER", 1, 0.25, 1.0),
+        (1, "LARK 2 — VELOMAR", 2, 0.5, 0.5),
+        (2, "TREKKER — ALDER", 1, 0.25, 0.75),
+        (3, "LARK 2 — OTHER", 1, 0.25, 1.0),
     ]
     assert only(page.headline) == {
         "vehicle_count": 4,
         "make_count": 3,
         "make_model_count": 3,
-        "leading_make": "TESLA",
+        "leading_make": "VELOMAR",
         "leading_make_count": 2,
         "leading_make_share": 0.5,
         "top_10_make_share": 1.0,
     }
-    assert rows(page.leading_makes) == [(1, "TESLA"), (2, "JEEP"), (3, "OTHER")]
+    assert rows(page.leading_makes) == [(1, "VELOMAR"), (2, "ALDER"), (3, "OTHER")]
     cells = tuples(page.grid, "make", "model_year", "count")
     assert cells == [
-        ("TESLA", 2020, 2),
-        ("TESLA", 2023, 0),
-        ("JEEP", 2020, 0),
-        ("JEEP", 2023, 1),
-        ("OTHER", 2020, 1),
-        ("OTHER", 2023, 0),
+        ("VELOMAR", 2018, 2),
+        ("VELOMAR", 2022, 0),
+        ("ALDER", 2018, 0),
+        ("ALDER", 2022, 1),
+        ("OTHER", 2018, 1),
+        ("OTHER", 2022, 0),
     ]
-    assert rows(grid.matrix(page.grid, "make", "model_year", [2020, 2023])) == [
-        (1, "TESLA", 2, 0),
-        (2, "JEEP", 0, 1),
+    assert rows(grid.matrix(page.grid, "make", "model_year", [2018, 2022])) == [
+        (1, "VELOMAR", 2, 0),
+        (2, "ALDER", 0, 1),
         (3, "OTHER", 1, 0),
     ]
     reached = rows(ranking.threshold_ranks(page.makes))
     assert reached == [(0.5, 1), (0.75, 2), (0.9, 3)]
-    assert tuples(ranking.top_n(page.makes, 1), "label") == [("TESLA",)]
+    assert tuples(ranking.top_n(page.makes, 1), "label") == [("VELOMAR",)]
 
 
 def test_grid_counts_rows_without_model(spark, contract, raw):
     raw.more(0, dol_vehicle_id="3", model=None)
     page = pages.market(raw.clean(spark, contract), grid_makes=1)
-    assert tuples(page.makes.orderBy("rank"), "label", "count") == [("JEEP", 1), ("TESLA", 1)]
-    assert rows(page.leading_makes) == [(1, "JEEP")]
+    assert tuples(page.makes.orderBy("rank"), "label", "count") == [("ALDER", 1), ("VELOMAR", 1)]
+    assert rows(page.leading_makes) == [(1, "ALDER")]
     page = pages.market(raw.clean(spark, contract))
-    assert ("TESLA", 2020, 2) in tuples(page.grid, "make", "model_year", "count")
+    assert ("VELOMAR", 2018, 2) in tuples(page.grid, "make", "model_year", "count")
 
 
 def test_geography(spark, contract, raw):
@@ -156,30 +156,30 @@ def test_geography(spark, contract, raw):
     raw.more(1, dol_vehicle_id="5", vehicle_location=None)
     page = pages.geography(raw.clean(spark, contract))
     assert tuples(page.counties.orderBy("rank"), "rank", "label", "count") == [
-        (1, "King, WA", 2),
-        (2, "Yakima, WA", 2),
-        (3, "Yakima, OR", 1),
+        (1, "Larch, WA", 2),
+        (2, "Quillton, WA", 2),
+        (3, "Quillton, OR", 1),
     ]
     assert tuples(page.cities.orderBy("rank"), "label", "county") == [
-        ("Seattle, WA", "King"),
-        ("Yakima, WA", "Yakima"),
-        ("Yakima, OR", "Yakima"),
+        ("Harborview, WA", "Larch"),
+        ("Quillton, WA", "Quillton"),
+        ("Quillton, OR", "Quillton"),
     ]
     assert only(page.headline) == {
         "vehicle_count": 5,
         "state_count": 2,
         "county_count": 3,
         "city_count": 3,
-        "leading_county": "King, WA",
+        "leading_county": "Larch, WA",
         "leading_county_count": 2,
         "leading_county_share": 0.4,
         "coordinate_vehicle_count": 4,
         "coordinate_coverage": 0.8,
     }
     assert tuples(page.points, "state", "city", "count") == [
-        ("WA", "Yakima", 2),
-        ("OR", "Yakima", 1),
-        ("WA", "Seattle", 1),
+        ("WA", "Quillton", 2),
+        ("OR", "Quillton", 1),
+        ("WA", "Harborview", 1),
     ]
     for df in (page.counties, page.cities, page.points):
         assert "dol_vehicle_id" not in df.columns
@@ -194,10 +194,10 @@ def test_ranges(spark, contract, raw):
     page = pages.ranges(df)
     headline = only(page.headline)
     assert (headline["known_range_count"], headline["known_range_share"]) == (2, 0.666667)
-    assert (headline["median_known_range"], headline["unknown_cafv_count"]) == (266.0, 1)
-    assert rows(page.bins) == [("BEV", 260, 269, "260-269", 2)]
+    assert (headline["median_known_range"], headline["unknown_cafv_count"]) == (231.0, 1)
+    assert rows(page.bins) == [("BEV", 230, 239, "230-239", 2)]
     found = {r.ev_type_code: r for r in page.statistics.collect()}
-    assert (found["BEV"].minimum, found["BEV"].median, found["BEV"].maximum) == (266, 266.0, 266)
+    assert (found["BEV"].minimum, found["BEV"].median, found["BEV"].maximum) == (231, 231.0, 231)
     assert (found["PHEV"].known_count, found["PHEV"].median, found["PHEV"]["mean"]) == (0, None, None)
     assert sorted(rows(page.coverage)) == [("BEV", 2, 2, 0, 1.0), ("PHEV", 1, 0, 1, 0.0)]
     long = sorted(rows(distribution.coverage_series(page.coverage, "ev_type_code")))

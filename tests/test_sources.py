@@ -162,8 +162,8 @@ def test_changes(spark, tmp_path):
 def test_exploratory_report(spark, contract, raw, tmp_path):
     write_exploratory(raw.clean(spark, contract), str(tmp_path / "eda"))
     found = json.loads(spark.read.text(str(tmp_path / "eda")).first().value)
-    assert found["vehicle_count"] == 2 and found["model_year_median"] == 2021.5
-    assert [v["value"] for v in found["model_year"]] == ["2020", "2023"]
-    assert [v["value"] for v in found["make"]] == ["JEEP", "TESLA"]
+    assert found["vehicle_count"] == 2 and found["model_year_median"] == 2020.0
+    assert [v["value"] for v in found["model_year"]] == ["2018", "2022"]
+    assert [v["value"] for v in found["make"]] == ["ALDER", "VELOMAR"]
     assert [t["ev_type_code"] for t in found["range_by_vehicle_type"]] == ["BEV", "PHEV"]
     assert found["range_by_vehicle_type"][1]["median"] is None
