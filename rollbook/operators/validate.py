@@ -211,7 +211,7 @@ class Report:
 
 
 def line_of(row: Issue) -> str:
-    """The text form of a collected issue."""
+    """The text form of a collected issue; a fixed form, as in :func:`report_text`."""
     suffix = "" if row.n_rows is None else f" ({row.n_rows:,} rows)"
     return f"[{row.code}] {row.message}{suffix}"
 

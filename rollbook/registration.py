@@ -76,7 +76,7 @@ PROVENANCE = Provenance(
     licence_url="https://opendatacommons.org/licenses/odbl/1-0/",
 )
 
-# Clean column, source column, Spark type, nullable, meaning.
+# Clean column, source column, Spark type, nullable, meaning.
 DICTIONARY = tuple(
     FieldDefinition(*entry)
     for entry in (
