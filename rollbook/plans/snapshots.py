@@ -4,8 +4,8 @@ A store is a folder with ``rows/load=<name>/file=<key>``, the clean rows of each
 a load read, and ``manifests/version=<n>``, one file with a row for each source file of that
 version: what it was when it was read, where its rows are, and how many of them break each rule.
 A load parses the text of new and changed files once. The pass that writes their clean rows also
-marks each row with the rules that it breaks and observes the totals of the gate; counts for each
-file are then read from the marks alone. Counts of all files are added up, and only uniqueness
+marks each row with the rules that it breaks and observes which rules any row breaks, so that the
+gate knows when the rows are written; counts for each file are then read from the marks alone. Counts of all files are added up, and only uniqueness
 looks at the keys of all rows. The manifest is written last, so a version is there as a whole or
 not at all, and a refused source leaves the version before as it was.
 """
@@ -187,17 +187,24 @@ def _written(spark: SparkSession, path: Paths, contract: Contract, target: str,
     """Write clean rows of the files; key, rows and counts of each file that has rows."""
     own = _key(plain_path(F.col("_metadata.file_path")))
     keyed = read_raw(spark, path, contract, multi_line).select("*", own.alias(_FILE))
-    totals = Observation(f"load-{uuid.uuid4().hex}")
-    counts = _rule_counts(contract)
+    # Which rules any row breaks is seen in the write; how many rows do, is read from the marks.
+    seen = Observation(f"load-{uuid.uuid4().hex}")
+    checks = _checks(contract)
+    masks = [f"_broken{i}" for i in range(-(-len(checks) // MARKS))]
     rows = checked(keyed, contract, keep=(_FILE,)).observe(
-        totals, F.count(F.lit(1)).alias("n"), *(c.alias(f"n{i}") for i, c in enumerate(counts))
+        seen, F.count(F.lit(1)).alias("n"), *(F.bit_or(name).alias(name) for name in masks)
     )
     rows.write.partitionBy(_FILE).parquet(target)
-    seen = totals.get
-    if any(seen[f"n{i}"] for i, (_, c) in enumerate(_checks(contract)) if c.severity == "error"):
-        fixed = [(seq, seen[f"n{i}"]) for i, (seq, _) in enumerate(_checks(contract))]
-        raise ContractViolation(_explained(spark, path, contract, seen["n"], dict(fixed), {}, multi_line))
+    found = seen.get
+    counts = _rule_counts(contract)
     stored = spark.read.schema(rows.schema).parquet(target)
+    if any(
+        check.severity == "error" and (found[masks[i // MARKS]] or 0) >> i % MARKS & 1
+        for i, (_, check) in enumerate(checks)
+    ):
+        bad = stored.agg(*(c.alias(f"n{i}") for i, c in enumerate(counts))).first()
+        fixed = {seq: bad[f"n{i}"] for i, (seq, _) in enumerate(checks)}
+        raise ContractViolation(_explained(spark, path, contract, found["n"], fixed, {}, multi_line))
     return stored.groupBy(F.col(_FILE).alias("key")).agg(
         F.count(F.lit(1)).alias("rows"), F.array(*counts).alias("counts")
     )
