@@ -17,6 +17,7 @@ document, is in one component already, or is compared in the second step.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,6 +103,14 @@ def _may_link(percent: int, n: str, at: str, other_n: str, other_at: str) -> Col
     return size & (behind >= _needed(percent, n, other_n))
 
 
+def _band(percent: int, n: str) -> Column:
+    """Bands of set sizes, wide enough that sets of likeness ``percent`` differ by one at most.
+
+    The bands are a thousandth wider than the ratio of such sizes, which outweighs rounding.
+    """
+    return F.floor(F.log(F.col(n).cast("double")) / math.log(100 / percent * 1.001)).cast("int")
+
+
 def _sent(table: DataFrame, most: int) -> DataFrame:
     """A written table, sent to every task if it is counted to have at most ``most`` rows."""
     return F.broadcast(table) if table.count() <= most else table
@@ -282,10 +291,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     open_ = placed.where("id != pivot").join(split.where("parts > 1"), "gram")
     open_ = open_.withColumn("in_main", F.col("component") == F.col("main"))
     open_ = written(open_.drop("pivot", "parts", "main"), "open")
+    # Sets that may link lie in the same or neighbouring bands of size, and are joined by band.
+    open_ = open_.withColumn("band", _band(percent, "n"))
+    near = F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("band")
     minor = open_.where("not in_main").select(
-        "gram", *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "at", "component"))
+        "gram", near, *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "at", "component"))
     )
-    rest = minor.join(open_, "gram").where(
+    rest = minor.join(open_, ["gram", "band"]).where(
         (F.col("a_component") != F.col("component"))
         & (F.col("in_main") | (F.col("a_id") < F.col("id")))
         & _may_link(percent, "a_n", "a_at", "n", "at")

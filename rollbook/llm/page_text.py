@@ -10,7 +10,6 @@ words of articles are invented, so that it learns from layout rather than langua
 from __future__ import annotations
 
 import random
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -19,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rollbook.llm.html_blocks import Block, blocks
+from rollbook.llm.html_blocks import PATH_CELLS, Block, Path, blocks, path_cell
 from rollbook.llm.words import text_bytes, word_hashes, word_spans
 
-PATH_CELLS, WORD_CELLS, PLAIN = 256, 256, 4
+WORD_CELLS, PLAIN = 256, 4
 INPUTS = PATH_CELLS + WORD_CELLS + PLAIN
 HIDDEN = 24
 TRAINING_PAGES = 1200
@@ -36,23 +35,14 @@ EXTRACTED = "page_id long, url string, text string, n_chars long"
 
 
 @lru_cache(50_000)
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
+def path_vector(path: Path) -> np.ndarray:
     """Hashed tags, names and name trigrams of a path; the two innermost tags count apart."""
-    out = np.zeros(PATH_CELLS, np.float32)
-
-    def add(what: str) -> None:
-        out[zlib.crc32(what.encode()) % PATH_CELLS] = 1.0
-
-    for depth, label in enumerate(reversed(path)):
-        tag, *names = label.split(".")
-        add(f"<{tag}>")
-        if depth < 2:
-            add(f"<{tag}>{depth}")
-        for name in names:
-            add(name)
-            for k in range(len(name) - 2):
-                add("~" + name[k : k + 3])
-    return out
+    cells = path.cells
+    for depth, tag in enumerate((path.tag, path.outer_tag)):
+        if tag is not None:
+            cells |= 1 << path_cell(f"<{tag}>{depth}")
+    bits = np.frombuffer(cells.to_bytes(PATH_CELLS // 8, "little"), np.uint8)
+    return np.unpackbits(bits, bitorder="little").astype(np.float32)
 
 
 def vectors(sequence: list[Block]) -> np.ndarray:

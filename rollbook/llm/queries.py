@@ -74,8 +74,9 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rule and verdict of every page's url."""
-    return url_reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    """Rule and verdict of every page's url, by the outcomes of all pages' texts."""
+    pages, docs, labels = (table(spark, sf_dir, name) for name in ("pages", "documents", "labels"))
+    return url_reputation.judge(pages, url_reputation.page_outcomes(pages, docs, labels))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,9 @@ BEGINNINGS = (4, 5, 6)
 #: Characters that are counted together, and n-grams that a task holds before it gives them on.
 CHARACTERS_AT_ONCE = 1 << 20
 GRAMS_AT_ONCE = 1 << 21
+#: Costs of trigrams, and readings of stretches of at most so many characters, that a task remembers.
+KNOWN_COSTS = 1 << 18
+KNOWN_STRETCHES, LONG_STRETCH = 100_000, 64
 
 #: What signs and digits look like; fixed values.
 LOOKS = {
@@ -62,7 +66,7 @@ _MIXED = re.compile(
     rf"(?:{_LETTER}|[0134578@$!|+](?![@$!|+]{{2}})|[*_-](?={_LETTER}))*"
     rf"|(?<![\w@$!|+]){_LETTER}{{2,}}[@$]{{1,2}}(?![\w@$])"
 )
-_RUN = re.compile(rf"{_LETTER}*({_LETTER})\1\1{_LETTER}*")
+_RUN = re.compile(rf"(?<!{_LETTER}){_LETTER}*({_LETTER})\1\1{_LETTER}*")
 _APART = re.compile(rf"(?<!\w)[\w@$!|](?:[ .\-_*]{{1,2}}[\w@$!|](?!\w)){{2,}}")
 #: What a text must have for the patterns above to find anything; these are quick to look for.
 _ANY_MIXED = re.compile(rf"[0134578@$!|+]|{_LETTER}[.*_-]{_LETTER}")
@@ -190,40 +194,60 @@ class CharacterModel:
             low = (self.count(next_) + 0.1) / (self.total + 30)
             middle = (self.count(key[1:]) + 2 * low) / (self.count(before[1:]) + 2)
             high = (self.count(key) + 2 * middle) / (self.count(before) + 2)
+            if len(self.known) >= KNOWN_COSTS:
+                self.known.clear()
             out = self.known[key] = -math.log(high)
         return out
 
 
-def lattice(stretch: str) -> list[list[tuple[str, float]]]:
-    """Readings of each character of a lower-cased stretch, or of each run, with their costs."""
-    out: list[list[tuple[str, float]]] = []
-    at = 0
-    while at < len(stretch):
-        c = stretch[at]
-        run = 1
-        while c.isalpha() and at + run < len(stretch) and stretch[at + run] == c:
-            run += 1
-        if c.isalpha():
-            readings = [(c * min(run, 3), 0.0)]
-            if run >= 3:
-                readings = [(c, COST_SHORTER), (c * 2, COST_SHORTER)]
-        else:
+def lattice(stretch: str) -> Iterator[list[tuple[str, float]]]:
+    """Readings of each part of a lower-cased stretch, with their costs.
+
+    Parts are signs, runs of three equal letters or more, and plain letters; of many plain letters
+    all behind the second are one part, as they are read in one way.
+    """
+    at, size = 0, len(stretch)
+    while at < size:
+        c, end = stretch[at], at + 1
+        if not c.isalpha():
             readings = [(x, COST_LOOK) for x in LOOKS.get(c, "")]
-            if c in FILLERS:
-                readings.append(("", COST_DROP))
-                readings.append((" ", 0.0))
-            else:
-                readings.append((" ", COST_KEEP_SIGN))
-        out.append(readings)
-        at += run
-    return out
+            readings += [("", COST_DROP), (" ", 0.0)] if c in FILLERS else [(" ", COST_KEEP_SIGN)]
+            yield readings
+        elif stretch.startswith(c * 3, at):
+            while end < size and stretch[end] == c:
+                end += 1
+            yield [(c, COST_SHORTER), (c * 2, COST_SHORTER)]
+        else:
+            while end < size and stretch[end].isalpha() and not stretch.startswith(stretch[end] * 3, end):
+                end += 1
+            for part in (stretch[at], stretch[at + 1 : min(at + 2, end)], stretch[at + 2 : end]):
+                if part:
+                    yield [(part, 0.0)]
+        at = end
+
+
+def _spelled(path: tuple) -> str:
+    """The readings of a path, which is a pair of the path before and the last reading."""
+    parts = []
+    while path:
+        path, reading = path
+        parts.append(reading)
+    return "".join(reversed(parts))
 
 
 def decode(stretch: str, model: CharacterModel) -> str:
-    """The best path through the lattice of a stretch (Viterbi over the last two letters)."""
-    best: dict[str, tuple[float, str]] = {"  ": (0.0, "")}
-    for readings in [*lattice(stretch), [(" ", 0.0)]]:
-        after: dict[str, tuple[float, str]] = {}
+    """The best path through the lattice of a stretch (Viterbi over the last two letters).
+
+    Paths share their beginnings, so time and memory are linear in the stretch. Where only one
+    path is left and one reading follows, its cost adds to all alike and is not asked for.
+    """
+    best: dict[str, tuple[float, tuple]] = {"  ": (0.0, ())}
+    for readings in chain(lattice(stretch), [[(" ", 0.0)]]):
+        if len(best) == len(readings) == 1 and " " not in readings[0][0]:
+            (state, (cost, path)), (reading, extra) = *best.items(), *readings
+            best = {(state + reading)[-2:]: (cost + extra, (path, reading))}
+            continue
+        after: dict[str, tuple[float, tuple]] = {}
         for state, (cost, path) in best.items():
             for reading, extra in readings:
                 total, last = cost + extra, state
@@ -233,9 +257,9 @@ def decode(stretch: str, model: CharacterModel) -> str:
                     total += model.cost(last, c)
                     last = last[1] + c
                 if last not in after or total < after[last][0]:
-                    after[last] = (total, path + reading)
+                    after[last] = (total, (path, reading))
         best = after
-    return min(best.values())[1][:-1]
+    return min((cost, _spelled(path)) for cost, path in best.values())[1][:-1]
 
 
 @dataclass
@@ -254,10 +278,12 @@ class Model:
     def restore(self, text: str) -> str:
         """Lower-cased text with its suspicious stretches replaced by their best readings."""
         if self._decode is None:
-            self._decode = lru_cache(100_000)(lambda s: decode(s, self.characters))
+            self._decode = lru_cache(KNOWN_STRETCHES)(lambda s: decode(s, self.characters))
 
         def read(found: re.Match) -> str:
-            return self._decode(found[0])
+            stretch = found[0]
+            short = len(stretch) <= LONG_STRETCH
+            return self._decode(stretch) if short else decode(stretch, self.characters)
 
         text = text.lower()
         for some, pattern in ((_ANY_APART, _APART), (_ANY_MIXED, _MIXED), (_ANY_RUN, _RUN)):

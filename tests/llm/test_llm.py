@@ -24,7 +24,6 @@ from rollbook.llm import (
     samples,
     token_codes,
     toxicity,
-    url_reputation,
 )
 from rollbook.llm.tokens import Encoder
 
@@ -154,7 +153,7 @@ def test_viterbi_is_the_best_path():
             last = last[1] + character
         return total
 
-    for stretch in ("1d10t", "s i t", "stuuupid", "c!0wn"):
+    for stretch in ("1d10t", "s i t", "stuuupid", "c!0wn", "clownssstupid", "idiotand", "clown$ssst"):
         paths = [[]]
         for readings in toxicity.lattice(stretch):
             paths = [p + [r] for p in paths for r in readings]
@@ -440,43 +439,6 @@ def test_components_of_chain(spark):
     assert {r.id: r.component for r in got} == want
 
 
-# 7 URL reputation
-
-
-def test_url_rules(spark):
-    urls = {
-        1: ("http://WWW.Example.NET/en/1?x#y", "www.example.net", "/en/1", "example.net/en/", "allow"),
-        2: ("https://a.net", "a.net", "", None, None),
-        3: ("https://a.net/", "a.net", "/", "net/", "block"),
-        4: ("https://x.example.com/de/1", "x.example.com", "/de/1", "example.com/de/", "block"),
-        5: ("https://example.org/fr/", "example.org", "/fr/", "org/fr/", "allow"),
-        6: (None, "", "", None, None),
-        7: ("no scheme/net/", "", "", None, None),
-        8: ("http://notexample.net?q=/en/", "notexample.net", "", None, None),
-        9: ("http://a.b://c/d\ne", "a.b:", "//c/d\ne", None, None),
-    }
-    pages = spark.createDataFrame([(k, u[0]) for k, u in urls.items()], "page_id long, url string")
-    labels = spark.createDataFrame([(2, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")
-    got = {r.page_id: r for r in url_reputation.judge(pages, labels).collect()}
-    for key, (_, host, path, rule, verdict) in urls.items():
-        assert (got[key].host, got[key].path, got[key].rule) == (host, path, rule)
-        assert got[key].verdict == verdict or (verdict is None and got[key].verdict in ("allow", "block"))
-    assert url_reputation.judge(pages.limit(0), labels.limit(0)).collect() == []
-
-
-def test_host_reputation_shrinks(spark):
-    hosts = ["good.example.org"] * 60 + ["bad.example.org"] * 60 + ["new.example.org"]
-    pages = [(k, f"http://{h}/") for k, h in enumerate(hosts)]
-    labels = [(k, int(h[0] == "g"), 0) for k, h in enumerate(hosts) if h[0] != "n"]
-    pages = spark.createDataFrame(pages, "page_id long, url string")
-    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    got = {r.host: r for r in url_reputation.host_reputation(pages, labels).collect()}
-    good, bad, new = (got[f"{k}.example.org"] for k in ("good", "bad", "new"))
-    assert good.mean > 0.9 > new.mean > 0.1 > bad.mean and new.lower < new.mean
-    verdicts = {r.host: r.verdict for r in url_reputation.judge(pages, labels).collect()}
-    assert verdicts["good.example.org"] == "allow" and verdicts["bad.example.org"] == "block"
-
-
 # 8 mixing
 
 

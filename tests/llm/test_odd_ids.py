@@ -92,3 +92,35 @@ def test_mixed_documents_of_repeated_ids_and_clashing_names(spark):
     assert Counter((r.doc_id, r.source, r.text.strip()) for r in out) == Counter(
         (i, s, t) for i, t, s, *_ in rows
     )
+
+
+def test_jaccard_with_shuffles_only_and_bands(spark, monkeypatch):
+    """Bounds of the broadcasts set to nothing; documents of many sizes share one n-gram."""
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_GRAMS", 0)
+    draw = random.Random(8)
+    texts = {}
+    for k in range(60):
+        size = draw.choice([8, 9, 10, 20, 22, 25, 60, 66, 75])
+        start = draw.choice([0, 0, 1, 2, 100, 200, 300])
+        words = ["rare", "shared", "gram"] + [f"w{start + i}" for i in range(size)]
+        texts[k] = " ".join(words[: len(words) - draw.randint(0, 2)])
+    sets = {k: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for k, t in texts.items()}
+    for percent in (80, 90):
+        least = {k: k for k in sets}
+        for _ in sets:
+            for a in sets:
+                for b in sets:
+                    if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                        least[a] = least[b] = min(least[a], least[b])
+        table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        rows = jaccard_join.jaccard_components(table, 3, percent).collect()
+        assert {r.doc_id: r.component_id for r in rows} == least
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 100])
+def test_sizes_that_may_link_are_in_near_bands(spark, percent):
+    rows = spark.range(1, 3000).withColumnRenamed("id", "n")
+    rows = rows.withColumn("m", F.floor(F.col("n") * 100 / percent))
+    apart = F.abs(jaccard_join._band(percent, "n") - jaccard_join._band(percent, "m"))
+    assert rows.agg(F.max(apart)).first()[0] <= 1
