@@ -27,6 +27,8 @@ LEAST_GOOD = 0.5
 #: Standard deviations below the mean for a tail of one in twenty.
 DEVIATIONS = 1.645
 LEAST_RHO, MOST_RHO = 1e-4, 0.95
+#: Labelled documents that rules and word weights are learned from, about, if there are more.
+LABELLED = 20_000
 #: Labels that, before a country's two letters, are part of the suffix (``co.uk``, ``gob.mx``);
 #: fixed values.
 SECOND_LABELS = tuple(
@@ -142,10 +144,14 @@ def page_outcomes(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataF
     ``good`` is 1 if the page's main text passes the base and learned quality rules and is not
     toxic, else 0, and null for a page without main text. The rules and the word weights are
     learned from the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, quality, toxic)
-    marks; characters are counted in those and in the pages' texts.
+    marks, of which about ``LABELLED`` are chosen by a hash of their ids; characters are counted
+    in those and in the texts of all pages.
     """
-    marked = labels.where("quality is not null or toxic is not null").select("doc_id")
-    learned = docs.select("doc_id", "text").join(marked, "doc_id", "left_semi")
+    marked = labels.where("doc_id is not null and (quality is not null or toxic is not null)")
+    marked = marked.select("doc_id").distinct()
+    share = min(1.0, LABELLED / max(1, marked.count()))
+    marked = marked.where(F.xxhash64("doc_id") <= int(2**64 * share) - 2**63 - 1)
+    learned = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id", "left_semi")
     learned = written(learned, "labelled_texts")
     stats = learned.select("doc_id", quality_rules.statistics(F.col("text")).alias("stats"))
     rules = quality_rules.learn_rules(stats, labels)

@@ -1,10 +1,12 @@
 """Null, extreme and repeated doc_ids, clashing names, and joins beyond the broadcast bounds."""
 
+import random
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from rollbook.llm import jaccard_join, mixing, packing, token_codes
 
