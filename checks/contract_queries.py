@@ -486,9 +486,7 @@ def text_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Plain digest and ordered hash tree of a file with a line for each document."""
     docs = table(spark, folder, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
     parts = ("doc_id", F.lit(":"), F.coalesce("lang", F.lit("-")), F.lit(":"), F.length("text"))
-    lines = docs.select("doc_id", F.concat(*parts).alias("line")).coalesce(1)
-    path = _scratch(spark)
-    lines.sortWithinPartitions("doc_id").select("line").write.text(path)
+    path = files.one_file(docs.select("doc_id", F.concat(*parts).alias("line")), "doc_id", _scratch(spark))
     trees = files.tree_fingerprints(spark, path, fan_out=16)
     return files.fingerprints(spark, path).join(trees, "path").drop("path")
 

@@ -107,10 +107,23 @@ def file_lines(spark: SparkSession, path: Paths) -> DataFrame:
     earlier = Window.partitionBy("path").orderBy("block")
     earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("before", F.coalesce(F.sum("lines").over(earlier), F.lit(0)))
+    # Written, so that their size is known when they are joined and lines need not move by block.
+    blocks = stage(blocks).frame
     number = F.col("before") + F.col("at") - F.col("first")
     return lines.join(blocks, ["path", "block"]).select("path", number.alias("n"), "digest")
 
 
+def one_file(lines: DataFrame, key: str, path: str) -> str:
+    """Write the column ``line`` as one text file in the order of ``key``, and return its folder.
+
+    All tasks read the table and make its lines; only lines and keys reach the task that writes.
+    Rows of one key stay in the order in which they are read.
+    """
+    read = lines.withColumn("_read", F.monotonically_increasing_id())
+    read.repartition(1).sortWithinPartitions(key, "_read").select("line").write.text(path)
+    return path
+
+
 def tree_fingerprints(spark: SparkSession, path: Paths, fan_out: int = FAN_OUT) -> DataFrame:
     """``path, lines, tree``: an ordered hash tree over the lines of every file, of any size.
 

@@ -6,7 +6,9 @@ import os
 
 import pytest
 from conftest import ROWS
+from pyspark.sql import functions as F
 
+from checks import contract_queries
 from rollbook.operators.validate import ContractViolation, gate
 from rollbook.plans.snapshots import load_version
 from rollbook.registration import RENAMES, registration_contract
@@ -168,3 +170,28 @@ def test_first_line_is_split_in_the_jvm(spark, tmp_path, line, names):
     assert found.first().names == names
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Arrow" not in plan and "Python" not in plan
+
+
+def test_lines_are_numbered_without_moving_them(spark, tmp_path):
+    (tmp_path / "a").write_text("".join(f"{i}\n" for i in range(20_000)))
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "20000")
+    try:
+        found = files.file_lines(spark, str(tmp_path))
+        plan = found._jdf.queryExecution().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        got = dict(found.select("n", "digest").collect())
+    finally:
+        spark.conf.set(threshold, before)
+    assert got == {i: hashlib.sha256(str(i).encode()).hexdigest() for i in range(20_000)}
+
+
+def test_lines_of_one_file_are_made_by_all_tasks(spark, monkeypatch):
+    docs = spark.range(0, 40, 1, 4).select(
+        F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.spark_partition_id().cast("string").alias("lang")
+    )
+    monkeypatch.setattr(contract_queries, "table", lambda *_: docs)
+    (row,) = contract_queries.text_fingerprints(spark, "").collect()
+    content = "".join(f"{i}:{i // 10}:1\n" for i in range(40)).encode()
+    assert (row.lines, row.length, row.sha256) == (40, len(content), hashlib.sha256(content).hexdigest())
