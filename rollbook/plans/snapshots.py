@@ -32,6 +32,7 @@ from rollbook.operators.validate import (
 )
 from rollbook.sources.delimited import read_raw
 from rollbook.sources.files import Paths, changes, fingerprints, manifest, plain_path
+from rollbook.staging import compiled_methods
 
 #: Rules whose marks share one column of 64 bits.
 MARKS = 62
@@ -191,10 +192,11 @@ def _written(spark: SparkSession, path: Paths, contract: Contract, target: str,
     seen = Observation(f"load-{uuid.uuid4().hex}")
     checks = _checks(contract)
     masks = [f"_broken{i}" for i in range(-(-len(checks) // MARKS))]
-    rows = checked(keyed, contract, keep=(_FILE,)).observe(
-        seen, F.count(F.lit(1)).alias("n"), *(F.bit_or(name).alias(name) for name in masks)
-    )
-    rows.write.partitionBy(_FILE).parquet(target)
+    with compiled_methods(spark):
+        rows = checked(keyed, contract, keep=(_FILE,)).observe(
+            seen, F.count(F.lit(1)).alias("n"), *(F.bit_or(name).alias(name) for name in masks)
+        )
+        rows.write.partitionBy(_FILE).parquet(target)
     found = seen.get
     counts = _rule_counts(contract)
     stored = spark.read.schema(rows.schema).parquet(target)

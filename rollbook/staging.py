@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark import inheritable_thread_target
@@ -65,6 +66,27 @@ def stage(
     return Staged(kept, found["rows"], found.get("total") or 0, others)
 
 
+#: Bytes of a method above which the JVM does not compile it.
+METHOD_BYTES = 8000
+_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
+
+@contextmanager
+def compiled_methods(spark: SparkSession) -> Iterator[None]:
+    """Jobs in this block run wide projections in pieces that the JVM compiles.
+
+    Spark makes one method of a whole stage, however long, and the JVM interprets what is longer
+    than :data:`METHOD_BYTES`. With Spark's limit at that size such a stage is run by operator, in
+    short methods. Results are the same; the session's own limit is set again after the block.
+    """
+    before = spark.conf.get(_LIMIT)
+    spark.conf.set(_LIMIT, str(min(int(before), METHOD_BYTES)))
+    try:
+        yield
+    finally:
+        spark.conf.set(_LIMIT, before)
+
+
 def together(*jobs: Callable) -> list:
     """Run independent jobs at the same time, so that small ones do not wait for each other."""
     inheriting = inheritable_thread_target(SparkSession.active())

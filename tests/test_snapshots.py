@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from checks import contract_queries
 from rollbook.operators.validate import ContractViolation, gate
+from rollbook.plans import snapshots
 from rollbook.plans.snapshots import load_version
 from rollbook.registration import RENAMES, registration_contract
 from rollbook.sources import files
@@ -172,6 +173,19 @@ def test_first_line_is_split_in_the_jvm(spark, tmp_path, line, names):
     assert "Arrow" not in plan and "Python" not in plan
 
 
+def test_a_load_runs_in_methods_that_the_jvm_compiles(spark, contract, source, tmp_path, monkeypatch):
+    limit, seen = "spark.sql.codegen.hugeMethodLimit", []
+    before, checked = spark.conf.get(limit), snapshots.checked
+
+    def noted(raw, *given, **named):
+        seen.append(int(spark.conf.get(limit)) if raw.columns[-1] == "_file" else None)
+        return checked(raw, *given, **named)
+
+    monkeypatch.setattr(snapshots, "checked", noted)
+    assert ids(load(spark, contract, source, tmp_path)) == ["1", "2", "3"]
+    assert [n for n in seen if n is not None] == [8000] and spark.conf.get(limit) == before
+
+
 def test_lines_are_numbered_without_moving_them(spark, tmp_path):
     (tmp_path / "a").write_text("".join(f"{i}\n" for i in range(20_000)))
     threshold = "spark.sql.autoBroadcastJoinThreshold"
