@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.contract_queries import _issues_sql
-from checks.fixtures import BROKEN_CTE, CLEAN_CTES, CONTRACT, clean_registration, registration
+from checks.fixtures import BROKEN_CTE, CLEAN_CTES, CONTRACT, registration
 from checks.quality_queries import _thresholds
 from checks.registry import query
 from rollbook.operators import filters
+from rollbook.operators.clean import clean
 from rollbook.operators.guards import outcomes
 from rollbook.operators.validate import gate
 from rollbook.plans import pages
 from rollbook.plans.load import page_context
 from rollbook.plans.quality import quality
 from rollbook.registration import FILTERS, registration_contract
+from rollbook.staging import compiled_methods, written
 
 _REFUSED = """SELECT '{case}' AS "case", false AS passed, '{error}' AS error, '{message}' AS message
     FROM registration HAVING count(*) > 0"""
@@ -64,7 +66,11 @@ _BROKEN = """SELECT 'broken source', false, 'ContractViolation',
 )
 def guard_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     """Every guard on the whole tables: inputs that it refuses, and inputs that pass."""
-    raw, full = registration(spark, folder), clean_registration(spark, folder)
+    # Kept once, as a snapshot is: each case then reads its columns instead of making all again.
+    stored = written(registration(spark, folder).toDF(*CONTRACT.renames.values()))
+    raw = stored.toDF(*CONTRACT.columns)
+    with compiled_methods(spark):
+        full = written(clean(raw, CONTRACT, validate=False))
     broken = registration(spark, folder, broken=True)
     bounds = _thresholds(spark)
     none = full.where("false")
@@ -97,4 +103,5 @@ def guard_outcomes(spark: SparkSession, folder: str) -> DataFrame:
         "quality of all": lambda: quality(full, bounds),
         "broken source": lambda: gate(broken, CONTRACT),
     }
-    return outcomes(spark, cases)
+    with compiled_methods(spark):
+        return outcomes(spark, cases)

@@ -8,7 +8,7 @@ import pytest
 from conftest import ROWS
 from pyspark.sql import functions as F
 
-from checks import contract_queries
+from checks import contract_queries, guard_queries
 from rollbook.operators.validate import ContractViolation, gate
 from rollbook.plans import snapshots
 from rollbook.plans.snapshots import load_version
@@ -209,3 +209,16 @@ def test_lines_of_one_file_are_made_by_all_tasks(spark, monkeypatch):
     (row,) = contract_queries.text_fingerprints(spark, "").collect()
     content = "".join(f"{i}:{i // 10}:1\n" for i in range(40)).encode()
     assert (row.lines, row.length, row.sha256) == (40, len(content), hashlib.sha256(content).hexdigest())
+
+
+def test_guards_read_kept_tables(spark, tmp_path, monkeypatch):
+    orders = spark.range(1, 1100).selectExpr(
+        "id AS o_orderkey", "id % 700 AS o_custkey", "date_add(DATE '1995-01-01', int(id)) AS o_orderdate"
+    )
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    read, quality = [], guard_queries.quality
+    monkeypatch.setattr(guard_queries, "quality", lambda df, *_: read.extend(df.inputFiles()) or quality(df, *_))
+    found = {r.case: r.passed for r in guard_queries.guard_outcomes(spark, str(tmp_path)).collect()}
+    assert read and all("/staged-" in path for path in read)
+    assert {case for case, passed in found.items() if passed} == {"good source", "whole context", "quality of all"}
+    assert len(found) == 15
