@@ -358,13 +358,14 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
             )
         ).alias("parts")
     )
-    parts = parts.select(F.col("doc_id").alias("part_id"), "text_hash", "parts")
-    # The columns of a document stay in one, so that their names cannot clash.
+    parts = parts.select(F.struct("doc_id").alias("part_id"), "text_hash", "parts")
+    # The columns of a document stay in one, so that their names cannot clash. Ids in a struct are
+    # equal if both are null, so the join has the keys of the grouping and texts move only once.
     texts = docs.select(
-        F.col("doc_id").alias("own_id"), key.alias("own_hash"), F.struct("*").alias("doc")
+        F.struct("doc_id").alias("own_id"), key.alias("own_hash"), F.struct("*").alias("doc")
     )
     texts = texts.groupBy("own_id", "own_hash").agg(F.first("doc").alias("doc"))
-    both = texts.join(parts, F.expr("own_hash = text_hash and own_id <=> part_id"))
+    both = texts.join(parts, F.expr("own_hash = text_hash and own_id = part_id"))
     words = both.withColumn(
         "words", F.regexp_extract_all("doc.text", F.lit(f"{WORD}[{SPACES}]*"), F.lit(0))
     )

@@ -96,6 +96,22 @@ def test_mixed_documents_of_repeated_ids_and_clashing_names(spark):
     )
 
 
+def test_mixed_documents_move_their_texts_once(spark):
+    rows = [(1, "a b c d", "s1"), (None, "e f g h", "s1"), (None, "i j", "s2"), (None, "i j", "s2")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        got = mixing.mixed_documents(table, weights=(2, 1), block_words=2, shard_blocks=4)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert len([x for x in plan.splitlines() if "Exchange" in x and "own_hash" in x]) == 1
+        out = Counter((r.doc_id, r.source, r.text.strip()) for r in got.collect())
+    finally:
+        spark.conf.set(threshold, before)
+    assert out == Counter((i, s, t) for i, t, s in rows)
+
+
 def test_jaccard_with_shuffles_only_and_bands(spark, monkeypatch):
     """Bounds of the broadcasts set to nothing; documents of many sizes share one n-gram."""
     monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
