@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from rollbook.llm.components import components
 from rollbook.llm.tables import written
 from rollbook.llm.words import slices, text_bytes, windows, word_hashes, word_spans
+from rollbook.llm.workers import giving_back
 
 #: Cells of the table of n-gram counts that gives the order; each task gets all of them.
 COUNT_CELLS = 1 << 18
@@ -152,7 +153,7 @@ def _verified(
                 [batch.column("doc_id"), pa.array(out, pa.binary())], ["id", "grams"]
             )
 
-    chosen = docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "id long, grams binary")
+    chosen = docs.join(ids, "doc_id", "left_semi").mapInArrow(giving_back(sets), "id long, grams binary")
     chosen = written(chosen, "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +178,7 @@ def _verified(
     both = left.distinct().unionByName(salted.withColumn("id", F.col("b"))).join(chosen, "id")
     both = both.select("a", "salt", "b", "grams").repartition("a", "salt")
     both = both.sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-    return written(both.mapInArrow(compare, "a long, b long"), "verified")
+    return written(both.mapInArrow(giving_back(compare), "a long, b long"), "verified")
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -211,7 +212,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
         row += [pa.array([x.tolist()], t) for x, t in zip((used, counts[used]), kinds, strict=True)]
         yield pa.RecordBatch.from_arrays(row, names)
 
-    summary = written(docs.mapInArrow(summarize, SETS), "summary")
+    summary = written(docs.mapInArrow(giving_back(summarize), SETS), "summary")
     counted = summary.where("cells is not null").select(
         F.explode(F.arrays_zip("cells", "counts")).alias("c")
     )
@@ -247,7 +248,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
             )
 
     first = written(classes.select(F.col("class_id").alias("id")).distinct(), "first")
-    prefixes = docs.mapInArrow(cut, "id long, n int, grams array<long>, cells array<tinyint>")
+    prefixes = docs.mapInArrow(giving_back(cut), "id long, n int, grams array<long>, cells array<tinyint>")
     prefixes = written(prefixes.join(_sent(first, BROADCAST_IDS), "id", "left_semi"), "prefixes")
     # Where an id has several sets, the one of the pivot is not told: those matches skip the filter.
     several = prefixes.groupBy("id").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")

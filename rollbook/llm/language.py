@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.samples import labelled_texts
+from rollbook.llm.words import slices
+from rollbook.llm.workers import give_back, giving_back
 
 #: Texts of each language that are learned from at most; fewer if all languages' would be more
 #: than ``TEXTS``, but not fewer than ``LEAST_PER_LANGUAGE``. No language is left out.
@@ -106,6 +108,14 @@ class Model:
                 unsure[i] = len(first) > 1 and bool(row[first[1]] - row[first[0]] < AMBIGUOUS)
         return names, scores, unsure
 
+    def judged(self, texts: pa.Array) -> tuple[list[str], list[float], list[bool]]:
+        """``predict`` for a column, of which one slice at a time is turned into strings."""
+        out: tuple[list[str], list[float], list[bool]] = ([], [], [])
+        for part in slices(texts):
+            for column, found in zip(out, self.predict(part.to_pylist()), strict=True):
+                column += found
+        return out
+
 
 class Rows:
     """Features of texts, sparse; dense for ``DENSE_TEXTS`` of them at once."""
@@ -178,7 +188,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores, unsure = model.predict(batch.column("text").to_pylist())
+            names, scores, unsure = model.judged(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -190,16 +200,23 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(predict, PREDICTED)
+    return rows.mapInArrow(giving_back(predict), PREDICTED)
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` with a language, all columns kept; ``und`` and ambiguous ones go."""
+    """The rows of ``docs`` with a language, all columns kept; ``und`` and ambiguous ones go.
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, _, unsure = model.predict(batch.column("text").to_pylist())
-            good = [n != UNKNOWN and not u for n, u in zip(names, unsure, strict=True)]
-            yield batch.filter(pa.array(good, pa.bool_()))
+    Only texts go to Python, and one boolean for each comes back.
+    """
+
+    def known(texts: pa.Array) -> pa.Array:
+        names, _, unsure = model.judged(texts)
+        good = [n != UNKNOWN and not u for n, u in zip(names, unsure, strict=True)]
+        return pa.array(good, pa.bool_())
+
+    @F.arrow_udf("boolean")
+    def keep(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from map(known, columns)
+        give_back()
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.where(keep("text"))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from rollbook.llm.tables import written
 from rollbook.llm.tokens import encoder
+from rollbook.llm.workers import giving_back
 
 #: Sequences of one partition are numbered from its number times this.
 STRIDE = 1 << 32
@@ -169,7 +170,7 @@ def pack(
         values = zip(*out, strict=True)
         return pa.table([pa.array(v, t) for v, t in zip(values, types, strict=True)], columns)
 
-    placed = written(docs.select("doc_id", "text").mapInArrow(place, PIECES), "packed")
+    placed = written(docs.select("doc_id", "text").mapInArrow(giving_back(place), PIECES), "packed")
     final = placed.where(F.col("merge_group").isNull())
     merged = placed.where(F.col("merge_group").isNotNull()).groupBy("merge_group")
     return final.unionByName(merged.applyInArrow(lay, PIECES)).drop("merge_group")
