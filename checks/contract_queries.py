@@ -488,7 +488,9 @@ def text_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     parts = ("doc_id", F.lit(":"), F.coalesce("lang", F.lit("-")), F.lit(":"), F.length("text"))
     path = files.one_file(docs.select("doc_id", F.concat(*parts).alias("line")), "doc_id", _scratch(spark))
     trees = files.tree_fingerprints(spark, path, fan_out=16)
-    return files.fingerprints(spark, path).join(trees, "path").drop("path")
+    # The plain digest too is that of a file of any size.
+    plain = files.fingerprints(spark, path, whole_bytes=None)
+    return plain.join(trees, "path").drop("path")
 
 
 _SIZED = (

@@ -7,6 +7,11 @@ digests of large files come from text scans, which split a file among tasks.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,12 +77,19 @@ def _digest(data: Column) -> Column:
     return F.sha2(data, 256)
 
 
-def fingerprints(spark: SparkSession, path: Paths, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+def fingerprints(
+    spark: SparkSession, path: Paths, whole_bytes: int | None = WHOLE_BYTES
+) -> DataFrame:
     """``path, length, sha256`` per file; null for files of more than ``whole_bytes``.
 
     A plain SHA-256 needs the bytes in order, so one task has the whole content. The tree of
     :func:`tree_fingerprints` has no such limit. Files are told apart before they are opened.
+    With None every file has its digest, for which one task is given the lines in order and holds
+    a few pieces of them at a time. Files must not be compressed; where the lines do not add up to
+    the length of a file, an error is raised. A file without a line has no row.
     """
+    if whole_bytes is None:
+        return _line_fingerprints(spark, path)
     files = _files(spark, path)
     small = files.where(F.col("length") <= whole_bytes)
     large = files.where(F.col("length") > whole_bytes)
@@ -86,6 +98,81 @@ def fingerprints(spark: SparkSession, path: Paths, whole_bytes: int = WHOLE_BYTE
     )
 
 
+def _line_fingerprints(spark: SparkSession, path: Paths) -> DataFrame:
+    """``path, length, sha256`` of files of any size.
+
+    All tasks read lines and join neighbours to pieces; only pieces move to the task that digests
+    their file. A scan leaves out a byte order mark and whether the last line has an end; the
+    length of the file tells both.
+    """
+    text = _files(spark, path, "text", lineSep="\n")
+    lines = text.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_size").alias("length"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        F.col("value").cast("binary").alias("piece"),
+    )
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Neighbouring lines of one block of a file, up to about 1 MB, as one row."""
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            starts = set(range(0, n, max(1, (n << 20) // max(1, batch.nbytes))))
+            for name in ("path", "block"):
+                values = batch.column(name)
+                other = pc.not_equal(values.slice(1), values.slice(0, n - 1))
+                starts.update(k + 1 for k in pc.indices_nonzero(other).to_pylist())
+            cuts = pa.array([*sorted(starts), n], pa.int32())
+            content = batch.column("piece")
+            end = pa.scalar(b"\n", content.type)
+            joined = pc.binary_join(pa.ListArray.from_arrays(cuts, content), end)
+            yield batch.take(cuts.slice(0, len(cuts) - 1)).set_column(4, "piece", joined)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Digest the files of a task one after the other, without and with a byte order mark."""
+        file, length, size, plain, marked = None, 0, 0, None, None
+
+        def close() -> pa.RecordBatch:
+            # What the file has beyond lines that all have an end: -1 for the last one's end,
+            # 3 for the mark.
+            more = length - size
+            if more not in (-1, 0, 2, 3):
+                raise ValueError(f"{file} has {length} bytes, but {size} in its lines.")
+            found = plain if more <= 0 else marked
+            if more in (0, 3):
+                found.update(b"\n")
+            columns = [[file], [length], [found.hexdigest()]]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+        names = ["path", "length", "sha256"]
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("path", "length")), strict=True)
+            for (name, total), piece in zip(keys, batch.column("piece"), strict=True):
+                if name != file:
+                    if file is not None:
+                        yield close()
+                    file, length, size = name, total, 0
+                    plain, marked = hashlib.sha256(), hashlib.sha256(b"\xef\xbb\xbf")
+                else:
+                    plain.update(b"\n")
+                    marked.update(b"\n")
+                content = piece.as_buffer()
+                plain.update(content)
+                marked.update(content)
+                size += len(content) + 1
+        if file is not None:
+            yield close()
+
+    pieces = lines.mapInArrow(join, lines.schema).repartition("path")
+    digests = pieces.sortWithinPartitions("path", "block", "at").mapInArrow(
+        digest, "path string, length long, sha256 string"
+    )
+    return digests.withColumn("path", plain_path(F.col("path")))
+
+
 def file_lines(spark: SparkSession, path: Paths) -> DataFrame:
     """``path, n, digest``: the SHA-256 of every line of every file, lines numbered from 0.
 

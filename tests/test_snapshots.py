@@ -1,6 +1,7 @@
 """Versions of a store: what is read again, what is refused, and digests of large files."""
 
 import csv
+import gzip
 import hashlib
 import os
 
@@ -154,6 +155,55 @@ def test_large_files_have_no_plain_digest(spark, tmp_path):
     assert {r.length: r.sha256 for r in got} == {3: hashlib.sha256(b"abc").hexdigest(), 6: None}
 
 
+@pytest.mark.parametrize("split, batch", [("1k", 10_000), ("1k", 7), ("128m", 10_000), ("128m", 7)])
+def test_plain_digest_of_lines_at_any_split_and_batch_size(spark, tmp_path, split, batch):
+    contents = {
+        "one": b"x",
+        "odd é+%": bytes(range(256)) * 40,  # not text, with carriage returns
+        "lines": b"".join(b"line %d\r\n" % (k * k) for k in range(900)),
+        "long": b"".join(b"%d" % k * 4000 + b"\n" for k in range(90)),
+        "blank": b"\n\n\n",
+        "end": b"a\nb",
+        "mark": b"\xef\xbb\xbfa\nb\n",
+        "mark, end": b"\xef\xbb\xbfa\n\nb",
+        "mark, blank": b"\xef\xbb\xbf\n",
+    }
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    sizes = {"spark.sql.files.maxPartitionBytes": split, "spark.sql.execution.arrow.maxRecordsPerBatch": batch}
+    before = {key: spark.conf.get(key) for key in sizes}
+    try:
+        for key, value in sizes.items():
+            spark.conf.set(key, value)
+        got = files.fingerprints(spark, str(tmp_path), whole_bytes=None).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sorted((r.length, r.sha256) for r in got) == sorted(
+        (len(content), hashlib.sha256(content).hexdigest()) for content in contents.values()
+    )
+    listed = files.fingerprints(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, listed))
+
+
+def test_digest_of_lines_refuses_compressed_files(spark, tmp_path):
+    (tmp_path / "a.gz").write_bytes(gzip.compress(b"a\nb\n"))
+    with pytest.raises(Exception, match="bytes, but 4 in its lines"):
+        files.fingerprints(spark, str(tmp_path), whole_bytes=None).collect()
+
+
+@pytest.mark.parametrize("whole", [1, files.WHOLE_BYTES])
+def test_plain_digest_of_documents_at_any_size(spark, monkeypatch, whole):
+    docs = spark.range(0, 3000, 1, 3).selectExpr("2999 - id AS doc_id", "repeat('é', int(id % 9)) AS text", "nullif(id % 2, 0) || 'x' AS lang")
+    monkeypatch.setattr(contract_queries, "table", lambda *_: docs)
+    monkeypatch.setattr(files.fingerprints, "__defaults__", (whole,))
+    (row,) = contract_queries.text_fingerprints(spark, "").collect()
+    lines = [f"{i}:{'1x' if (2999 - i) % 2 else '-'}:{(2999 - i) % 9}" for i in range(3000)]
+    content = "".join(f"{line}\n" for line in lines).encode()
+    assert (row.length, row.sha256, row.lines) == (len(content), hashlib.sha256(content).hexdigest(), 3000)
+    assert row.tree == tree([line.encode() for line in lines], 16)
+
+
 @pytest.mark.parametrize(
     "line, names",
     [
